@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import vectors
+from quarryline.llm import leaks, splits, tokens, vectors
 from quarryline.plans.lineage import table
 
 
@@ -22,5 +22,29 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.neighbour_pairs(table(spark, folder, "embedding"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p4_found)}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.grouped_files(table(spark, folder, "dataset"), table(spark, folder, "repo_aliases"))
+
+
+def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.grouped_splits(table(spark, folder, "dataset"), table(spark, folder, "repo_aliases"), table(spark, folder, "split_plan"))
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, folder, "documents"))
+
+
+def p7_use(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.vocabulary_use(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leak_report(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p4_found, p7_ids, p7_use, p8_found, p8_report)}
 ORACLES: dict[str, str] = {}
