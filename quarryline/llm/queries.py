@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import leaks, splits, tokens, vectors
+from quarryline.llm import leaks, provenance, quality, splits, syntax, tokens, vectors
 from quarryline.plans.lineage import table
 
 
@@ -46,5 +46,29 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p4_found, p7_ids, p7_use, p8_found, p8_report)}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return provenance.not_hand_written(table(spark, folder, "dataset"))
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    return provenance.provenance_report(table(spark, folder, "dataset"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.unparsable_files(table(spark, folder, "dataset"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.syntax_report(table(spark, folder, "dataset"), table(spark, folder, "source_evidence"), table(spark, folder, "cpp_lexical_analysis"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.other_than_prose(table(spark, folder, "documents"))
+
+
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.text_statistics(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_report, p7_ids, p7_use, p8_found, p8_report, p9_found, p9_statistics)}
 ORACLES: dict[str, str] = {}
