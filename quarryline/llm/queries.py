@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import leaks, provenance, quality, splits, syntax, tokens, vectors
+from quarryline.llm import leaks, overlaps, provenance, quality, splits, syntax, tokens, vectors
 from quarryline.plans.lineage import table
 
 
@@ -30,6 +30,14 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.grouped_splits(table(spark, folder, "dataset"), table(spark, folder, "repo_aliases"), table(spark, folder, "split_plan"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlaps.overlapping_files(table(spark, folder, "dataset"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlaps.overlap_report(table(spark, folder, "dataset"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"))
 
@@ -70,5 +78,5 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_report, p7_ids, p7_use, p8_found, p8_report, p9_found, p9_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_report, p6_found, p6_report, p7_ids, p7_use, p8_found, p8_report, p9_found, p9_statistics)}
 ORACLES: dict[str, str] = {}
