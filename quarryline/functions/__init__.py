@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: texts, extents, vectors and scores.  All stay inside the JVM."""

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators over tables: trees, intervals, windows, clusters and evaluation."""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarryline.queries import files, mining, ranges
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = files.QUERIES | ranges.QUERIES | mining.QUERIES
+ORACLES = files.ORACLES | ranges.ORACLES | mining.ORACLES

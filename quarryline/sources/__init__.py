@@ -1 +1 @@
-"""Sources of the engine."""
+"""Readers of source trees and tables, and writers of artifacts."""
