@@ -63,7 +63,7 @@ def scan_summary(spark: SparkSession, folder: str) -> DataFrame:
 )
 def valid_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files with functions; a null split is train."""
-    functions = F.size(F.filter("func_src", lambda x: x.isNotNull() & (x != "")))
+    functions = F.size(F.filter("func_src", lambda x: x.isNotNull() & (x != ""))).cast("long")
     rows = first_rows(spark, folder, "split", "func_src").select("file_id", F.coalesce(F.lower(F.trim("split")), F.lit("train")).alias("split"), functions.alias("functions"))
     return rows.where("functions > 0")
 
