@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quarryline.plans.lineage import width
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The published pattern of the byte-level vocabulary, and its form for ASCII texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-#: Documents of a block; its distinct words fit in memory with ease.
-BLOCK_ROWS = 4000
+#: Characters of a block on average; its texts and distinct words fit in memory with ease.
+BLOCK_CHARACTERS = 6_000_000
 
 
 @lru_cache
@@ -47,10 +49,12 @@ def split_words(text: str) -> list[str]:
     return plain(text) if text.isascii() else full(text)
 
 
-def _blocks(df: DataFrame, ids: str, texts: str) -> DataFrame:
+def _blocks(df: DataFrame, ids: str, texts: str) -> tuple[DataFrame, int]:
     docs = df.select(F.col(ids).alias("doc_id"), F.col(texts).cast("string").alias("text"))
-    blocks = max(1, -(-docs.select("doc_id").count() // BLOCK_ROWS))
-    return docs.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(blocks)).cast("int"))
+    characters = docs.agg(F.sum(F.length("text") + 200).alias("n")).first()["n"] or 0
+    blocks = 1 + characters // BLOCK_CHARACTERS
+    # the text is part of the key, so that rows with one id or none still spread
+    return docs.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(blocks)).cast("int")), blocks
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +88,8 @@ def encode_corpus(df: DataFrame, ids: str = "doc_id", texts: str = "text", vocab
     null text and an empty text both give an empty list.  Every row gives a row,
     also one with a null or repeated id.  Other columns are ignored.
     """
-    docs = _blocks(df, ids, texts)
+    docs, blocks = _blocks(df, ids, texts)
+    parts = max(width(df.sparkSession), blocks // 4)
     by_block = docs.select("block", "text").mapInArrow(_words, "block int, word string").distinct()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +111,8 @@ def encode_corpus(df: DataFrame, ids: str = "doc_id", texts: str = "text", vocab
         return pa.table({"doc_id": texts_.column("doc_id"), "ids": lists})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dictionary = by_block.join(encoded, "word")
-    return docs.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(place, f"doc_id {kind}, ids array<int>")
+    dictionary = by_block.join(encoded, "word").repartition(parts, "block")
+    return docs.repartition(parts, "block").groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(place, f"doc_id {kind}, ids array<int>")
 
 
 def pieces(spark, vocabulary: str = VOCABULARY) -> DataFrame:
