@@ -24,7 +24,7 @@ _NO_OPERAND = re.compile(r"[=|>:+/%^?.-]\s*[)\];,}]")
 _EDGE = re.compile(r"[(){}\[\];]")
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
 _FOREIGN = re.compile(
-    r"(?:def|function|fn|func|let|var)\s+\w+\s*[(=:]|(?:package|import)\s[\w.\s]*$|(?:public|private|protected)\s+(?:class|static|final|void|int)\b|from\s+\w+\s+import\b|class\s+\w+\s*\(|class\s+\w+\s+extends\b"
+    r"(?:def|function|fn|func|let|var)\s+\w+\s*[(=:]|(?:package|import)\s+[\w.]+\s*[^\w.;\s]|(?:package|import)\s+[\w.]+\s+[A-Za-z_]|(?:public|private|protected)\s+(?:class|static|final|void|int)\b|from\s+\w+\s+import\b|class\s+\w+\s*\(|class\s+\w+\s+extends\b"
 )
 _CALL = re.compile(r"\w+\s*\(.*\)", re.S)
 
@@ -112,20 +112,21 @@ def _structure(code: str) -> str | None:
     """Brackets, operands and whole declarations."""
     stack: list[str] = []
     start = 0
-    fresh = True
+    fresh, initialiser = True, False
     for match in _EDGE.finditer(code):
         token = match.group()
         if fresh and not stack:
             head = code[start : match.start()].strip()
             if not head and token == "{" or head and _FOREIGN.match(head):
                 return "declaration"
-            fresh = False
+            # an initialiser goes on to its semicolon; the block of any other declaration ends it
+            fresh, initialiser = False, "=" in head and "operator" not in head
         if token in _CLOSES:
             stack.append(_CLOSES[token])
         elif token != ";":
             if not stack or stack.pop() != token:
                 return "bracket"
-            if not stack and token == "}":
+            if not stack and token == "}" and not initialiser:
                 start, fresh = match.end(), True
         elif not stack:
             start, fresh = match.end(), True

@@ -67,19 +67,21 @@ def prose_characters(text: str) -> tuple[int, int]:
     for line in lines:
         roles, cjk = line_roles(line)
         size = len(line) - line.count(" ") - line.count("\t")
-        stats.append((roles, cjk, size, len(_CJK_STOP.findall(line)) if cjk else 0, line[-1:] in (".", "!", "?")))
+        stats.append((roles, cjk, size, len(_CJK_STOP.findall(line)) if cjk else 0, line[-1:] in (".", "!", "?"), line[:1].islower()))
     total = sum(s[2] for s in stats)
     seen: set[str] = set()
     prose = 0
     for i, (roles, cjk, size, *_) in enumerate(stats):
         if not size:
             continue
-        near = [stats[i]]
+        near, words = [stats[i]], len(roles)
         for step in (-1, 1):
-            j, room = i + step, 2
-            while room and 0 <= j < len(stats) and stats[j][2]:
+            # two lines each way, more of them where lines are short
+            j, taken = i + step, 0
+            while 0 <= j < len(stats) and stats[j][2] and (taken < 2 or taken < 12 and words < 24):
                 near.append(stats[j])
-                j, room = j + step, room - 1
+                words += len(stats[j][0])
+                j, taken = j + step, taken + 1
         item = len(roles) <= 9 and _ITEM.match(lines[i]) and lines[i][-1] not in ".!?…:" or _STAMP.match(lines[i])
         if not item and _is_prose(roles, cjk, size, near):
             fresh = 0
@@ -92,12 +94,13 @@ def prose_characters(text: str) -> tuple[int, int]:
     return total, prose
 
 
-def _is_prose(roles: str, cjk: int, size: int, near: list[tuple[str, int, int, int, bool]]) -> bool:
+def _is_prose(roles: str, cjk: int, size: int, near: list[tuple[str, int, int, int, bool, bool]]) -> bool:
     if cjk > 0.4 * size:
         chars = sum(n[1] for n in near)
         return sum(n[3] for n in near) >= chars / 60
     joined = "".join(n[0] for n in near)
-    if len(near) > 3 and len(joined) <= 5 * len(near) and not any(n[4] for n in near):
+    # short lines that each begin anew and end without a stop: menus and the like
+    if len(near) > 3 and len(joined) <= 5 * len(near) and not any(n[4] for n in near) and sum(n[5] for n in near) < 0.5 * len(near):
         return False
     words = len(joined) - joined.count("o")
     if not words or roles.count("o") > 0.35 * len(roles) or words < 0.6 * len(joined):
