@@ -8,18 +8,19 @@ words.  So the words of the corpus are shuffled once per block, not once per use
 
 from __future__ import annotations
 
-import os
+import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarryline.plans.lineage import width
+from quarryline.plans.lineage import cut, width
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern of the byte-level vocabulary, and its form for ASCII texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
@@ -34,13 +35,18 @@ def _splitters():
     return re.compile(ASCII_PATTERN, re.ASCII).findall, regex.compile(PATTERN, regex.V1).findall
 
 
+@lru_cache
+def _ranks(path: str) -> dict[bytes, int]:
+    """Pieces and ids of a rank file: a piece in base 64 and its id on each line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(piece): int(number) for piece, number in map(bytes.split, lines)}
+
+
 @lru_cache
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+    import tiktoken
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
 
 
 def split_words(text: str) -> list[str]:
@@ -82,7 +88,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode_corpus(df: DataFrame, ids: str = "doc_id", texts: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Ids of every row's text under the tokenizer file ``vocabulary``, as ``doc_id, ids``.
+    """Ids of every row's text under the rank file ``vocabulary``, as ``doc_id, ids``.
 
     No special tokens are added, and their strings in a text are ordinary text.  A
     null text and an empty text both give an empty list.  Every row gives a row,
@@ -90,24 +96,25 @@ def encode_corpus(df: DataFrame, ids: str = "doc_id", texts: str = "text", vocab
     """
     docs, blocks = _blocks(df, ids, texts)
     parts = max(width(df.sparkSession), blocks // 4)
-    by_block = docs.select("block", "text").mapInArrow(_words, "block int, word string").distinct()
+    # written once: both the encoding and the join read it
+    by_block = cut(docs.select("block", "text").mapInArrow(_words, "block int, word string").distinct())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(vocabulary)
+        encode_word = _tokenizer(vocabulary).encode_ordinary
         for batch in batches:
-            found = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], ["word", "ids"])
+            codes = [array("i", encode_word(w)).tobytes() for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["word", "code"])
 
-    encoded = by_block.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
+    encoded = by_block.select("word").distinct().mapInArrow(encode, "word string, code binary")
 
     def place(texts_: pa.Table, words: pa.Table) -> pa.Table:
-        table = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist()))
-        flat, ends = [], [0]
+        code = dict(zip(words.column("word").to_pylist(), words.column("code").to_pylist())).__getitem__
+        flat, ends = bytearray(), array("i", [0])
         for text in texts_.column("text").to_pylist():
-            for word in split_words(text) if text else ():
-                flat += table[word]
-            ends.append(len(flat))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, "int32")))
+            if text:
+                flat += b"".join(map(code, split_words(text)))
+            ends.append(len(flat) // 4)
+        lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, "int32")), pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)]))
         return pa.table({"doc_id": texts_.column("doc_id"), "ids": lists})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -115,14 +122,9 @@ def encode_corpus(df: DataFrame, ids: str = "doc_id", texts: str = "text", vocab
     return docs.repartition(parts, "block").groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(place, f"doc_id {kind}, ids array<int>")
 
 
-def pieces(spark, vocabulary: str = VOCABULARY) -> DataFrame:
+def pieces(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
     """The vocabulary as ``id, piece`` (bytes); its size is fixed by the tokenizer file."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    as_byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    entries = _tokenizer(vocabulary).get_vocab(with_added_tokens=False).items()
-    rows = [(i, bytes(as_byte[c] for c in piece)) for piece, i in entries if all(c in as_byte for c in piece)]
-    return spark.createDataFrame(rows, "id int, piece binary")
+    return spark.createDataFrame([(number, piece) for piece, number in _ranks(vocabulary).items()], "id int, piece binary")
 
 
 def decode_corpus(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
