@@ -62,7 +62,7 @@ def extent(text: Column) -> Column:
 def within(inner: Column, outer: Column) -> Column:
     """Whether one parsed extent lies inside another; null if either is null."""
     start = F.struct(outer["sl"], outer["sc"]) <= F.struct(inner["sl"], inner["sc"])
-    return start & (F.struct(inner["el"], inner["ec"]) <= F.struct(outer["el"], outer["ec"]))
+    return F.when(inner.isNotNull() & outer.isNotNull(), start & (F.struct(inner["el"], inner["ec"]) <= F.struct(outer["el"], outer["ec"])))
 
 
 def source_lines(text: Column, first: Column, last: Column) -> Column:

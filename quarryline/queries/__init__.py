@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryline.queries import files, mining, ranges
+from quarryline.queries import code, files, mining, ranges
 
-QUERIES = files.QUERIES | ranges.QUERIES | mining.QUERIES
-ORACLES = files.ORACLES | ranges.ORACLES | mining.ORACLES
+QUERIES = files.QUERIES | ranges.QUERIES | mining.QUERIES | code.QUERIES
+ORACLES = files.ORACLES | ranges.ORACLES | mining.ORACLES | code.ORACLES

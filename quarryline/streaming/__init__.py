@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Incremental forms of the operators with Structured Streaming."""
