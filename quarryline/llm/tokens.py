@@ -143,6 +143,16 @@ def decode_corpus(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
 def vocabulary_use(df: DataFrame, ids: str = "doc_id", texts: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """How often each id occurs in the corpus, and in how many documents: ``id, uses, docs``."""
-    encoded = encode_corpus(df, ids, texts, vocabulary)
-    each = encoded.select("doc_id", F.explode("ids").alias("id")).groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("id").agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("docs"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch gives one row an id, so the vocabulary bounds what is shuffled
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten().to_numpy().astype("int64")
+            rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            uses, docs = np.bincount(flat), np.bincount(np.unique(rows << 32 | flat) & 0xFFFFFFFF)
+            found = np.flatnonzero(uses)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype("int32")), pa.array(uses[found]), pa.array(docs[found])], ["id", "uses", "docs"])
+
+    encoded = encode_corpus(df, ids, texts, vocabulary).select("ids")
+    return encoded.mapInArrow(count, "id int, uses long, docs long").groupBy("id").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
