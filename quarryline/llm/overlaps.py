@@ -152,9 +152,27 @@ def same_function(a: list[int], names_a: list[list[str]], b: list[int], names_b:
     return edits + broken <= most
 
 
-def cuts(n: int) -> list[tuple[int, int]]:
-    """Segments of an evaluation string of n statements: one more than any match of it may have edits."""
+#: A statement in more functions than this is hot, and segments keep clear of it where they can.
+HOT = 500
+
+
+def cuts(n: int, hot: set[int] | None = None) -> list[tuple[int, int]]:
+    """Segments of an evaluation string of n statements: one more than any match of it may have edits.
+
+    Any disjoint substrings will do, as an edit spoils one of them at most.  So
+    they are laid between the hot positions if there is room for pieces of two
+    statements or more; else they divide the whole string.
+    """
     parts = n // (ONE_IN - 1) + 1
+    if hot:
+        free, start = [], 0
+        for at in [*sorted(hot), n]:
+            free.append((start, at))
+            start = at + 1
+        for length in (4, 3, 2):
+            found = [(s, s + length) for a, b in free for s in range(a, b - length + 1, length)]
+            if len(found) >= parts:
+                return found[:parts]
     edges = [i * n // parts for i in range(parts + 1)]
     return [(s, e) for s, e in zip(edges, edges[1:]) if e > s]
 
@@ -195,11 +213,12 @@ def _pieces(evaluation: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, string in zip(batch.column(0).to_pylist(), batch.column(1)):
+            marks = batch.column(2).to_pylist() if evaluation else [None] * batch.num_rows
+            for key, string, hot in zip(batch.column(0).to_pylist(), batch.column(1), marks):
                 own = string.values.to_numpy()
                 n = len(own)
                 if evaluation:
-                    spans = cuts(n)
+                    spans = cuts(n, set(hot or ()))
                     places = {length: np.array([s for s, e in spans if e - s == length]) for length in _LENGTHS}
                 else:
                     # short strings allow no edit and are segments as a whole
@@ -233,7 +252,9 @@ def shared_functions(files: DataFrame) -> DataFrame:
     # copies of one function become one row, before any function meets another
     distinct = cut(functions.groupBy("key").agg(F.first("string").alias("string"), F.first("names").alias("names"), F.bool_or(F.col("side") == "e").alias("e"), F.bool_or(F.col("side") == "t").alias("t")))
     schema = "segment long, key long, pos int, n int"
-    segments = distinct.where("e").select("key", "string").mapInArrow(_pieces(True), schema).toDF("segment", "e", "e_pos", "e_n")
+    common = distinct.select(F.explode(F.array_distinct("string")).alias("statement")).groupBy("statement").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("statement")
+    placed = distinct.where("e").select("key", F.posexplode("string").alias("at", "statement")).join(common, "statement").groupBy("key").agg(F.collect_set("at").alias("hot"))
+    segments = distinct.where("e").join(placed, "key", "left").select("key", "string", "hot").mapInArrow(_pieces(True), schema).toDF("segment", "e", "e_pos", "e_n")
     substrings = distinct.where("t").select("key", "string").mapInArrow(_pieces(False), schema).toDF("segment", "t", "t_pos", "t_n")
     most = F.floor(F.greatest("e_n", "t_n") / ONE_IN)
     near = (F.abs(F.col("e_pos") - F.col("t_pos")) <= most) & (F.abs(F.col("e_n") - F.col("t_n")) <= most) & (F.col("e") != F.col("t"))

@@ -140,6 +140,31 @@ def test_overlaps_match_brute_force(spark):
     assert set(got) == brute(rows) and len(got) == len(set(got)) and len(got) > 8
 
 
+def test_hot_statements_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "HOT", 2)
+    pick = random.Random(12)
+    opening = ["  checkAll(1);", "  lockAll(2);", "  traceAll(3);", "  openAll(4);"]
+    rows = []
+    for i in range(12):
+        _, lines = function(pick, f"x{i}", n=pick.randrange(8, 20))
+        changed = list(lines)
+        for _ in range(pick.randrange(0, 5)):
+            changed[pick.randrange(len(changed))] = f"  replaced({pick.randrange(99)});"
+        for k, (body, split) in enumerate(((lines, "train"), (changed, "test"))):
+            rows.append(row(i * 2 + k, [f"int f{i}{k}(int count, const Row& limit) {{\n" + "\n".join(opening + body) + "\n  return count;\n}"], split=split))
+    got = {tuple(r) for r in overlaps.overlapping_files(spark.createDataFrame(rows, FILES)).collect()}
+    assert got == brute(rows) and len(got) >= 5
+
+
+def test_cuts_are_disjoint_and_clear_of_hot_positions():
+    pick = random.Random(3)
+    for n in range(1, 60):
+        for hot in (set(), {0, 1}, set(range(4)), {pick.randrange(n) for _ in range(n // 3)}, set(range(n))):
+            spans = overlaps.cuts(n, {h for h in hot if h < n})
+            assert len(spans) == n // 4 + 1 or n < 4
+            assert all(s < e <= n and e - s <= 4 for s, e in spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_inconsistent_renaming_counts():
     a = "int f(int x, int y) {" + "".join(f" g{i}(x, y);" for i in range(10)) + " }"
     b = "int f(int x, int y) {" + "".join(f" g{i}({'y, x' if i % 2 else 'x, y'});" for i in range(10)) + " }"
