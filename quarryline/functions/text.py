@@ -68,3 +68,15 @@ def within(inner: Column, outer: Column) -> Column:
 def source_lines(text: Column, first: Column, last: Column) -> Column:
     """Lines ``first`` to ``last`` of a text, counted from one."""
     return F.array_join(F.slice(F.split(text, "\n"), first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+
+def without_directives(code: Column) -> Column:
+    """Code whose preprocessor lines, continued ones too, are blanks of the same length."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(False).alias("open"))
+
+    def step(state: Column, line: Column) -> Column:
+        masked = state["open"] | line.rlike(r"^\s*#")
+        shown = F.when(masked, F.regexp_replace(line, r"[^\r]", " ")).otherwise(line)
+        return F.struct(F.concat(state["done"], F.array(shown)).alias("done"), (masked & line.rlike(r"\\\r?$")).alias("open"))
+
+    return F.aggregate(F.split(code, "\n"), start, step, lambda state: F.array_join(state["done"], "\n"))

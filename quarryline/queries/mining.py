@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from quarryline.functions import scores, text
+from quarryline.operators import clusters
 from quarryline.plans.lineage import cut, table
 from quarryline.queries.files import first_rows, fragments_of, latest_evidence
 from quarryline.queries.registry import FILES, FRAGMENTS, LATEST, Registry
@@ -296,3 +297,41 @@ def subset_filters(spark: SparkSession, folder: str) -> DataFrame:
     recorded = table(spark, folder, "cpp_lexical_analysis").where("file_id is not null").groupBy("file_id", "func_idx").agg(F.array_distinct(F.flatten(F.collect_set("local_identifiers"))).alias("names"))
     judged = recorded.where("size(names) > 0").join(used, ["file_id", "func_idx"]).select("file_id", F.size(F.array_except("names", "used")).alias("missing"))
     return judged.groupBy("file_id").agg(F.count(F.lit(1)).alias("functions"), F.count_if(F.col("missing") == 0).alias("complete"), F.sum("missing").alias("missing"))
+
+
+@query(
+    f"""WITH {_MEMBERS}, {FRAGMENTS}, known AS (SELECT emb_id, [CAST(x AS DOUBLE) FOR x IN pros_emb] AS v, lower(trim(pros_info.project)) AS p, pros_info.file AS f, pros_info.function_extent AS fe, pros_info.node.extent AS e, pros_info.node.start_byte AS s FROM fragments
+      WHERE len(pros_emb) = 64 AND len(list_filter(pros_emb, lambda x: isfinite(x))) = 64 AND len(list_filter(pros_emb, lambda x: x <> 0)) > 0),
+    m AS (SELECT DISTINCT cluster_key, emb_id, v FROM members JOIN known ON lower(trim(info.project)) = p AND info.file = f AND info.function_extent = fe AND info.node.extent = e AND info.node.start_byte = s),
+    dims AS (SELECT cluster_key, d, avg(x) AS c FROM (SELECT cluster_key, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM m) GROUP BY 1, 2),
+    centres AS (SELECT cluster_key, list(c ORDER BY d) AS c FROM dims GROUP BY 1),
+    far AS (SELECT cluster_key, emb_id, round(1 - list_inner_product(v, c) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(c, c))), 6) AS far FROM m JOIN centres USING (cluster_key))
+    SELECT cluster_key, count(*) AS size, arg_min(emb_id, (far, emb_id)) AS medoid, min(far) AS far FROM far GROUP BY cluster_key"""
+)
+def cluster_medoids(spark: SparkSession, folder: str) -> DataFrame:
+    """The fragment nearest the mean vector of each recorded cluster."""
+    parts = lambda i: [F.lower(F.trim(f"{i}.project")).alias("p"), F.col(f"{i}.file").alias("f"), F.col(f"{i}.function_extent").alias("fe"), F.col(f"{i}.node.extent").alias("e"), F.col(f"{i}.node.start_byte").alias("s")]
+    v = F.col("pros_emb")
+    usable = (F.size(v) == 64) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    known = fragments_of(spark, folder, "pros_emb", "pros_info").where(usable).select("emb_id", "pros_emb", *parts("pros_info"))
+    members = members_of(spark, folder).select("cluster_key", *parts("info")).distinct().join(known, ["p", "f", "fe", "e", "s"]).select("cluster_key", "emb_id", "pros_emb")
+    return clusters.medoids(members, "cluster_key", "emb_id", "pros_emb")
+
+
+@query(
+    f"""WITH {_MEMBERS}, {FRAGMENTS}, totals AS (SELECT lower(trim(pros_name)) AS project, count(*) AS total FROM fragments WHERE pros_name IS NOT NULL GROUP BY 1),
+    sizes AS (SELECT m.project, lower(coalesce(o.loc_label, 'none')) AS rank, m.cluster_key, count(*) AS size, count(DISTINCT info.file) AS files FROM members m JOIN own o USING (cluster_key) WHERE m.project IS NOT NULL GROUP BY 1, 2, 3),
+    candidates AS (SELECT project, rank, max(total) AS total, sum(size) AS members, max(size) AS largest, count(*) FILTER (files >= 2) AS cross_file FROM sizes JOIN totals USING (project) GROUP BY 1, 2),
+    gated AS (SELECT *, CASE WHEN members / total BETWEEN 0.5 AND 0.8 AND largest / total <= greatest(0.15, least(0.5, 5.0 / greatest(total, 1))) THEN 0 WHEN members / total BETWEEN 0.4 AND 0.85 AND largest / total <= greatest(0.2, least(0.5, 5.0 / greatest(total, 1))) THEN 1
+      WHEN largest / total <= greatest(0.25, least(0.5, 5.0 / greatest(total, 1))) THEN 2 ELSE 3 END AS gate FROM candidates),
+    pool AS (SELECT * FROM (SELECT *, min(gate) OVER (PARTITION BY project) AS best FROM gated) WHERE gate = best),
+    scored AS (SELECT *, round(0.6 * coalesce(cross_file / nullif(max(cross_file) OVER (PARTITION BY project), 0), 0) + 0.4 * (0.5 * greatest(0, 1 - abs(members / total - 0.65) / 0.15) + 0.5 * greatest(0, 1 - (largest / total) / 0.15)), 6) AS score FROM pool)
+    SELECT project, rank AS level, CAST(gate AS INT) AS gate, score FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, rank) AS n FROM scored) WHERE n = 1"""
+)
+def tuner_gate_select(spark: SparkSession, folder: str) -> DataFrame:
+    """Of a project's clusterings by level, the one with the best balance."""
+    levels = clusters_of(spark, folder).select("cluster_key", F.lower(F.coalesce("loc_label", F.lit("none"))).alias("rank"))
+    sizes = members_of(spark, folder).where("project is not null").groupBy("project", "cluster_key").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("info.file").alias("files")).join(levels, "cluster_key")
+    totals = fragments_of(spark, folder, "pros_name").where("pros_name is not null").groupBy(F.lower(F.trim("pros_name")).alias("project")).agg(F.count(F.lit(1)).alias("total"))
+    found = sizes.groupBy("project", "rank").agg(F.sum("size").alias("members"), F.max("size").alias("largest"), F.count_if(F.col("files") >= 2).alias("cross_file")).join(totals, "project")
+    return clusters.choose(found, ["project"]).select("project", F.col("rank").alias("level"), "gate", "score")

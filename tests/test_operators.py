@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import patterns, scores, text
-from quarryline.operators import defuse, intervals, matching, trees, windows
+from quarryline.operators import clusters, defuse, intervals, matching, trees, windows
 from quarryline.sources import scan, sinks
 from quarryline.streaming import ingest
 
@@ -215,3 +215,21 @@ def test_stream_takes_up_what_is_new(spark, tmp_path):
     counted = []
     ingest.drain(ingest.by_window(ingest.arrivals(spark, folder, part([(1, None)]).schema).withWatermark("at", "1 second"), "at", []), lambda df, b: counted.extend(df.collect()), str(tmp_path / "w"))
     assert sum(r.rows for r in counted) <= 6
+
+
+def test_directives_become_blanks(spark):
+    code = "int a;\n  #define X \\\n  (1)\nint b; // #x\r\n#if 0\r\n"
+    got = one(spark, code, "string", text.without_directives)
+    assert got == "int a;\n" + " " * 13 + "\n" + " " * 5 + "\nint b; // #x\r\n" + " " * 5 + "\r\n" and len(got) == len(code)
+
+
+def test_medoids(spark):
+    rows = [(1, 1, [1.0, 0.0]), (1, 2, [0.9, 0.1]), (1, 3, [0.0, 1.0]), (2, 4, [1.0, 1.0]), (2, 5, [2.0, 2.0]), (3, 6, None)]
+    got = {r.c: (r.size, r.medoid) for r in clusters.medoids(spark.createDataFrame(rows, "c int, m long, v array<double>"), "c", "m", "v").collect()}
+    assert got == {1: (3, 2), 2: (2, 4)}
+
+
+def test_choice_prefers_the_strict_gate(spark):
+    rows = [("p", 100, 60, 10, 3, 1), ("p", 100, 90, 5, 9, 2), ("p", 100, 65, 5, 3, 3), ("q", 10, 0, 0, 0, 1)]
+    got = {r.project: (r["rank"], r.gate) for r in clusters.choose(spark.createDataFrame(rows, "project string, total int, members int, largest int, cross_file int, rank int"), ["project"]).collect()}
+    assert got == {"p": (3, 0), "q": (1, 2)}
