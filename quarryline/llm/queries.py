@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.llm import leaks, overlaps, provenance, quality, splits, syntax, tokens, vectors
+from quarryline.llm.oracles import ORACLES  # noqa: F401  registered beside QUERIES
 from quarryline.plans.lineage import table
 
 
@@ -79,4 +80,3 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_report, p6_found, p6_report, p7_ids, p7_use, p8_found, p8_report, p9_found, p9_statistics)}
-ORACLES: dict[str, str] = {}
