@@ -1 +1 @@
-"""Helpers that shape physical plans: lineage cuts, partition counts and checked broadcasts."""
+"""Helpers that shape physical plans: lineage cuts and partition counts."""
