@@ -102,7 +102,7 @@ def containment_anti_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("file_id").agg(F.count(F.lit(1)).alias("errors"))
 
 
-_UNION = """marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY {by} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans WHERE s < e),
+_UNION = """marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY {by} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT {by}, s, e FROM spans) WHERE s < e),
 islands AS (SELECT *, sum(fresh) OVER (PARTITION BY {by} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM marked),
 joined AS (SELECT {by}, island, min(s) AS s, max(e) AS e FROM islands GROUP BY {by}, island)"""
 
