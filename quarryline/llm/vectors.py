@@ -6,6 +6,10 @@ split values come from a bounded sample, divides the space into cells of about
 ``CELL_ROWS`` vectors.  Vectors near a split of one projection lie inside a cell
 of another, so the cells of the projections overlap; that is the margin.
 
+A class too large for one block is first searched in the cells of one table, which bounds each
+vector's k-th distance, and then block against block; only blocks and leaves that
+the bounds exclude for certain are left out, so its neighbours are exact.
+
 Within a cell the vectors are ordered by a second kd-tree over the projected
 coordinates, leaf by leaf.  A leaf is verified against the other leaves in the
 order of projected distance until a chi-square test says that, with probability
@@ -38,8 +42,12 @@ SAMPLE_ROWS = 60_000
 CONFIDENCE = 0.999
 #: 8-bit components leave an error of about 0.001 in a cosine; links are looked for this much further.
 SLACK = 0.006
-#: A class of more distinct vectors than this is searched cell by cell instead of as one block.
+#: Distances are compared to nine decimals; a bound reaches a little further.
+ROUNDING = 2e-9
+#: A class of more distinct vectors than this is searched block against block instead of as one block.
 CLASS_ROWS = 6000
+#: About so many vectors of such a class make a block.
+BLOCK_ROWS = 1 << 15
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -209,6 +217,57 @@ def near_pairs(units: np.ndarray, matrix: np.ndarray, radius: float, k: int | No
             yield np.concatenate(found_q), np.concatenate(found_o), np.concatenate(found_d)
 
 
+def contraction() -> np.ndarray:
+    """An orthonormal projection: projected distances never exceed the true ones."""
+    return np.linalg.qr(projections()[0].astype("float64"))[0]
+
+
+def cross_pairs(
+    units: np.ndarray, bounds: np.ndarray, others: np.ndarray, other_bounds: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (row, other, cosine distance) of two blocks that lie within the bound of either vector.
+
+    A pair of leaves is left out only where their boxes are further apart than any bound allows.
+    """
+    matrix = contraction()
+    sides = []
+    for block, limits in ((units, bounds), (others, other_bounds)):
+        points = block @ matrix
+        parts = leaves(points, LEAF_ROWS)
+        sides.append([(p, points[p].min(axis=0), points[p].max(axis=0), limits[p].max()) for p in parts])
+    for mine, low, high, limit in sides[0]:
+        found_q, found_o, found_d = [], [], []
+        for theirs, other_low, other_high, other_limit in sides[1]:
+            gap = np.maximum(0, np.maximum(other_low - high, low - other_high))
+            if gap @ gap > 2 * max(limit, other_limit) + ROUNDING:
+                continue
+            distance = 1 - units[mine] @ others[theirs].T
+            q, o = np.nonzero(distance <= np.maximum(bounds[mine][:, None], other_bounds[theirs][None]) + ROUNDING)
+            found_q.append(mine[q])
+            found_o.append(theirs[o])
+            found_d.append(distance[q, o])
+        if found_q:
+            yield np.concatenate(found_q), np.concatenate(found_o), np.concatenate(found_d)
+
+
+def nearest_ids(q: np.ndarray, o: np.ndarray, dist: np.ndarray, own: list, theirs: list, k: int) -> Iterator[tuple[int, int, float]]:
+    """The k nearest other ids (id, neighbour, distance) of each id of the vectors ``q`` among those of their pairs."""
+    order = np.lexsort((dist, q))
+    q, o, dist = q[order], o[order], dist[order]
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else ()
+    for s, e in zip(starts, np.r_[starts[1:], len(q)]):
+        cut_at = dist[min(s + k, e - 1)]
+        pool = sorted((dist[x], i) for x in range(s, e) if dist[x] <= cut_at for i in theirs[o[x]])
+        for me in own[q[s]]:
+            taken = 0
+            for x, i in pool:
+                if i != me:
+                    yield me, i, x
+                    taken += 1
+                    if taken == k:
+                        break
+
+
 def local_roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Smallest linked index of each index: components of the links found in one cell."""
     root = np.arange(n)
@@ -313,8 +372,103 @@ def distinct_units(index: SimilarityIndex, smallest: int) -> DataFrame:
     return ranked.groupBy("unit_key", "class").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("unit").alias("unit"))
 
 
+_PAIRS = "id long, neighbour long, distance double"
+
+
+def _pairs(rows: list[tuple[int, int, float]]) -> pa.Table:
+    a, b, d = zip(*rows) if rows else ((), (), ())
+    return pa.table({"id": pa.array(a, pa.int64()), "neighbour": pa.array(b, pa.int64()), "distance": pa.array(d, pa.float64())})
+
+
+def _blocks(index: SimilarityIndex, large: DataFrame, first: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """``class, block, ids, unit, bound`` of the vectors of large classes.
+
+    Blocks follow the cells of the first table, so near vectors share one; places
+    within a cell are dealt by hash, so a block stays near ``block_rows`` whatever
+    the cell holds.  ``bound`` is the k-th distance in ``first``, else the radius.
+    """
+    trees = index.trees[:1]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = cells_of(_floats(pa.chunked_array([batch.column(3)])).astype("float32"), trees)[0]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], [*batch.schema.names, "cell"])
+
+    placed = large.select("unit_key", "class", "ids", "unit").mapInArrow(place, "unit_key long, class long, ids array<long>, unit binary, cell long")
+    rank = Window.partitionBy("id").orderBy("distance", "neighbour")
+    best = first.groupBy("id", "neighbour").agg(F.min("distance").alias("distance")).withColumn("n", F.row_number().over(rank))
+    kth = best.where(F.col("n") == k).select("id", "distance")
+    owners = large.select("unit_key", F.explode("ids").alias("id")).join(kth, "id", "left")
+    bounds = owners.groupBy("unit_key").agg(F.max(F.coalesce("distance", F.lit(index.radius))).alias("bound"))
+    cells = placed.groupBy("class", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    position = F.col("start") + F.pmod(F.xxhash64("unit_key"), F.col("n"))
+    return placed.join(cells, ["class", "cell"]).join(bounds, "unit_key").select("class", F.floor(position / block_rows).alias("block"), "ids", "unit", "bound")
+
+
+def _exact(index: SimilarityIndex, large: DataFrame, first: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """All pairs of ids in large classes that may be among the k nearest, given the distances in ``first``."""
+    blocks = cut(_blocks(index, large, first, k, block_rows))
+    matrix = contraction()
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = pd.DataFrame(_floats(pa.chunked_array([batch.column(2)])) @ matrix)
+            keys = [batch.column(0).to_numpy(), batch.column(1).to_numpy()]
+            low, high = points.groupby(keys).min(), points.groupby(keys).max()
+            bound = pd.Series(batch.column(3).to_numpy()).groupby(keys).max()
+            floats = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(low.index.get_level_values(0)), pa.array(low.index.get_level_values(1)), pa.array(list(low.to_numpy()), floats), pa.array(list(high.to_numpy()), floats), pa.array(bound.to_numpy())],
+                ["class", "block", "low", "high", "bound"],
+            )
+
+    boxes = blocks.select("class", "block", "unit", "bound").mapInArrow(corners, "class long, block long, low array<double>, high array<double>, bound double")
+    merged = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(DIMENSIONS)]).alias(c)
+    boxes = boxes.groupBy("class", "block").agg(merged(F.min, "low"), merged(F.max, "high"), F.max("bound").alias("bound"))
+    a, b = (boxes.select("class", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high", "bound")]) for side in "ab")
+    gap = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    near = F.aggregate(gap, F.lit(0.0), lambda total, x: total + x * x) <= 2 * F.greatest("bound_a", "bound_b") + ROUNDING
+    pairs = cut(a.join(b, "class").where(F.col("block_a") <= F.col("block_b")).where(near).select("class", "block_a", "block_b"))
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        units, others = _floats(left.column("unit")), _floats(right.column("unit"))
+        bounds, other_bounds = left.column("bound").to_numpy(), right.column("bound").to_numpy()
+        own, theirs = left.column("ids").to_pylist(), right.column("ids").to_pylist()
+        same = key[1] == key[2]
+        if same:
+            others, other_bounds, theirs = units, bounds, own
+        back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for q, o, dist in cross_pairs(units, bounds, others, other_bounds):
+            dist = np.where(q == o, 0.0, np.round(dist, 9)) if same else np.round(dist, 9)
+            mine, other = dist <= bounds[q] + ROUNDING, dist <= other_bounds[o] + ROUNDING
+            rows += nearest_ids(q[mine], o[mine], dist[mine], own, theirs, k)
+            if not same:
+                back.append((o[other], q[other], dist[other]))
+        if back:
+            rows += nearest_ids(*map(np.concatenate, zip(*back)), theirs, own, k)
+        return _pairs(rows)
+
+    keys, n = ("class", "block_a", "block_b"), max(index.width(), pairs.count())
+
+    def side(block: str) -> DataFrame:
+        # columns under names of their own, as both sides come from the same two tables
+        rows = pairs.join(blocks.withColumnRenamed("block", block), ["class", block])
+        rows = rows.select(*[F.col(c).alias(f"{c}_of_{block}") for c in keys], *[F.col(c).alias(c) for c in ("ids", "unit", "bound")])
+        return rows.repartition(n, *[f"{c}_of_{block}" for c in keys])
+
+    sides = [side(b).groupBy(*[f"{c}_of_{b}" for c in keys]) for b in keys[1:]]
+    return sides[0].cogroup(sides[1]).applyInArrow(meet, _PAIRS)
+
+
 def nearest_neighbours(
-    df: DataFrame, ids: str = "emb_id", vectors: str = "pros_emb", k: int = NEIGHBOURS, radius: float = RADIUS, cell_rows: int = CELL_ROWS, class_rows: int = CLASS_ROWS
+    df: DataFrame, ids: str = "emb_id", vectors: str = "pros_emb", k: int = NEIGHBOURS, radius: float = RADIUS, cell_rows: int = CELL_ROWS, class_rows: int = CLASS_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k nearest other ids of every id, as ``id, neighbour, distance``, within ``radius`` of cosine distance.
 
@@ -323,7 +477,7 @@ def nearest_neighbours(
     id without another within the radius has no row; an empty table gives none.
     """
     index = SimilarityIndex(df, ids, vectors, radius, cell_rows)
-    matrices, trees = projections(), index.trees
+    matrices, trees = projections(), index.trees[:1]
     vectors_ = cut(distinct_units(index, k + 1))
     sizes = vectors_.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
     sized = vectors_.join(sizes, "class")
@@ -333,35 +487,25 @@ def nearest_neighbours(
         for batch in batches:
             if batch.num_rows:
                 cells = cells_of(_floats(pa.chunked_array([batch.column(1)])).astype("float32"), trees)
-                for t in range(len(trees)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, "int32")), pa.array(cells[t]), batch.column(0), batch.column(1)], ["t", "cell", "ids", "unit"])
-
-    large = sized.where(F.col("size") > class_rows).select("ids", "unit").mapInArrow(spread, "t int, cell long, ids array<long>, unit binary")
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, "int32")), pa.array(cells[0]), batch.column(0), batch.column(1)], ["t", "cell", "ids", "unit"])
 
     def search(key: tuple, block: pa.Table) -> pa.Table:
         units, own = _floats(block.column("unit")), block.column("ids").to_pylist()
         matrix = matrices[max(0, key[0].as_py())].astype("float64")
-        a, b, d = [], [], []
+        rows = []
         for q, o, dist in near_pairs(units, matrix, radius, k):
-            dist = np.where(q == o, 0.0, np.round(dist, 9))
-            order = np.lexsort((dist, q))
-            q, o, dist = q[order], o[order], dist[order]
-            starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-            for s, e in zip(starts, np.r_[starts[1:], len(q)]):
-                cut_at = dist[min(s + k, e - 1)]
-                pool = sorted((dist[x], i) for x in range(s, e) if dist[x] <= cut_at for i in own[o[x]])
-                for me in own[q[s]]:
-                    taken = 0
-                    for x, i in pool:
-                        if i != me:
-                            a.append(me), b.append(i), d.append(x)
-                            taken += 1
-                            if taken == k:
-                                break
-        return pa.table({"id": pa.array(a, pa.int64()), "neighbour": pa.array(b, pa.int64()), "distance": pa.array(d, pa.float64())})
-
-    schema = "id long, neighbour long, distance double"
-    found = small.union(large).repartition(index.width(), "t", "cell").groupBy("t", "cell").applyInArrow(search, schema)
+            rows += nearest_ids(q, o, np.where(q == o, 0.0, np.round(dist, 9)), own, own, k)
+        return _pairs(rows)
+
+    def searched(parts: DataFrame) -> DataFrame:
+        return parts.repartition(index.width(), "t", "cell").groupBy("t", "cell").applyInArrow(search, _PAIRS)
+
+    found = searched(small)
+    large = sized.where(F.col("size") > class_rows)
+    if not sizes.where(F.col("size") > class_rows).isEmpty():
+        # a first search in the cells of one table bounds the k-th distances for the exact one
+        first = cut(searched(large.select("ids", "unit").mapInArrow(spread, "t int, cell long, ids array<long>, unit binary")))
+        found = found.union(first).union(_exact(index, large, first, k, block_rows))
     # ids beyond the first k + 1 of a shared vector: their neighbours are its first k ids
     shared = vectors_.where(F.size("ids") > k).select("unit_key", F.slice("ids", 1, k).alias("first"), F.col("ids")[k].alias("last"))
     rest = index.members().select("id", "unit_key").join(shared, "unit_key").where(F.col("id") > F.col("last"))

@@ -86,6 +86,17 @@ def test_small_cells_and_classes(spark):
     assert len(got & clusters) >= 0.9 * len(clusters)
 
 
+def test_large_class_is_exact(spark):
+    """A class above the limit, with noise in all dimensions, in many cells and blocks."""
+    data = rows([1500, 4], singles=20, seed=7)
+    data += [(5000 + i, v, *rest) for i, (_, v, *rest) in enumerate(data[:9] * 2)]
+    want, _ = brute(data)
+    df = spark.createDataFrame(data, SCHEMA)
+    found = vectors.nearest_neighbours(df, cell_rows=128, class_rows=200, block_rows=400).collect()
+    assert {(min(r.id, r.neighbour), max(r.id, r.neighbour)) for r in found} == want
+    assert len(found) == len({(r.id, r.neighbour) for r in found})
+
+
 def test_copies_of_one_vector(spark):
     """A third of the rows share one vector: ties go to the smaller id and nothing is lost."""
     data = [(i, [float(x) for x in v], *rest) for i, v, *rest in rows([4], singles=40, copies=0)]
