@@ -24,7 +24,7 @@ _NO_OPERAND = re.compile(r"[=|>:+/%^?.-]\s*[)\];,}]")
 _EDGE = re.compile(r"[(){}\[\];]")
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
 _FOREIGN = re.compile(
-    r"(?:def|function|fn|func|let|var)\s+\w+\s*[(=:]|(?:package|import)\s+[\w.]+\s*[^\w.;\s]|(?:package|import)\s+[\w.]+\s+[A-Za-z_]|(?:public|private|protected)\s+(?:class|static|final|void|int)\b|from\s+\w+\s+import\b|class\s+\w+\s*\(|class\s+\w+\s+extends\b"
+    r"(?:export\s+)?(?:async\s+)?(?:def|function|fn|func|let|var)\s+\w+\s*[(=:]|(?:package|import)\s+[\w.]+\s*[^\w.;\s]|(?:package|import)\s+[\w.]+\s+[A-Za-z_]|(?:public|private|protected)\s+(?:class|static|final|void|int)\b|from\s+\w+\s+import\b|class\s+\w+\s*\(|class\s+\w+\s+extends\b"
 )
 _CALL = re.compile(r"\w+\s*\(.*\)", re.S)
 
@@ -117,7 +117,8 @@ def _structure(code: str) -> str | None:
         token = match.group()
         if fresh and not stack:
             head = code[start : match.start()].strip()
-            if not head and token == "{" or head and _FOREIGN.match(head):
+            # the bracket belongs to what tells a foreign head
+            if not head and token == "{" or head and _FOREIGN.match(head + token):
                 return "declaration"
             # an initialiser goes on to its semicolon; the block of any other declaration ends it
             fresh, initialiser = False, "=" in head and "operator" not in head
@@ -192,16 +193,78 @@ def _parses(language: str, text: str) -> bool:
     return _structure(masked(text)) in (None, "declaration")
 
 
+# Languages with the brackets of C++, which its structural grammar alone would let pass.
+# Each pattern matches a line that C++ wouldn't hold, in a text whose literals are masked.
+_TELLING = {
+    "script": r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*\w*\s*\(|(?:export\s+)?(?:const|let|var)\s+(?:\w+|\{[\w\s,:]*\}|\[[\w\s,]*\])\s*(?::\s*[\w<>\[\]]+\s*)?=[^=]|.*(?:[!=]==|\)\s*=>|\b\w+\s*=>\s*[{\w(]|\brequire\s*\(\s*0|\bmodule\.exports\b|\btypeof\s+\w|\bconsole\.\w+\()|import\b.*\bfrom\s+0|export\s+(?:default|class|interface|type)\b",
+    "rust": r"(?:pub(?:\(\w+\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+\w+\s*[<(]|let\s+(?:mut\s+)?\w+\s*[:=]|let\s+\(|impl\b[^;=(]*\{|(?:pub\s+)?use\s+\w+(?:::|;)|pub\s+(?:struct|enum|mod|trait|type|use)\b|(?:if|while)\s+let\b|match\s+[\w.&()]+\s*\{|.*(?:&mut\s|\b(?:println|vec|format|panic|assert_eq|assert)!\s*[(\[]|\)\s*->\s*(?:[&\w]|\())",
+    "csharp": r"using\s+System\b|using\s+[A-Z]\w*(?:\.\w+)*\s*;|namespace\s+\w+(?:\.\w+)+|(?:public|private|protected|internal)\s+(?!slots\b|signals\b)\w+[^:]|foreach\s*\(\s*(?:var|\w+)\s+\w+\s+in\b|.*\{\s*(?:get|set)\s*;|var\s+\w+\s*=[^=]",
+    "java": r"import\s+(?:static\s+)?(?:javax?|org|com|net|android)\.[\w.*]+\s*;|package\s+[\w.]+\s*;|(?:public|private|protected)\s+(?!slots\b|signals\b)\w+[^:]|(?:abstract\s+|final\s+)?(?:class|interface)\s+\w+[\w<>, ]*\s(?:extends|implements)\s|.*\)\s*throws\s+\w+|.*\bSystem\.out\.",
+    "go": r"package\s+\w+\s*$|func\s*(?:\(\s*\w+\s+\*?\w+\s*\)\s*)?\w+\s*\(|import\s*\($|type\s+\w+\s+(?:struct|interface)\b|.*\w\s*:=\s*|defer\s+\w|go\s+func\b|(?:if|for)\s+[^(;]*\{$",
+    "kotlin": r"(?:(?:private|public|internal|override|suspend|inline|open)\s+)*fun\s+(?:<\w+>\s*)?[\w.]+\s*\(|(?:(?:private|override|lateinit|const)\s+)*va[lr]\s+\w+\s*(?::|=|by\b)|(?:data|sealed|open)\s+class\b|when\s*\(?.*\{$",
+    "swift": r"(?:(?:private|public|static|override|mutating)\s+)*func\s+\w+\s*[<(]|(?:let|var)\s+\w+\s*[:=]|guard\s+.*\belse\b|if\s+let\b|(?:extension|protocol)\s+\w+",
+    "css": r"(?:color|background|margin|padding|border|font|display|position|width|height|max-width|min-width|max-height|min-height|top|left|right|bottom|overflow|opacity|float|cursor|z-index|line-height|text-\w+|flex|align-\w+|justify-\w+|transition|transform|content|box-\w+|(?:background|margin|padding|border|font|flex|grid|list)-[\w-]+)\s*:\s*[^:;{}()]*[^:;{}]*;?\s*\}?$|[\w.#*-][^;{}()=]*\{\s*[a-z-]+\s*:[^:].*\}$|[.#][a-zA-Z][\w-]*[^;{}()=]*\{$",
+    "sql": r"(?i:select\s+(?:distinct\s+)?[\w.*(\",\s)]+(?:\bfrom\b|,|$)|insert\s+into\s|update\s+\w+\s+set\b|create\s+(?:or\s+replace\s+|temp\w*\s+|unique\s+)*(?:table|view|index|schema|database)\s|delete\s+from\s|alter\s+table\s|drop\s+(?:table|view|index)\s|from\s+\w+|where\s+\w+|(?:group|order)\s+by\s|(?:left|right|inner|outer|cross)?\s*join\s+\w+|\w+\s+(?:integer|bigint|varchar|text|timestamp)\b(?!\s*[;(=&*]\s*[^\d\s]).*,?$)",
+    "proto": r"syntax\s*=\s*0;|message\s+\w+\s*\{|service\s+\w+\s*\{|rpc\s+\w+\s*\(|(?:repeated|optional|required)\s+[\w.]+\s+\w+\s*=\s*\d+|(?:string|bytes|u?int(?:32|64)|bool|double|float)\s+\w+\s*=\s*\d+\s*;|package\s+[\w.]+\s*;",
+}
+_TELLING = {language: re.compile(r"[ \t]*(?:" + pattern + ")") for language, pattern in _TELLING.items()}
+#: Words one of which every text of these languages holds; few C++ texts do.
+_HINT = re.compile(
+    r"===|!==|=>|:=|\b(?:function|let|var|val|require|typeof|fn|impl|pub|foreach|package|export|extends|implements|throws|func|fun|guard|syntax|message|rpc)\b|\bimport\s+\w|\busing\s+[A-Z]\w*(?:\.\w+)*\s*;|^[ \t]*(?:public|private|protected|internal)\s+\w|println!|vec!"
+    r"|(?i:\b(?:select\s+[\w*]|insert\s+into|update\s+\w+\s+set|create\s+\w+\s+\w|delete\s+from|alter\s+table|drop\s+\w))|^[ \t]*(?:const\s+\w+\s*=|[\w.#*-][^;{}()=\n]*\{\s*[a-z-]+\s*:(?!:))", re.M
+)
+#: Lines that only C++ and C hold, and declarations by a built-in type, which some of the others share.
+_CPP_LINE = re.compile(r"[ \t]*(?:#|template\s*<|namespace\s+\w*\s*\{|(?:public|private|protected)\s*:|.*(?:\bstd::|\w->\w|\bnullptr\b|\boperator\b|\w::~?\w+\s*\([^!]*\)\s*(?:const\s*)?\{|\bconst\s+[\w:<>]+\s*[&*]|\w[*&]\s+\w+\s*[,)=;]|\w\s+[*&]\w+\s*[,)=;]))")
+_BUILT_IN = re.compile(r"[ \t]*(?:.*[(,;]\s*)?(?:static\s+|inline\s+|const\s+|unsigned\s+|long\s+|constexpr\s+)*(?:int|void|bool|char|double|float|auto|size_t|unsigned|long)\b[\s*&]*\w+\s*[(,)=;\[{:]")
+_SHARE_BUILT_IN = ("java", "csharp", "proto")
+#: Share of telling lines, and how often the lines that tell of C++, from which a foreign grammar overrules a structural pass.
+TELLING_SHARE = 0.15
+TELLING_RATIO = 2.0
+
+
+def telling_share(lines: list[str], pattern: re.Pattern) -> float:
+    return sum(pattern.match(line) is not None for line in lines) / max(1, len(lines))
+
+
+def overruling(text: str) -> str | None:
+    """The language whose grammar overrules a bare structural pass as C++, by clearly more telling lines; None if none does."""
+    if text.lstrip().startswith("#!"):
+        return "shell"
+    code = masked(text)
+    # the bracketed languages parse wherever the structure does; the others have grammars of their own
+    parsed = [language for language in ("python", "shell", "markup", "diff", "markdown", "json") if _parses(language, text)]
+    if not parsed and not _HINT.search(code):
+        return None
+    lines = [line for line in code.split("\n") if any(c.isalnum() for c in line)]
+    found = [(share, language) for language, pattern in _TELLING.items() if (share := telling_share(lines, pattern)) >= TELLING_SHARE]
+    if parsed:
+        scores = language_scores(code)
+        found += [(scores[language], language) for language in parsed if scores[language] >= 0.4]
+    if not found:
+        return None
+    cpp, built_in = telling_share(lines, _CPP_LINE), telling_share(lines, _BUILT_IN)
+    found = [(-share, language) for share, language in found if share > TELLING_RATIO * (cpp + (0 if language in _SHARE_BUILT_IN else built_in))]
+    return min(found)[1] if found else None
+
+
 def classify(text: str) -> tuple[str, str]:
     """Verdict and detail of a text: ``("valid", "c++")``, ``("foreign", language)`` or ``("corrupt", reason)``.
 
-    All grammars are tried in the order of their scores; C++ comes first where it parses.
+    The languages are scored on every text.  A text that C++ accepts by structure is
+    foreign where another grammar accepts it with clearly more telling lines; a text
+    that C++ rejects is foreign where any grammar accepts it, in the order of scores.
     """
     problem = cpp_problem(text)
     if problem is None:
-        return "valid", "c++"
+        language = overruling(text)
+        return ("foreign", language) if language else ("valid", "c++")
     scores = language_scores(text)
     for language in sorted(scores, key=lambda k: (-scores[k], k)):
         if scores[language] >= 0.4 and _parses(language, text):
             return "foreign", language
+    if problem == "declaration":
+        # a head that only another language has
+        language = overruling(text)
+        if language:
+            return "foreign", language
     return "corrupt", problem

@@ -48,6 +48,43 @@ def test_foreign(language):
     assert classify(FOREIGN[language]) == ("foreign", language)
 
 
+#: Texts whose brackets balance, so that the structure alone would pass as C++.
+BALANCED = {
+    "script": "const fs = require('fs');\n\nfunction load(path, done) {\n  let text = fs.read(path);\n  if (text === null) {\n    return done();\n  }\n  return text.map((x) => x.trim());\n}\n",
+    "rust": "use crate::table;\n\npub fn total(rows: &[i64], least: i64) -> i64 {\n    let mut sum = 0;\n    for row in rows {\n        if *row > least {\n            sum += row;\n        }\n    }\n    sum\n}\n",
+    "csharp": "using System;\nusing System.Linq;\n\nnamespace Shop.Core {\n  public class Cart {\n    public int Count { get; set; }\n    private void Clear() {\n      Count = 0;\n    }\n  }\n}\n",
+    "java": "package shop.core;\n\nimport java.util.List;\n\npublic final class Cart {\n  private int count;\n  public void clear() {\n    count = 0;\n  }\n}\n",
+    "go": "package main\n\nfunc total(rows []int, least int) int {\n\tsum := 0\n\tfor _, r := range rows {\n\t\tsum += r\n\t}\n\treturn sum\n}\n",
+    "css": ".menu a {\n  color: red;\n  margin: 0 auto;\n}\nbody {\n  font-size: 12px;\n}\n",
+    "sql": "CREATE TABLE orders (id INTEGER, name VARCHAR(20));\nINSERT INTO orders VALUES (1, 'a');\nSELECT id, name\nFROM orders\nWHERE id > 3;\n",
+    "proto": 'syntax = "proto3";\n\nmessage Row {\n  string name = 1;\n  repeated int64 sizes = 2;\n}\n',
+}
+
+
+@pytest.mark.parametrize("language", BALANCED)
+def test_balanced_foreign(language):
+    assert classify(BALANCED[language])[0] == "foreign"
+
+
+@pytest.mark.parametrize("text", ["function f(a, b) { return a; }", "fn main() { run(); }", "def f(a) { b(); }", "#!/bin/sh\nrun() {\n  make all;\n}\n"])
+def test_foreign_heads(text):
+    assert classify(text)[0] != "valid"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "class A : public B {\npublic slots:\n  void f();\nprivate:\n  int a;\n};",
+        "using A = int;\nusing std::swap;\nusing namespace x::y;\nvoid f(var v) { let(v); v.select(a, from); }",
+        "// function f(a) { let x = 1; }\n/* SELECT a FROM b */\nint f() { return g([](int x) -> int { return x; }); }",
+        "struct Css { int width : 3; int color : 2; };\nint f(int k) { switch (k) { default: return 0; } }",
+        'const char* q() {\n  return R"(SELECT a\nFROM b\nWHERE c = 1)";\n}',
+    ],
+)
+def test_valid_with_foreign_words(text):
+    assert classify(text) == ("valid", "c++")
+
+
 def row(i, functions, path="src/a.cc", split="train", project="p"):
     return (i, project, "project", path, functions, split, "x", 1, "y")
 
