@@ -35,12 +35,12 @@ GENERATED_COMMENT = re.compile(
     r"@generated\b|\bdo not (?:edit|modify|change)\b|\bauto(?:matically|matic|mated)?[- ]?generated\b|\bautogen(?:erated)?:"
     r"|\bchanges? (?:\w+ ){0,3}(?:will|would) be (?:lost|overwritten|discarded)|\bregenerate\b.{0,20}\binstead\b|\bmachine[- ](?:made|generated)\b"
     r"|\b(?:written|produced|emitted|created) by (?:the )?[\w.-]+ (?:compiler|generator|tool|v?\d[\d.]*)|\boutput of [\w.-]+\s*(?:$|\*/)"
-    r"|^[\s/*#-]*(?:(?:this|the) (?:file|code|source|unit) (?:is|was|has been) |code |file )?generated (?:by|from|with|using) "
+    r"|^(?:[^\S\n]|[/*#-])*(?:(?:this|the) (?:file|code|source|unit) (?:is|was|has been) |code |file )?generated (?:by|from|with|using) "
     r"|自动生成|自動生成|请勿(?:手工|手动)?(?:修改|编辑)|automatisch (?:erzeugt|generiert|erstellt)|nicht (?:\w+ ){0,2}bearbeiten",
     re.I | re.M,
 )
 VENDORED_COMMENT = re.compile(
-    r"\bvendored (?:snapshot|copy|from|version|release)\b|\bimported from (?:the )?upstream|^[\s/*#-]*upstream:|\(?unmodified copy\b|\bbundled (?:copy|version) of\b"
+    r"\bvendored (?:snapshot|copy|from|version|release)\b|\bimported from (?:the )?upstream|^(?:[^\S\n]|[/*#-])*upstream:|\(?unmodified copy\b|\bbundled (?:copy|version) of\b"
     r"|\bthird[- ]party (?:code|copy|library|source)\b|\bdistributed under its own licen[cs]e\b|\bkeep in sync with upstream\b",
     re.I | re.M,
 )
@@ -112,7 +112,7 @@ def name_traits(name: str) -> tuple[bool, bool, bool, bool]:
 def describe(path: str, text: str, model: NameModel | None) -> dict:
     """Evidence on one file; the cross-entropy only where a model is given."""
     path = path.replace("\\", "/")
-    head = _HEAD.match(text).group()[:4000]
+    head = _HEAD.match(text).group()
     code = masked(text)
     dense = max(1, len("".join(text.split())))
     names = names_of(code)

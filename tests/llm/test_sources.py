@@ -136,6 +136,15 @@ def test_provenance_operator(spark):
     assert provenance.not_hand_written(spark.createDataFrame([], FILES)).count() == 0
 
 
+def test_notice_after_a_long_licence():
+    licence = "/*\n" + " * Permission is granted to anyone to use this software for any purpose.\n" * 120 + " */\n"
+    body = "int f(int a) {\n  return a;\n}\n"
+    assert len(licence) > 4000
+    for notice, key in (("// Code generated by tool. DO NOT EDIT.\n", "comment_generated"), ("// vendored copy of zed\n", "comment_vendored")):
+        assert provenance.describe("src/a.cc", licence + notice + body, None)[key]
+        assert not provenance.describe("src/a.cc", licence + body + notice, None)[key]
+
+
 def brute(rows):
     """All pairs of functions, with the verification alone."""
     sides = [(i, overlaps_side, f) for i, _, _, _, fs, split, *_ in rows if i is not None and (overlaps_side := side(split)) for f in fs or () if f and len("".join(f.split())) >= 200]
