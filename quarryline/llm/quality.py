@@ -4,6 +4,8 @@ Huge texts are cut into chunks of ``CHUNK`` characters.  A chunk gives partial
 counts and the state at its two edges: the piece of a word that a cut may have
 divided and the open line.  Partial counts are added up by Spark; the edge states
 of a document are joined in order, which corrects words and lines that were cut.
+Prose is judged on parts of whole lines with the lines around them; each part gives
+the sentences it counts, and Spark keeps each sentence of a document once.
 """
 
 from __future__ import annotations
@@ -18,6 +20,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 CHUNK = 1 << 16
 #: Longest piece of a divided word that is kept as text; a longer word is no common word.
 PIECE = 40
+#: Prose of a cut text is judged in parts of so many lines, each with this many lines around it.
+PART_LINES = 1024
+AROUND = 12
+#: A sentence of so many characters counts once in a text.
+REPEATED = 12
+#: Where ``str.splitlines`` ends a line, as a Java pattern.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 #: Frequent English and German words by their role in a clause.
 DETERMINERS = "the a an our every my your their his her der die das den dem des ein eine einen einem einer".split()
@@ -55,43 +64,71 @@ def token_role(token: str) -> str:
     return _ROLE.get(word) or ("x" if word.replace("-", "").replace("'", "").isalpha() else "o" if word else "")
 
 
-def prose_characters(text: str) -> tuple[int, int]:
-    """Characters other than white space of a text, and those of them in running sentences.
+def prose_lines(lines: list[str], first: int = 0, last: int | None = None) -> Iterator[tuple[int, int, list[tuple[str, int]]]]:
+    """The lines in running sentences among ``lines[first:last]``: number, characters, and each sentence's key and characters.
 
     A line counts as prose by the words of the lines around it: mostly plain words,
     enough function words, words that make clauses, and determiners that stand
-    before content words.  A sentence met before in the text doesn't count again.
+    before content words.
     """
-    lines = [line.strip() for line in text.splitlines()]
+    lines = [line.strip() for line in lines]
     stats = []
     for line in lines:
         roles, cjk = line_roles(line)
-        size = len(line) - line.count(" ") - line.count("\t")
-        stats.append((roles, cjk, size, len(_CJK_STOP.findall(line)) if cjk else 0, line[-1:] in (".", "!", "?"), line[:1].islower()))
-    total = sum(s[2] for s in stats)
-    seen: set[str] = set()
-    prose = 0
-    for i, (roles, cjk, size, *_) in enumerate(stats):
+        stats.append((roles, cjk, _size(line), len(_CJK_STOP.findall(line)) if cjk else 0, line[-1:] in (".", "!", "?"), line[:1].islower()))
+    for i in range(first, len(stats) if last is None else min(last, len(stats))):
+        roles, cjk, size = stats[i][:3]
         if not size:
             continue
         near, words = [stats[i]], len(roles)
         for step in (-1, 1):
             # two lines each way, more of them where lines are short
             j, taken = i + step, 0
-            while 0 <= j < len(stats) and stats[j][2] and (taken < 2 or taken < 12 and words < 24):
+            while 0 <= j < len(stats) and stats[j][2] and (taken < 2 or taken < AROUND and words < 24):
                 near.append(stats[j])
                 words += len(stats[j][0])
                 j, taken = j + step, taken + 1
         item = len(roles) <= 9 and _ITEM.match(lines[i]) and lines[i][-1] not in ".!?…:" or _STAMP.match(lines[i])
         if not item and _is_prose(roles, cjk, size, near):
-            fresh = 0
-            for sentence in _SENTENCE.findall(lines[i]):
-                key = sentence.strip().lower()
-                if key and (len(key) < 12 or key not in seen):
-                    fresh += len(sentence) - sentence.count(" ")
-                seen.add(key)
-            prose += min(size, fresh + size - sum(len(s) - s.count(" ") for s in _SENTENCE.findall(lines[i])))
-    return total, prose
+            yield i, size, [(s.strip().lower(), len(s) - s.count(" ")) for s in _SENTENCE.findall(lines[i])]
+
+
+def _size(line: str) -> int:
+    return len(line) - line.count(" ") - line.count("\t")
+
+
+def prose_characters(text: str) -> tuple[int, int]:
+    """Characters other than white space of a text, and those of them in running sentences.
+
+    A sentence met before in the text doesn't count again.
+    """
+    lines = text.splitlines()
+    seen: set[str] = set()
+    prose = 0
+    for _, size, sentences in prose_lines(lines):
+        prose += size
+        for key, length in sentences:
+            if not key or len(key) >= REPEATED and key in seen:
+                prose -= length
+            seen.add(key)
+    return sum(_size(line.strip()) for line in lines), prose
+
+
+def part_prose(lines: list[str], first: int, last: int) -> tuple[int, dict[int, tuple[int, int]]]:
+    """Prose of ``lines[first:last]`` aside from sentences that may be met again, and of these, by hash, the place and characters of the first."""
+    import xxhash
+
+    prose = 0
+    found: dict[int, tuple[int, int]] = {}
+    for i, size, sentences in prose_lines(lines, first, last):
+        prose += size
+        for place, (key, length) in enumerate(sentences):
+            if not key or len(key) >= REPEATED:
+                prose -= length
+            if len(key) >= REPEATED:
+                hashed = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
+                found.setdefault(hashed - (1 << 63), (((i - first) << 32) + place, length))
+    return prose, found
 
 
 def _is_prose(roles: str, cjk: int, size: int, near: list[tuple[str, int, int, int, bool, bool]]) -> bool:
@@ -111,7 +148,7 @@ def _is_prose(roles: str, cjk: int, size: int, near: list[tuple[str, int, int, i
     return helpers >= 0.25 * words and clauses >= 0.03 * words and bad <= max(1, 0.1 * determiners) and bad <= 0.3 * determiners
 
 
-def chunk_counts(text: str) -> dict:
+def chunk_counts(text: str, whole: bool = True) -> dict:
     """Partial counts of one chunk, and what a neighbour needs to correct them.
 
     The words at the two edges stay uncounted and are handed on as ``head`` and
@@ -129,7 +166,8 @@ def chunk_counts(text: str) -> dict:
     marks = [line.rstrip()[-1:] for line in lines]
     spaces = sum(map(str.isspace, text))
     total = len(text) - spaces
-    prose = min(total, prose_characters(text)[1])
+    # the prose of a cut text is judged in parts of whole lines
+    prose = min(total, prose_characters(text)[1]) if whole else 0
     return {
         "words": len(inner),
         "letters": sum(map(len, inner)),
@@ -193,15 +231,40 @@ def join_edges(states: list[dict]) -> dict:
     return extra
 
 
+def _columns(states: list[dict | None]) -> list[pa.Array]:
+    names = [f.split()[0] for f in _FIELDS.split(", ")]
+    return [pa.array([s and s[n] for s in states], pa.string() if n in ("head", "tail", "first_mark", "last_mark") else pa.bool_() if n == "solid" else pa.int64()) for n in names]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _FIELDS.split(", ")]
     for batch in batches:
         states = [chunk_counts(t) for t in batch.column(2).to_pylist()]
-        columns = [pa.array([s[n] for s in states], pa.string() if n in ("head", "tail", "first_mark", "last_mark") else pa.bool_() if n == "solid" else pa.int64()) for n in names]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "part", *names])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_columns(states)], ["key", "part", *names])
+
+
+def _count_parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the chunks of cut texts; prose of their parts of lines, and a row for each sentence that may be met again."""
+    names = [f.split()[0] for f in _FIELDS.split(", ")]
+    for batch in batches:
+        rows, parts, hashes, places, states = [], [], [], [], []
+        for row, (lined, part, text) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
+            found = [(part, 0, 0, chunk_counts(text, whole=False))]
+            if lined:
+                first = min(part * size, AROUND)
+                prose, sentences = part_prose(text.split("\n"), first, first + size)
+                found = [(part, 0, 0, _EMPTY | {"prose": prose})]
+                found += [(-1, h, ((part * size) << 32) + place, _EMPTY | {"prose": length}) for h, (place, length) in sentences.items()]
+            for a, h, place, state in found:
+                rows.append(row), parts.append(a), hashes.append(h), places.append(place), states.append(state)
+        keys, lined = batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([keys, lined, pa.array(parts, pa.int32()), pa.array(hashes, pa.int64()), pa.array(places, pa.int64()), *_columns(states)], ["key", "lined", "part", "sentence", "place", *names])
+
+
+_EMPTY = {f.split()[0]: 0 if f.split()[1] == "long" else None for f in _FIELDS.split(", ")}
 
 
-def text_statistics(df: DataFrame, ids: str = "doc_id", texts: str = "text", chunk: int = CHUNK) -> DataFrame:
+def text_statistics(df: DataFrame, ids: str = "doc_id", texts: str = "text", chunk: int = CHUNK, part_lines: int = PART_LINES) -> DataFrame:
     """Statistics of every row's text.
 
     Gives the id as ``doc_id``, and ``words`` (runs without white space),
@@ -218,11 +281,23 @@ def text_statistics(df: DataFrame, ids: str = "doc_id", texts: str = "text", chu
     # only texts that are cut need a key for their row
     long = rows.where(F.length("text") > chunk).select(F.struct("doc_id", F.uuid().alias("row")).alias("key"), "text")
     parts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
-    cut_up = long.select("key", F.posexplode(F.transform(parts, lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)))).alias("part", "text"))
+    chunks = F.transform(parts, lambda i: F.struct(F.lit(False).alias("lined"), i.alias("part"), F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)).alias("text")))
+    groups = F.sequence(F.lit(0), F.floor((F.size("split") - 1) / part_lines).cast("int"))
+    start = lambda i: F.greatest(F.lit(0), i * part_lines - AROUND)
+    around = lambda i: F.array_join(F.slice(F.col("split"), start(i) + 1, (i + 1) * part_lines + AROUND - start(i)), "\n")
+    lines = F.transform(groups, lambda i: F.struct(F.lit(True).alias("lined"), i.alias("part"), around(i).alias("text")))
+    # chunks and parts come from one pass, as the key of a row is made anew in each
+    cut_up = long.withColumn("split", F.split("text", LINE_END, -1)).select("key", F.inline(F.concat(chunks, lines)))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"key struct<doc_id:{kind},row:string>, part int, {_FIELDS}"
     whole = _ratios(_edges(short.mapInArrow(_count, schema).select(F.col("key.doc_id"), *_SUMS, F.array(F.struct("part", *_EDGE)).alias("edges"))))
-    counted = cut_up.mapInArrow(_count, schema).groupBy("key").agg(*[F.sum(c).alias(c) for c in _SUMS], F.array_sort(F.collect_list(F.struct("part", *_EDGE))).alias("edges"))
+    fields = [f.split()[0] for f in _FIELDS.split(", ")]
+    schema = f"key struct<doc_id:{kind},row:string>, lined boolean, part int, sentence long, place long, {_FIELDS}"
+    counted = cut_up.mapInArrow(lambda batches: _count_parts(batches, part_lines), schema)
+    # of the rows of one sentence the first is kept; all others are alone
+    counted = counted.groupBy("key", "lined", "part", "sentence").agg(F.min_by(F.struct(*fields), "place").alias("counts")).select("key", "lined", "part", "counts.*")
+    edges = F.array_sort(F.collect_list(F.when(~F.col("lined"), F.struct("part", *_EDGE)))).alias("edges")
+    counted = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in _SUMS], edges).withColumn("prose", F.least("prose", "characters"))
     return whole.unionByName(_ratios(_edges(counted.select("key.doc_id", *_SUMS, "edges"))))
 
 

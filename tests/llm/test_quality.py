@@ -51,3 +51,17 @@ def test_repeated_ids_and_empty_table(spark):
     assert sorted(r.words for r in quality.text_statistics(df).collect()) == [1, 2, 3]
     assert sorted(r.words for r in quality.text_statistics(df, chunk=1).collect()) == [1, 2, 3]
     assert quality.text_statistics(spark.createDataFrame([], df.schema)).count() == 0
+
+
+@pytest.mark.parametrize(("chunk", "part_lines"), [(7, 1), (100, 3), (1000, 40)])
+def test_prose_of_cut_texts(spark, chunk, part_lines):
+    """Repetition and neighbouring lines count across the cuts."""
+    pick = random.Random(chunk)
+    lines = [*PROSE.split(". "), PROSE, PROSE.upper(), "", "a, b", "- drop it", "So we", "is it\tyours? yes. no.", "x = 1;", "请注意，共享的函数和嵌套的语法树并不相同。"]
+    texts = [pick.choice(["\n", "\r\n", "\r", "\u2028"]).join(pick.choice(lines) for _ in range(pick.randrange(1, 60))) for _ in range(30)]
+    passage = " ".join(f"The part {i} of that plan is so old that we have lost it, and nobody has asked why." for i in range(20))
+    texts += ["\n".join([passage] * 10), passage, PROSE + "\n", "\n" * 30]
+    df = spark.createDataFrame([(i % 20, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    read = lambda **kw: sorted((r.doc_id, r.words, r.prose_share or 0, r.kind) for r in quality.text_statistics(df, **kw).collect())
+    assert read(chunk=chunk, part_lines=part_lines) == read()
+    assert (len(texts) - 4) % 20 in {r.doc_id for r in quality.other_than_prose(df.limit(len(texts) - 3)).collect()}
