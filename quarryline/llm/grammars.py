@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 
+from quarryline.llm.cpp import syntax_problem
+
 # every alternative begins with a fixed character, which keeps the scan fast
 _MASKED = re.compile(
     r"""/(?:/(?:\\\n|[^\n])*|\*.*?\*/)|R"(?P<raw>[^()\\\s]{0,16})\(.*?\)(?P=raw)"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])+'""", re.S
@@ -19,14 +21,13 @@ _MERGE = re.compile(r"^(?:<{7}(?:[ :].*)?|>{7}(?: .*)?|\|{7}(?: .*)?|={7})[ \t\r
 _STRAY = re.compile(r"[^\w\s!-~]|[@`$]|\\(?![ \t\r]*\n)")
 _DIRECTIVE = re.compile(r"^[ \t]*#(?:\\\r?\n|[^\n])*", re.M)
 _DIRECTIVE_WORD = re.compile(r"\s*#\s*(\w*)")
-#: An operator that may lack the operand on its right.
-_NO_OPERAND = re.compile(r"[=|>:+/%^?.-]\s*[)\];,}]")
-_EDGE = re.compile(r"[(){}\[\];]")
+_DISABLED = re.compile(r"^[ \t]*#[ \t]*if[ \t]+(?:0|false)[ \t\r]*$", re.M)
+_EDGE = re.compile(r"[(){}\[\]]")
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
+#: Heads at the left margin that only other languages have.
 _FOREIGN = re.compile(
-    r"(?:export\s+)?(?:async\s+)?(?:def|function|fn|func|let|var)\s+\w+\s*[(=:]|(?:package|import)\s+[\w.]+\s*[^\w.;\s]|(?:package|import)\s+[\w.]+\s+[A-Za-z_]|(?:public|private|protected)\s+(?:class|static|final|void|int)\b|from\s+\w+\s+import\b|class\s+\w+\s*\(|class\s+\w+\s+extends\b"
+    r"^(?:(?:export\s+)?(?:async\s+)?(?:def|function|fn|func|let|var)\s+\w+\s*[(=:]|(?:package|import)\s+[\w.]+\s*[^\w.;\s]|(?:package|import)\s+[\w.]+\s+[A-Za-z_]|(?:public|private|protected)\s+(?:class|static|final|void|int)\b|from\s+\w+\s+import\b|class\s+\w+\s*\(|class\s+\w+\s+extends\b)", re.M
 )
-_CALL = re.compile(r"\w+\s*\(.*\)", re.S)
 
 
 def _mask(match: re.Match) -> str:
@@ -38,25 +39,43 @@ def _mask(match: re.Match) -> str:
 
 def masked(text: str) -> str:
     """A C++ text with comments as blanks and literals as zeros; lines stay."""
-    if "'" in text:
-        text = _SEPARATED.sub(lambda m: m.group().replace("'", ""), text)
-    return _MASKED.sub(_mask, text)
-
-
-def _lacks_operand(code: str) -> bool:
-    for match in _NO_OPERAND.finditer(code):
-        at = match.start()
-        sign, before = code[at], code[at - 1 : at]
-        if sign == "=" and before in ("[", "(", ",") or sign in "+-." and before == sign or sign == "." and before.isdigit():
-            continue
-        if sign == ">" and before != "-" or sign == ":" and before != ":" or "operator" in code[max(0, at - 12) : at]:
-            continue
-        return True
-    return False
+    return _MASKED.sub(_mask, _digits_joined(text))
+
+
+def _string_mask(match: re.Match) -> str:
+    token = match.group()
+    return "0s" if token[0] not in "/'" else _mask(match)
+
+
+def _digits_joined(text: str) -> str:
+    return _SEPARATED.sub(lambda m: m.group().replace("'", ""), text) if "'" in text else text
 
 
-def branches(text: str, last: bool) -> str | None:
-    """The text without directives and with one branch of each conditional: the first, or the last; None if they don't pair."""
+def without_disabled(code: str) -> str:
+    """The text without what ``#if 0`` switches off; its directives stay."""
+    if not _DISABLED.search(code):
+        return code
+    kept, at, depth = [], 0, 0
+    for match in _DIRECTIVE.finditer(code):
+        word = _DIRECTIVE_WORD.match(match.group()).group(1)
+        if depth:
+            if word in ("if", "ifdef", "ifndef"):
+                depth += 1
+            elif word == "endif" or depth == 1 and word.startswith("el"):
+                depth -= 1
+                if not depth:
+                    at = match.start()
+        elif _DISABLED.match(match.group()):
+            kept.append(code[at : match.end()])
+            depth, at = 1, len(code)
+    return "".join(kept) + "\n" + code[at:]
+
+
+def branches(text: str, number: int) -> tuple[str, int] | None:
+    """The text without directives and with one branch of each conditional, and the most branches after a first one.
+
+    The branch is the one of this number, or the last where there are fewer; None if the directives don't pair.
+    """
     kept: list[tuple[str, tuple]] = []
     stack: list[list[int]] = []
     final: dict[int, int] = {}
@@ -82,68 +101,59 @@ def branches(text: str, last: bool) -> str | None:
     kept.append((text[at:], ()))
     if stack:
         return None
-    return "".join(piece for piece, where in kept if all(branch == (final[s] if last else 0) for s, branch in where))
+    return "".join(piece for piece, where in kept if all(branch == min(number, final[s]) for s, branch in where)), max(final.values(), default=0)
 
 
 def cpp_problem(text: str) -> str | None:
-    """Why a text isn't C++ that can be parsed; None if it can."""
-    code = masked(text)
+    """Why a text isn't C++ that can be parsed; None if it can.
+
+    Each branch of a conditional is parsed with the text around it, all first
+    branches together, then all second ones, and so on; what ``#if 0`` switches off isn't read.
+    """
+    code = without_disabled(_MASKED.sub(_string_mask, _digits_joined(text)))
     if "/*" in code or "*/" in code:
         return "comment"
     if _MERGE.search(code):
         return "merge"
+    if "%:" in code:
+        code = re.sub(r"^[ \t]*%:", "#", code, flags=re.M)
     plain = _DIRECTIVE.sub("", code) if "#" in code else code
     if '"' in plain or "'" in plain:
         return "literal"
     if "#" in plain or _STRAY.search(plain):
         return "character"
+    if _FOREIGN.search(plain):
+        return "declaration"
     if "#" not in code:
-        return _structure(code)
-    first = branches(code, False)
-    if first is None:
-        return "conditional"
-    problem = _structure(first)
-    if problem is None and ("#el" in code or re.search(r"#\s*el", code)):
-        problem = _structure(branches(code, True))
-    return problem
-
-
-def _structure(code: str) -> str | None:
-    """Brackets, operands and whole declarations."""
+        return syntax_problem(code)
+    number = most = 0
+    while number <= most:
+        chosen = branches(code, number)
+        if chosen is None:
+            return "conditional"
+        most = chosen[1]
+        problem = syntax_problem(chosen[0])
+        if problem:
+            return problem
+        number += 1
+    return None
+
+
+def balanced(code: str) -> bool:
+    """Whether the brackets of a masked text pair."""
     stack: list[str] = []
-    start = 0
-    fresh, initialiser = True, False
-    for match in _EDGE.finditer(code):
-        token = match.group()
-        if fresh and not stack:
-            head = code[start : match.start()].strip()
-            # the bracket belongs to what tells a foreign head
-            if not head and token == "{" or head and _FOREIGN.match(head + token):
-                return "declaration"
-            # an initialiser goes on to its semicolon; the block of any other declaration ends it
-            fresh, initialiser = False, "=" in head and "operator" not in head
+    for token in _EDGE.findall(code):
         if token in _CLOSES:
             stack.append(_CLOSES[token])
-        elif token != ";":
-            if not stack or stack.pop() != token:
-                return "bracket"
-            if not stack and token == "}" and not initialiser:
-                start, fresh = match.end(), True
-        elif not stack:
-            start, fresh = match.end(), True
-    if stack:
-        return "bracket"
-    rest = code[start:].strip()
-    if rest and not _CALL.fullmatch(rest):
-        return "declaration"
-    return "operand" if _lacks_operand(code) else None
+        elif not stack or stack.pop() != token:
+            return False
+    return not stack
 
 
 # --- other languages: a ranking by telling tokens, then a grammar for each ---
 
 _PYTHON_LINE = re.compile(r"\s*(?:(?:def|class|if|elif|for|while|with|try|except|else|finally)\b.*:|(?:import|from|return|pass|raise|yield|break|continue)\b.*|@\w[\w.]*.*|#.*|\"\"\".*|[\w.\[\], ()'\"]+\s*[-+*/|&]?=\s*.+|[\w.]+\(.*\)|[\])}].*)\s*")
 _SHELL_LINE = re.compile(r"\s*(?:#.*|set\s.*|export\s.*|(?:if|elif|for|while|until)\b.*(?:then|do)?(?:;.*)?|then|else|fi|do|done|esac|case\s.*|\w+=\S*|[\w./-]+(?:\s.*)?)\s*")
-_DIFF_LINE = re.compile(r"(?:diff .*|index .*|---? .*|\+\+\+ .*|@@ .*|[-+ ].*|\S.*|)")
 _MARKUP = re.compile(r"<(!DOCTYPE|/?[a-zA-Z][\w-]*)(?:\s[^<>]*)?/?>")
 _SCRIPT = re.compile(r"\b(?:function|const|let|var|=>|require|export|typeof|===)")
 _JAVA = re.compile(r"\b(?:package|import|public|private|extends|implements|final)\b")
@@ -168,12 +178,27 @@ def language_scores(text: str) -> dict[str, float]:
     }
 
 
+def _python(text: str) -> bool:
+    """Python's own grammar, and line by line what only older versions read."""
+    import ast
+    import warnings
+
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
+        return True
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        lines = [line for line in text.splitlines() if line.strip()]
+        return all(map(_PYTHON_LINE.fullmatch, lines)) and not any(line.rstrip().endswith((";", "{")) for line in lines)
+
+
 def _parses(language: str, text: str) -> bool:
     lines = [line for line in text.splitlines() if line.strip()]
     if language == "binary":
         return True
     if language == "python":
-        return all(_PYTHON_LINE.fullmatch(line) for line in lines) and not any(line.rstrip().endswith((";", "{")) for line in lines)
+        return _python(text)
     if language == "shell":
         return text.lstrip().startswith("#!") or (text.count("then") == sum(line.split("#")[0].split()[-1:] == ["fi"] or "; fi" in line for line in lines) and all(_SHELL_LINE.fullmatch(x) for x in lines))
     if language == "markup":
@@ -190,7 +215,7 @@ def _parses(language: str, text: str) -> bool:
         except ValueError:
             return False
         return True
-    return _structure(masked(text)) in (None, "declaration")
+    return balanced(masked(text))
 
 
 # Languages with the brackets of C++, which its structural grammar alone would let pass.
@@ -247,24 +272,32 @@ def overruling(text: str) -> str | None:
     return min(found)[1] if found else None
 
 
+def ranking(text: str) -> list[tuple[float, str]]:
+    """All languages by their telling tokens a line, the likeliest first; ties in the order of names."""
+    code = masked(text)
+    lines = [line for line in code.split("\n") if any(c.isalnum() for c in line)]
+    scores = language_scores(text)
+    for language, pattern in _TELLING.items():
+        scores[language] = max(scores.get(language, 0.0), telling_share(lines, pattern))
+    scores["c++"] = telling_share(lines, _CPP_LINE) + telling_share(lines, _BUILT_IN)
+    return sorted(((score, language) for language, score in scores.items()), key=lambda x: (-x[0], x[1]))
+
+
 def classify(text: str) -> tuple[str, str]:
     """Verdict and detail of a text: ``("valid", "c++")``, ``("foreign", language)`` or ``("corrupt", reason)``.
 
-    The languages are scored on every text.  A text that C++ accepts by structure is
-    foreign where another grammar accepts it with clearly more telling lines; a text
-    that C++ rejects is foreign where any grammar accepts it, in the order of scores.
+    Every grammar is tried on every text.  A text that C++ accepts is foreign where
+    another grammar accepts it too and clearly more of its lines tell of that
+    language.  A text that C++ rejects is foreign where a grammar of a language that
+    ranks before C++ accepts it, the likeliest language first; else it is corrupt.
     """
     problem = cpp_problem(text)
     if problem is None:
         language = overruling(text)
         return ("foreign", language) if language else ("valid", "c++")
-    scores = language_scores(text)
-    for language in sorted(scores, key=lambda k: (-scores[k], k)):
-        if scores[language] >= 0.4 and _parses(language, text):
-            return "foreign", language
-    if problem == "declaration":
-        # a head that only another language has
-        language = overruling(text)
-        if language:
+    for score, language in ranking(text):
+        if language == "c++" or not score:
+            break
+        if _parses(language, text):
             return "foreign", language
     return "corrupt", problem
