@@ -247,6 +247,11 @@ TELLING_SHARE = 0.15
 TELLING_RATIO = 2.0
 
 
+def hinted(code: str) -> bool:
+    """Whether a masked text holds a word that tells of another bracketed language."""
+    return _HINT.search(code) is not None
+
+
 def telling_share(lines: list[str], pattern: re.Pattern) -> float:
     return sum(pattern.match(line) is not None for line in lines) / max(1, len(lines))
 
@@ -258,7 +263,7 @@ def overruling(text: str) -> str | None:
     code = masked(text)
     # the bracketed languages parse wherever the structure does; the others have grammars of their own
     parsed = [language for language in ("python", "shell", "markup", "diff", "markdown", "json") if _parses(language, text)]
-    if not parsed and not _HINT.search(code):
+    if not parsed and not hinted(code):
         return None
     lines = [line for line in code.split("\n") if any(c.isalnum() for c in line)]
     found = [(share, language) for language, pattern in _TELLING.items() if (share := telling_share(lines, pattern)) >= TELLING_SHARE]

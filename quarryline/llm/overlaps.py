@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarryline.llm.grammars import classify, masked
-from quarryline.llm.provenance import DENSE_TEXT, KEYWORDS, LITERAL_SHARE, NUMBERED_NAMES, UNIFORM_LINES, describe
-from quarryline.llm.splits import clean_path, entity
+from quarryline.llm.provenance import KEYWORDS, corpus_names, evidence_of, flagged, source_texts
+from quarryline.llm.splits import entity
+from quarryline.llm.syntax import verdicts_of
 from quarryline.plans.lineage import cut
 
 #: Functions and texts with fewer characters other than white space don't count.
@@ -29,7 +29,18 @@ LEAST_CHARACTERS = 200
 ONE_IN = 5
 
 _COMMENT = re.compile(r'//(?:\\\n|[^\n])*|/\*.*?\*/|("(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\')', re.S)
-_NAME = re.compile(r"(?<![\w.\"])(?<!->)(?<!::)([a-z][a-z0-9]*)\b(?!\s*(?:::|\())|(?<=[\w>&*] )(?<!return )([a-z][a-z0-9]*)(?=\s*\()|\"(?:\\.|[^\"\\\n])*\"")
+#: Strings, members, names with what qualifies them and the parenthesis of a call, numbers, and single signs.
+_PIECE = re.compile(r'"(?:\\.|[^"\\\n])*"|(?:->|::|\.)\s*[A-Za-z_~]\w*|[A-Za-z_]\w*(?:::[~\w]+)*(?:\s*\()?|\.?\d[\w.]*|[^\s\w]')
+#: A name that a declarator, a list or a statement goes on from, after a blank or a reference sign.
+_DECLARATOR = re.compile(r"[\s*&](?<=[\w>*&][\s*&]|\s[*&])([A-Za-z_]\w*)\s?(?=[=;,)({:\[])(?!::)")
+_TYPE_WORD = re.compile(r"\w*\Z")
+#: Names bound together, and captures that begin with a value of their own.
+_BOUND = re.compile(r"\bauto\s*&*\s*\[([\w\s,]+)\]")
+_CAPTURED = re.compile(r"\[([^\[\]=]*\w\s*=[^\[\]]*)\]\s*[({]")
+#: Words before a name that declare nothing.
+_NO_TYPE = frozenset("return throw new delete else case goto co_return co_yield co_await sizeof typename using namespace operator and or not public private protected if while switch do class struct enum union".split())
+#: A name that reads as a local where nothing else declares it: no member, constant or type, by its spelling.
+_LOCAL = re.compile(r"(?!(?:m|g|s)_|k[A-Z0-9]|\w*_t\Z)[a-z]\w*(?<!_)\Z")
 _HEADER_NAME = re.compile(r"(?:[\w~]+::)*~?\w+\s*(?=\()")
 _MARK = re.compile(r"[(){};]")
 _BLANK = "\x01"
@@ -41,22 +52,68 @@ def split_class(split: Column) -> Column:
     return F.when(name.isin("train", "training"), "train").when(name.isin("val", "valid", "validation", "dev"), "validation").when(name == "test", "test")
 
 
+class _Words(dict):
+    """Of each word: its name if it may be a blank, whether it is one undeclared, and whether it is called."""
+
+    def __missing__(self, word: str) -> tuple[str | None, bool, bool]:
+        called = word[-1] == "("
+        name = word[:-1].rstrip() if called else word
+        if not (name[:1].isalpha() or name[:1] == "_") or ":" in name or name in KEYWORDS:
+            name = None
+        # what reads as a local is one unless it is called; any other name must be declared
+        found = name, bool(name and not called and _LOCAL.match(name)), called
+        if len(self) < 300_000:
+            self[word] = found
+        return found
+
+
+_WORDS = _Words()
+
+
+def declared(code: str, asked: Set[str]) -> Set[str]:
+    """Which of some names a function declares as parameters or locals, in any spelling."""
+    found: set[str] = set()
+    if not asked:
+        return found
+    for match in _DECLARATOR.finditer(code):
+        name, at = match.group(1), match.start()
+        if name not in asked or name in found:
+            continue
+        before = code[max(0, at - 60) : at + 1]
+        kind = before.rstrip(" \n\t*&")
+        signs = before[len(kind) :]
+        # a sign between blanks is an operator, and so is an angle after a blank
+        if signs[:1].isspace() and signs[-1:].isspace() and signs.strip() or kind[-1:] == ">" and (kind[-2:-1].isspace() or kind[-2:] == "->"):
+            continue
+        word = _TYPE_WORD.search(kind).group()
+        if (word or kind[-1:] == ">") and word not in _NO_TYPE and not word[:1].isdigit():
+            found.add(name)
+    if "auto" in code:
+        found.update(n.strip() for names in _BOUND.findall(code) for n in names.split(",") if n.strip())
+    if "](" in code or "] {" in code or "]{" in code:
+        found.update(name for inner in _CAPTURED.findall(code) for name in re.findall(r"(?:\A|,)\s*&?(\w+)\s*=", inner))
+    return found & asked
+
+
 def statements(text: str) -> tuple[list[str], list[list[str]]]:
     """The statements of a function with blanks for its own names, and these names by statement."""
     code = _COMMENT.sub(lambda m: m.group(1) or " ", text)
     brace = code.find("{")
     head = code[:brace] if brace >= 0 else code
     code = _HEADER_NAME.sub(" ", head, count=1) + (code[brace:] if brace >= 0 else "")
-    names: list[str] = []
-
-    def blank(match: re.Match) -> str:
-        name = match.group(1) or match.group(2)
-        if name is None or name in KEYWORDS:
-            return match.group()
-        names.append(name)
-        return _BLANK
-
-    code = "".join(_NAME.sub(blank, code).split())
+    words = _PIECE.findall(code)
+    blanks, asked = {}, {}
+    for word in set(words):
+        name, local, called = _WORDS[word]
+        if local:
+            blanks[word] = _BLANK
+        elif name:
+            asked.setdefault(name, []).append((word, _BLANK + "(" if called else _BLANK))
+    for name in declared(code, asked.keys()):
+        blanks.update(asked[name])
+    names = [_WORDS[w][0] for w in words if w in blanks]
+    get = blanks.get
+    code = "".join("".join([get(w, w) for w in words]).split())
     pieces, depth, start = [], 0, 0
     for match in _MARK.finditer(code):
         mark = match.group()
@@ -246,8 +303,8 @@ def _sided(files: DataFrame) -> DataFrame:
     return files.where(side.isNotNull() & F.col("file_id").isNotNull() & F.col("func_src").isNotNull()).withColumn("side", F.when(side == "train", "t").otherwise("e"))
 
 
-def shared_functions(files: DataFrame) -> DataFrame:
-    """``e_file, t_file``: evaluation and training files that share a function, each pair once."""
+def _matches(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The owners of each function as ``key, side, file_id``, and the matched functions as ``e, t``."""
     functions = cut(_sided(files).select("file_id", "side", "func_src").mapInArrow(_functions, "file_id long, side string, key long, string array<long>, names string"))
     # copies of one function become one row, before any function meets another
     distinct = cut(functions.groupBy("key").agg(F.first("string").alias("string"), F.first("names").alias("names"), F.bool_or(F.col("side") == "e").alias("e"), F.bool_or(F.col("side") == "t").alias("t")))
@@ -264,40 +321,36 @@ def shared_functions(files: DataFrame) -> DataFrame:
     verified = paired.select("e", "t", "e_string", "e_names", "t_string", "t_names").mapInArrow(_verify, "e long, t long")
     equal = distinct.where("e and t").select(F.col("key").alias("e"), F.col("key").alias("t"))
     owners = functions.select("key", "side", "file_id").distinct()
+    return owners, verified.union(equal)
+
+
+def shared_functions(files: DataFrame) -> DataFrame:
+    """``e_file, t_file``: evaluation and training files that share a function, each pair once."""
+    owners, matched = _matches(files)
     e_owners = owners.where("side = 'e'").select(F.col("key").alias("e"), F.col("file_id").alias("e_file"))
     t_owners = owners.where("side = 't'").select(F.col("key").alias("t"), F.col("file_id").alias("t_file"))
-    return verified.union(equal).join(e_owners, "e").join(t_owners, "t").select("e_file", "t_file").distinct()
+    return matched.join(e_owners, "e").join(t_owners, "t").select("e_file", "t_file").distinct()
 
 
 def _equal_texts(files: DataFrame) -> DataFrame:
-    """``e_file, t_file`` of equal texts, white space aside, where the file is generated, copied, data or no C++.
+    """``file_id, side, text_key`` of the files of problems 3 and 5 whose text, white space aside, both sides hold.
 
-    Which files are such is asked only of those that have an equal on the other
-    side; the evidence is that of ``provenance`` without the corpus-wide name model.
+    Which files are such is told as ``not_hand_written`` and ``unparsable_files``
+    tell it, with the models of all texts, but asked only of files that have an
+    equal on the other side.  A pair counts if both of its files are such.
     """
-    text = F.array_join("func_src", "\n\n")
-    dense = F.regexp_replace(text, r"\s+", "")
-    sized = _sided(files).select("file_id", "side", F.coalesce(clean_path(F.col("cppFile")), F.lit("")).alias("path"), text.alias("text"), dense.alias("dense")).where(F.length("dense") >= LEAST_CHARACTERS)
-    keyed = sized.select("file_id", "side", "path", "text", F.sha2("dense", 256).alias("text_key"))
-    keys = keyed.groupBy("text_key").agg(F.bool_or(F.col("side") == "e").alias("e"), F.bool_or(F.col("side") == "t").alias("t")).where("e and t").select("text_key")
-
-    def produced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flags = []
-            for path, body in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                d = describe(path, body, None)
-                flags.append(
-                    d["path_vendored"] or d["path_generated"] or d["comment_generated"] or d["comment_vendored"] or d["literals"] >= LITERAL_SHARE or d["blank"] < DENSE_TEXT
-                    or d["lines"] >= 10 and (d["numbered"] > NUMBERED_NAMES or d["uniform"] >= UNIFORM_LINES) or classify(body)[0] != "valid"
-                )
-            kept = batch.filter(pa.array(flags, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2)], ["file_id", "side", "text_key"])
-
-    found = keyed.join(keys, "text_key").select("file_id", "side", "text_key", "path", "text").mapInArrow(produced, "file_id long, side string, text_key string").distinct()
-    found = cut(found)
-    e = found.where("side = 'e'").select("text_key", F.col("file_id").alias("e_file"))
-    t = found.where("side = 't'").select("text_key", F.col("file_id").alias("t_file"))
-    return e.join(t, "text_key").select("e_file", "t_file").distinct()
+    dense = F.translate(F.array_join("func_src", "\n\n"), " \t\n\r\f\v", "")
+    # keys are written once, as both the count of sides and the join read them
+    keyed = cut(_sided(files).select("file_id", "side", dense.alias("dense")).where(F.length("dense") >= LEAST_CHARACTERS).select("file_id", "side", F.sha2("dense", 256).alias("text_key")))
+    both = keyed.groupBy("text_key").agg(F.bool_or(F.col("side") == "e").alias("e"), F.bool_or(F.col("side") == "t").alias("t")).where("e and t").select("text_key")
+    equal = cut(keyed.join(both, "text_key").distinct())
+    if equal.isEmpty():
+        return equal
+    texts = source_texts(files)
+    asked = cut(texts.join(equal.select("file_id").distinct(), "file_id", "left_semi"))
+    produced = flagged(evidence_of(asked, *corpus_names(texts)))
+    broken = verdicts_of(asked).where("verdict != 'valid'").select("file_id")
+    return equal.join(produced.union(broken).distinct(), "file_id", "left_semi")
 
 
 def overlapping_files(files: DataFrame) -> DataFrame:
@@ -307,14 +360,36 @@ def overlapping_files(files: DataFrame) -> DataFrame:
     delivered under splits of both sides takes part on both, but never with
     itself.  Extra columns are ignored.
     """
-    pairs = shared_functions(files).union(_equal_texts(files)).where("e_file != t_file")
+    texts = _equal_texts(files)
+    e = texts.where("side = 'e'").select("text_key", F.col("file_id").alias("e_file"))
+    t = texts.where("side = 't'").select("text_key", F.col("file_id").alias("t_file"))
+    pairs = shared_functions(files).union(e.join(t, "text_key").select("e_file", "t_file")).where("e_file != t_file")
     return pairs.select(F.least("e_file", "t_file").alias("file_id_a"), F.greatest("e_file", "t_file").alias("file_id_b")).distinct()
 
 
+def repeated_files(files: DataFrame) -> DataFrame:
+    """``file_id`` of the evaluation files that overlap with a train file, found without listing the pairs.
+
+    Of the files on the train side of a function or text the smallest and the
+    largest id are kept: an evaluation file overlaps unless both are its own.
+    """
+    owners, matched = _matches(files)
+    ends = lambda rows, key: rows.groupBy(key).agg(F.min("file_id").alias("low"), F.max("file_id").alias("high"))
+    train = ends(owners.where("side = 't'").withColumnRenamed("key", "t"), "t")
+    partners = matched.join(train, "t").groupBy("e").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = owners.where("side = 'e'").join(partners, F.col("key") == F.col("e")).select("file_id", "low", "high")
+    texts = _equal_texts(files)
+    equal = texts.where("side = 'e'").join(ends(texts.where("side = 't'"), "text_key"), "text_key").select("file_id", "low", "high")
+    return found.union(equal).where("low != file_id or high != file_id").select("file_id").distinct()
+
+
 def overlap_report(files: DataFrame) -> DataFrame:
-    """For every evaluation split and repository: ``split, repository, files, repeated``, the files and how many a train file repeats."""
-    pairs = shared_functions(files).union(_equal_texts(files)).where("e_file != t_file").select(F.col("e_file").alias("file_id")).distinct().withColumn("hit", F.lit(1))
+    """For every evaluation split and repository: ``split, repository, files, repeated``, the files and how many a train file repeats.
+
+    A file delivered under several splits or repositories counts in each.
+    """
+    hits = repeated_files(files).withColumn("hit", F.lit(1))
     name = F.regexp_extract(entity(F.col("corpus"), F.col("project"), F.col("cppFile")), r"^((?:library|project):[^:]+)", 1)
     side = split_class(F.col("split"))
-    own = files.where(side.isin("validation", "test")).select("file_id", side.alias("split"), name.alias("repository")).groupBy("file_id").agg(F.min("split").alias("split"), F.min("repository").alias("repository"))
-    return own.join(pairs, "file_id", "left").groupBy("split", "repository").agg(F.count(F.lit(1)).alias("files"), F.count("hit").alias("repeated"))
+    own = files.where(side.isin("validation", "test")).where("file_id is not null").select("file_id", side.alias("split"), name.alias("repository")).distinct()
+    return own.join(hits, "file_id", "left").groupBy("split", "repository").agg(F.count(F.lit(1)).alias("files"), F.count("hit").alias("repeated"))

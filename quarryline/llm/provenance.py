@@ -18,7 +18,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarryline.llm.grammars import classify, masked
+from quarryline.llm.grammars import classify, hinted, masked, ranking
 from quarryline.llm.splits import clean_path, entity
 from quarryline.plans.lineage import cut
 
@@ -109,13 +109,22 @@ def name_traits(name: str) -> tuple[bool, bool, bool, bool]:
     return bool(_NUMBERED.search(name)), len(name) == 1, snake, camel
 
 
-def describe(path: str, text: str, model: NameModel | None) -> dict:
-    """Evidence on one file; the cross-entropy only where a model is given."""
+def detected(text: str, code: str) -> str:
+    """The language a text's tokens tell of; ``code`` is the text with literals masked."""
+    # without a word of another language, and with statements, nothing else ranks first
+    if not hinted(code) and 8 * code.count(";") > code.count("\n"):
+        return "c++"
+    return ranking(text)[0][1]
+
+
+def describe(path: str, text: str, models: dict[str, NameModel]) -> dict:
+    """Evidence on one file; the cross-entropy is that of the model of its language, if there is one."""
     path = path.replace("\\", "/")
     head = _HEAD.match(text).group()
     code = masked(text)
     dense = max(1, len("".join(text.split())))
     names = names_of(code)
+    model = models.get(detected(text, code)) if models else None
     n = max(1, names.total())
     numbered = short = snake = camel = 0
     for name, count in names.items():
@@ -160,61 +169,72 @@ _SCHEMA = (
 
 
 def source_texts(files: DataFrame) -> DataFrame:
-    """``file_id, path, repository, language, text`` of the files that have an id and a text that isn't blank."""
+    """``file_id, path, repository, text`` of the files that have an id and a text that isn't blank."""
     name = F.regexp_extract(entity(F.col("corpus"), F.col("project"), F.col("cppFile")), r"^((?:library|project):[^:]+)", 1)
     text = F.array_join("func_src", "\n\n")
-    columns = files.where("file_id is not null and func_src is not null").select("file_id", F.coalesce(clean_path(F.col("cppFile")), F.lit("")).alias("path"), name.alias("repository"), F.lit("c++").alias("language"), text.alias("text"))
+    columns = files.where("file_id is not null and func_src is not null").select("file_id", F.coalesce(clean_path(F.col("cppFile")), F.lit("")).alias("path"), name.alias("repository"), text.alias("text"))
     return columns.where("text rlike '\\\\S'")
 
 
-def name_model(texts: DataFrame) -> dict[str, dict[str, int]]:
-    """Trigram counts of each language over all texts; bounded by the alphabet, so they may go to the driver."""
+def corpus_names(texts: DataFrame) -> tuple[dict[str, dict[str, int]], DataFrame]:
+    """From one pass over all texts: trigram counts of each language, and the naming style of each repository.
+
+    The alphabet bounds the trigrams, so they may go to the driver.  The styles stay
+    a table, ``repository, all_snake, all_camel``; each delivery of a file adds to them.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
+        styles: dict[str | None, list[int]] = {}
         for batch in batches:
-            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for repository, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                code = masked(text)
+                names = names_of(code)
                 # a name counts once a file, so that no file outweighs the others
-                found.setdefault(language, Counter()).update(set(names_of(masked(text))))
-            if sum(map(len, found.values())) > 300_000:
-                yield from give(found)
-                found = {}
-        yield from give(found)
-
-    def give(found: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for language, names in found.items():
-            grams = trigrams(names)
-            yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], ["language", "gram", "n"])
-
-    counts = texts.select("language", "text").mapInArrow(count, "language string, gram string, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+                found.setdefault(detected(text, code), Counter()).update(names.keys())
+                style = styles.setdefault(repository, [0, 0])
+                for name, n in names.items():
+                    traits = name_traits(name)
+                    style[0] += n * traits[2]
+                    style[1] += n * traits[3]
+            if sum(map(len, found.values())) + len(styles) > 300_000:
+                yield from give(found, styles)
+                found, styles = {}, {}
+        yield from give(found, styles)
+
+    def give(found: dict[str, Counter], styles: dict[str | None, list[int]]) -> Iterator[pa.RecordBatch]:
+        names = ["language", "repository", "gram", "n", "snake", "camel"]
+        long, string = pa.int64(), pa.string()
+        for language, own in found.items():
+            grams = trigrams(own)
+            empty = pa.nulls(len(grams))
+            columns = [pa.array([language] * len(grams), string), empty.cast(string), pa.array(list(grams), string), pa.array(list(grams.values()), long), empty.cast(long), empty.cast(long)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        empty = pa.nulls(len(styles))
+        columns = [empty.cast(string), pa.array(list(styles), string), empty.cast(string), empty.cast(long), pa.array([s for s, _ in styles.values()], long), pa.array([c for _, c in styles.values()], long)]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    # small rows, written once: both the model and the styles are read from them
+    rows = cut(texts.select("repository", "text").mapInArrow(count, "language string, repository string, gram string, n long, snake long, camel long"))
     model: dict[str, dict[str, int]] = {}
-    for row in counts.toArrow().to_pylist():
+    for row in rows.where("gram is not null").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow().to_pylist():
         model.setdefault(row["language"], {})[row["gram"]] = row["n"]
-    return model
-
+    return model, rows.where("gram is null").groupBy("repository").agg(F.sum("snake").alias("all_snake"), F.sum("camel").alias("all_camel"))
 
-def file_evidence(files: DataFrame) -> DataFrame:
-    """Evidence on every file, and what it amounts to.
 
-    Null and blank texts and null ids give no row; a null path gives no path
-    evidence.  Deliveries of one file give one row.  Extra columns are ignored.
-    """
-    texts = source_texts(files)
-    counts = name_model(texts)
+def evidence_of(texts: DataFrame, counts: dict[str, dict[str, int]], styles: DataFrame) -> DataFrame:
+    """Evidence on each of some texts, given the names of the whole corpus."""
+    names = [f.split()[0] for f in _SCHEMA.split(", ")]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = {language: NameModel(grams) for language, grams in counts.items()}
         for batch in batches:
-            ids, paths, repositories, languages, bodies = (batch.column(i).to_pylist() for i in range(5))
-            rows = [describe(p, t, models[g]) for p, g, t in zip(paths, languages, bodies)]
-            names = [f.split()[0] for f in _SCHEMA.split(", ")][2:]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(repositories, pa.string()), *(pa.array([r[n] for r in rows]) for n in names)], ["file_id", "repository", *names])
-
-    found = texts.select("file_id", "path", "repository", "language", "text").mapInArrow(measure, _SCHEMA)
-    # small rows, written once: both the styles and the files are read from them
-    found = cut(found.groupBy("file_id").agg(*[F.max(f.split()[0]).alias(f.split()[0]) for f in _SCHEMA.split(", ")[1:]]))
-    # naming style of a repository: snake and camel names of all its files, summed before the shuffle
-    styles = found.groupBy("repository").agg(F.sum("snake").alias("all_snake"), F.sum("camel").alias("all_camel"))
+            ids, paths, repositories, bodies = (batch.column(i).to_pylist() for i in range(4))
+            rows = [describe(p, t, models) for p, t in zip(paths, bodies)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(repositories, pa.string()), *(pa.array([r[n] for r in rows]) for n in names[2:])], names)
+
+    found = texts.select("file_id", "path", "repository", "text").mapInArrow(measure, _SCHEMA)
+    found = found.groupBy("file_id").agg(*[F.max(n).alias(n) for n in names[1:]])
     own, all_ = F.col("snake") / (F.col("snake") + F.col("camel")), F.col("all_snake") / (F.col("all_snake") + F.col("all_camel"))
     styled = (F.col("snake") + F.col("camel") >= 10) & (F.col("all_snake") + F.col("all_camel") >= 200)
     joined = found.join(styles, "repository", "left")
@@ -232,9 +252,24 @@ def file_evidence(files: DataFrame) -> DataFrame:
     )
 
 
+def file_evidence(files: DataFrame) -> DataFrame:
+    """Evidence on every file, and what it amounts to.
+
+    Null and blank texts and null ids give no row; a null path gives no path
+    evidence.  Deliveries of one file give one row.  Extra columns are ignored.
+    """
+    texts = source_texts(files)
+    return evidence_of(texts, *corpus_names(texts))
+
+
+def flagged(evidence: DataFrame) -> DataFrame:
+    """``file_id`` of the files whose evidence says that no one wrote them by hand."""
+    return evidence.where("vendored or declared or mangled or templated or data or minified").select("file_id")
+
+
 def not_hand_written(files: DataFrame) -> DataFrame:
     """``file_id`` of the files that are generated, minified, vendored or data."""
-    return file_evidence(files).where("vendored or declared or mangled or templated or data or minified").select("file_id")
+    return flagged(file_evidence(files))
 
 
 def provenance_report(files: DataFrame) -> DataFrame:

@@ -11,6 +11,18 @@ from quarryline.llm.grammars import classify
 from quarryline.llm.provenance import source_texts
 
 
+def verdicts_of(texts: DataFrame) -> DataFrame:
+    """``file_id, repository, verdict, detail`` of each file id of ``source_texts``."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [classify(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v for v, _ in found], pa.string()), pa.array([d for _, d in found], pa.string())], ["file_id", "repository", "verdict", "detail"])
+
+    found = texts.select("file_id", "repository", "text").mapInArrow(judge, "file_id long, repository string, verdict string, detail string")
+    return found.groupBy("file_id").agg(F.max("repository").alias("repository"), F.min("verdict").alias("verdict"), F.min_by("detail", "verdict").alias("detail"))
+
+
 def syntax_verdicts(files: DataFrame) -> DataFrame:
     """``file_id, repository, verdict, detail`` of every file with a text that isn't blank.
 
@@ -19,14 +31,7 @@ def syntax_verdicts(files: DataFrame) -> DataFrame:
     fails in C++).  Null ids and null, empty or blank texts give no row.
     Deliveries of one file give one row; extra columns are ignored.
     """
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [classify(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v for v, _ in found], pa.string()), pa.array([d for _, d in found], pa.string())], ["file_id", "repository", "verdict", "detail"])
-
-    found = source_texts(files).select("file_id", "repository", "text").mapInArrow(judge, "file_id long, repository string, verdict string, detail string")
-    return found.groupBy("file_id").agg(F.max("repository").alias("repository"), F.min("verdict").alias("verdict"), F.min_by("detail", "verdict").alias("detail"))
+    return verdicts_of(source_texts(files))
 
 
 def unparsable_files(files: DataFrame) -> DataFrame:

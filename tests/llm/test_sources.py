@@ -141,8 +141,8 @@ def test_notice_after_a_long_licence():
     body = "int f(int a) {\n  return a;\n}\n"
     assert len(licence) > 4000
     for notice, key in (("// Code generated by tool. DO NOT EDIT.\n", "comment_generated"), ("// vendored copy of zed\n", "comment_vendored")):
-        assert provenance.describe("src/a.cc", licence + notice + body, None)[key]
-        assert not provenance.describe("src/a.cc", licence + body + notice, None)[key]
+        assert provenance.describe("src/a.cc", licence + notice + body, {})[key]
+        assert not provenance.describe("src/a.cc", licence + body + notice, {})[key]
 
 
 def brute(rows):
@@ -240,3 +240,32 @@ def test_edit_distance_band():
             assert (found is not None) == (table[-1][-1] <= most)
             if found is not None:
                 assert all(a[i] == b[j] for i, j in found)
+
+
+@pytest.mark.parametrize("names", ["in_a tmp_b row_count", "inA tmpB rowCount", "a b n", "value_ total_ rest_", "m_first m_second m_third"])
+def test_renamed_locals_in_any_spelling(spark, names):
+    def text(a, b, n, name):
+        lines = [f"  {b} += table_{i}.find({a} * {i}) + {n};" for i in range(12)]
+        return f"int Owner::{name}(const Row& {a}, int *{n}) {{\n  auto {b} = start({a});\n" + "\n".join(lines) + f"\n  return {b};\n}}"
+
+    rows = [row(1, [text("x", "y", "z", "f")], split="train"), row(2, [text(*names.split(), "g")], split="test")]
+    assert {tuple(r) for r in overlaps.overlapping_files(spark.createDataFrame(rows, FILES)).collect()} == {(1, 2)}
+
+
+def test_declared_names():
+    code = "int f(const Foo& in_a, std::vector<int> tmpB, char *p) { for (auto [k, v] : m) x = a * kB; if (a > b) return zed; Foo obj(3); auto l = [n = 3](int w) { return n == c; }; else run(x); }"
+    asked = set("in_a tmpB p k v m x a kB b zed obj l n w c run".split())
+    assert overlaps.declared(code, asked) == set("in_a tmpB p k v obj l n w".split())
+
+
+def test_report_counts_what_the_pairs_hold(spark):
+    pick = random.Random(21)
+    body = [function(pick, f"same{i}")[0] for i in range(4)]
+    rows = [row(i, [body[i % 4]], split=s, project=f"p{i % 3}") for i, s in enumerate(["train", "test", "val", "dev", "train", "test", "train", "valid", None, "test"])]
+    # one file under both sides is no overlap with itself
+    rows += [row(50, [function(pick, "alone")[0]], split="train"), row(50, [function(random.Random(21), "alone")[0]], split="test")]
+    df = spark.createDataFrame(rows, FILES)
+    sides = {i: {side(r[5]) for r in rows if r[0] == i} for i in {r[0] for r in rows}}
+    pairs = {tuple(r) for r in overlaps.overlapping_files(df).collect()}
+    want = {i for pair in pairs for i in pair if "e" in sides[i] and any(j != i and "t" in sides[j] for j in pair)}
+    assert {r.file_id for r in overlaps.repeated_files(df).collect()} == want and want
