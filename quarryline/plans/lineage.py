@@ -31,6 +31,15 @@ def width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a scan has fewer partitions than the session has cores.
+
+    A table of many files or row groups stays as it is scanned.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder; a table is a Parquet file or a folder of them."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
