@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.llm import leaks, overlaps, provenance, quality, splits, syntax, tokens, vectors
 from quarryline.llm.oracles import ORACLES  # noqa: F401  registered beside QUERIES
-from quarryline.plans.lineage import table
+from quarryline.plans.lineage import spread, table as scanned
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows the Python stages of all cores share, also where it is one small file."""
+    return spread(scanned(spark, folder, name))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
