@@ -40,4 +40,17 @@ _LEAKS = f"WITH items AS ({_GRAMS.format('item_id', 'eval_items')}), docs AS ({_
 
 P8_FOUND = f"{_LEAKS} SELECT doc_id, item_id FROM pairs"
 
-ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p8_found": P8_FOUND}
+_PLACED = r"""SELECT {0} AS id, unnest(range(0, len(l) - 14)) AS at, unnest([array_to_string(l[i:i+14], ' ') FOR i IN range(1, len(l) - 13)]) AS gram FROM (SELECT {0}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS l FROM {1} WHERE text IS NOT NULL AND {0} IS NOT NULL) WHERE len(l) >= 15"""
+_RUNS = f"""WITH items AS ({_PLACED.format('item_id', 'eval_items')}), docs AS ({_PLACED.format('doc_id', 'documents')}),
+hits AS (SELECT docs.id AS doc_id, items.id AS item_id, docs.at AS p, items.at AS q FROM docs JOIN items USING (gram)),
+islands AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS island FROM hits),
+runs AS (SELECT doc_id, item_id, count(*) + 14 AS words, min(p) AS p, min(q) AS q FROM islands GROUP BY doc_id, item_id, p - q, island),
+passages AS (SELECT doc_id, item_id, max(words) AS longest, min(struct_pack(n := -words, p := p, q := q)) AS place FROM runs GROUP BY doc_id, item_id),
+places AS (SELECT doc_id, item_id, count(DISTINCT p) AS windows FROM hits GROUP BY doc_id, item_id)"""
+
+P8_PASSAGES = f"{_RUNS} SELECT doc_id, item_id, windows, longest, place.p AS doc_at, place.q AS item_at FROM passages JOIN places USING (doc_id, item_id)"
+P8_REPORT = f"{_RUNS} SELECT item_id, count(*) AS docs, CAST(sum(windows) AS BIGINT) AS windows, max(longest) AS longest FROM passages JOIN places USING (doc_id, item_id) GROUP BY item_id"
+P8_CLEAN = f"""{_LEAKS} SELECT source, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(doc_id) AS BIGINT) AS id_sum
+FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM pairs) GROUP BY source"""
+
+ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p8_found": P8_FOUND, "p8_passages": P8_PASSAGES, "p8_report": P8_REPORT, "p8_clean": P8_CLEAN}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarryline.llm import leaks, overlaps, provenance, quality, splits, syntax, tokens, vectors
 from quarryline.llm.oracles import ORACLES  # noqa: F401  registered beside QUERIES
@@ -60,6 +60,17 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest verbatim match of each document with each item it holds, and where it begins in both."""
+    return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each source when the affected documents are removed."""
+    kept = leaks.clean_corpus(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return kept.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("characters"), F.sum("doc_id").alias("id_sum"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return provenance.not_hand_written(table(spark, folder, "dataset"))
 
@@ -84,4 +95,4 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_report, p6_found, p6_report, p7_ids, p7_use, p8_found, p8_report, p9_found, p9_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_report, p6_found, p6_report, p7_ids, p7_use, p8_found, p8_passages, p8_report, p8_clean, p9_found, p9_statistics)}
