@@ -1,5 +1,6 @@
 """SQL counterparts of the training-data queries that SQL can express, over whole tables."""
 
+from quarryline.llm.quality import CLAUSES, DETERMINERS, LINKS, MODIFIERS, PUNCTUATION
 from quarryline.llm.splits import CAMEL_PLATFORMS, INLINE, PLATFORMS
 
 _NEAR = """usable AS (SELECT DISTINCT emb_id, [CAST(x AS DOUBLE) FOR x IN pros_emb] AS v FROM embedding WHERE emb_id IS NOT NULL AND len(pros_emb) = 64
@@ -53,4 +54,17 @@ P8_REPORT = f"{_RUNS} SELECT item_id, count(*) AS docs, CAST(sum(windows) AS BIG
 P8_CLEAN = f"""{_LEAKS} SELECT source, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(doc_id) AS BIGINT) AS id_sum
 FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM pairs) GROUP BY source"""
 
-ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p8_found": P8_FOUND, "p8_passages": P8_PASSAGES, "p8_report": P8_REPORT, "p8_clean": P8_CLEAN}
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_EDGES = ".,;:!?\"''()[]{}*_>…"
+_COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({*DETERMINERS, *LINKS, *MODIFIERS, *CLAUSES}))
+_MARKS = PUNCTUATION.replace("'", "''")
+P9_RATIOS = rf"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, text, regexp_extract_all(text, '[^{_SPACE}]+') AS w, len(regexp_replace(text, '[{_SPACE}]', '', 'g')) AS n,
+  list_filter([regexp_extract(l, '([^{_SPACE}])[{_SPACE}]*$', 1) FOR l IN string_split(text, chr(10))], lambda c: c <> '') AS ends FROM texts),
+counted AS (SELECT doc_id, w, n, ends, len(regexp_replace(text, '[\p{{L}}\p{{N}}{_SPACE}]', '', 'g')) AS symbols,
+  len(list_filter(w, lambda x: replace(lower(trim(x, '{_EDGES}')), '’', chr(39)) IN ({_COMMON}))) AS common,
+  len(list_filter(ends, lambda c: contains('{_MARKS}', c))) AS ended FROM split)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS words, round(n / nullif(len(w), 0), 6) AS mean_word_length, round(symbols / nullif(n, 0), 6) AS symbol_ratio,
+  round(ended / nullif(len(ends), 0), 6) AS ended_lines, round(common / nullif(len(w), 0), 6) AS common_words FROM counted"""
+
+ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p8_found": P8_FOUND, "p8_passages": P8_PASSAGES, "p8_report": P8_REPORT, "p8_clean": P8_CLEAN, "p9_ratios": P9_RATIOS}

@@ -41,12 +41,58 @@ CLAUSES = (
     "i we you he she it they we'd they'd i'd who which what when whenever where while because if but so as how why yet though although unless until there let please "
     "ist sind war hat haben wird werden muss man kann soll wir ich sie er es wenn weil ob dass aber wie wo was sich bitte habe"
 ).split()
+#: Frequent words of further languages, with d for determiners, l for links, c for what makes clauses and m for modifiers.
+FURTHER = {
+    "french": {
+        "d": "le la les un une des du ce cette ces mon ma mes son sa ses notre nos votre vos leur leurs",
+        "l": "de à au aux en dans par pour avec sans sur sous entre vers chez et ou mais donc car comme",
+        "c": "je tu il elle nous vous ils elles on que qui quoi dont où quand si est sont était étaient sera ont avait avaient être peut doit ne pas se",
+        "m": "plus très aussi même tout tous toute bien encore",
+    },
+    "spanish": {
+        "d": "el la los las un una unos unas este esta estos estas su sus mi mis nuestro nuestra",
+        "l": "de del a al en por para con sin sobre entre hacia desde hasta y e o u",
+        "c": "que se no es son era eran fue fueron ha han había hay está están ser estar yo él ella ellos nosotros lo le les me te nos cuando si como pero porque donde quien puede debe",
+        "m": "más muy también todo todos ya aún",
+    },
+    "italian": {
+        "d": "il lo la i gli le un uno una questo questa questi suo sua",
+        "l": "di del della dei delle a al alla in nel nella da dal dalla con su sul sulla per tra fra e ed o",
+        "c": "che non è sono era erano ha hanno aveva si ci lui lei noi voi loro io se quando come ma perché dove chi può deve essere stato",
+        "m": "più molto anche tutto tutti già ancora",
+    },
+    "portuguese": {
+        "d": "o a os as um uma este esta seu sua",
+        "l": "de do da dos das em no na nos nas por para com sem sobre entre e ou ao à",
+        "c": "que se não é são era foi foram tem têm havia há está estão ele ela eles nós eu quando como mas porque onde pode deve ser",
+        "m": "mais muito também todo todos já ainda",
+    },
+    "dutch": {
+        "d": "de het een deze dit die haar onze",
+        "l": "van in op aan met voor door over onder bij uit naar en of om tot te",
+        "c": "is zijn was waren heeft hebben had wordt worden kan moet zal ik je hij zij we wij ze er dat als wie wat maar want omdat niet",
+        "m": "ook nog meer zeer al",
+    },
+    "polish": {
+        "l": "w we i z ze na do o po za od przez dla oraz a u przy",
+        "c": "nie się jest są był była było to że jak ale który która które czy gdy może tym być już go jej ich",
+        "m": "tylko także bardzo też",
+    },
+}
+#: Share of a further language's words that are frequent ones; languages that inflect have fewer.
+FURTHER_SHARE = 0.2
 PUNCTUATION = ".!?:;,\"')]}。！？；：，”』」…"
 
 _ROLE = {w: "d" for w in DETERMINERS} | {w: "l" for w in LINKS} | {w: "c" for w in CLAUSES} | {w: "m" for w in MODIFIERS}
+_FURTHER = [{w: role for role, words in roles.items() for w in words.split()} for roles in FURTHER.values()]
+_FURTHER_ALONE = frozenset(w for roles in _FURTHER for w in roles) - _ROLE.keys()
+_QUOTES = "«»„“”¿¡"
 _STRIP = ".,;:!?\"'()[]{}*_>…"
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _CJK_STOP = re.compile(r"[。！？，；]")
+#: Letters of alphabets that are neither Latin nor CJK, and the stops they use.
+_SCRIPT = re.compile(r"[\u0370-\u1cff\uac00-\ud7a3]")
+_STOP = re.compile(r"[.!?;,:…؟،؛।۔]")
 _SENTENCE = re.compile(r"[^.!?。！？\n]+")
 _BAD = re.compile(r"d(?=[dlc])")
 _STAMP = re.compile(r"[\[(]?\d{1,4}[-:/.]\d{2}[-:/.]\d{2}")
@@ -64,6 +110,65 @@ def token_role(token: str) -> str:
     return _ROLE.get(word) or ("x" if word.replace("-", "").replace("'", "").isalpha() else "o" if word else "")
 
 
+@lru_cache(1 << 17)
+def further_roles(token: str) -> str:
+    """The role of a token in each further language, - where it is none of its frequent words; empty if it is none of any."""
+    word = token.strip(_STRIP + _QUOTES).lower().replace("’", "'")
+    found = "".join(roles.get(word, "-") for roles in _FURTHER)
+    return found if found.strip("-") else ""
+
+
+@lru_cache(1 << 17)
+def _word(token: str) -> str:
+    """The word of a token; empty if it is none."""
+    word = token.strip(_STRIP + _QUOTES)
+    return word if word.replace("-", "").replace("'", "").replace("’", "").isalpha() else ""
+
+
+def _accented(word: str) -> bool:
+    return not word.isascii() and any("\x7f" < c < "\u0250" for c in word)
+
+
+def further_prose(lines: list[str]) -> bool:
+    """Whether neighbouring lines read as sentences of a language other than English, German, Chinese or Japanese.
+
+    The languages with lists are told by the roles of words, as English is.  Another
+    alphabet, or accents on many words, together with stops between words of a usual
+    length, tell of the others.
+    """
+    tokens = [t for line in lines for t in line.split()]
+    words = list(filter(None, map(_word, tokens)))
+    if len(words) < 6 or len(words) < 0.6 * len(tokens):
+        return False
+    roles = list(map(further_roles, tokens))
+    if sum(map(bool, roles)) >= FURTHER_SHARE * len(words):
+        # the language with the most frequent words decides, so that none covers for the order of another
+        owns = ["".join(r[language] if r else "-" for r in roles) for language in range(len(_FURTHER))]
+        most = min(own.count("-") for own in owns)
+        for own in (own for own in owns if own.count("-") == most):
+            determiners, bad = own.count("d"), len(_BAD.findall(own))
+            frequent = {t for t, r in zip(tokens, own) if r != "-"}
+            if len(own) - most >= FURTHER_SHARE * len(words) and own.count("c") >= 0.03 * len(words) and bad <= max(1, 0.1 * determiners) and len(frequent) >= 4:
+                return True
+    if sum(_SCRIPT.match(w) is not None for w in words) < 0.6 * len(words) and sum(map(_accented, words)) < 0.15 * len(words):
+        return False
+    stops = sum(len(_STOP.findall(line)) for line in lines)
+    length = sum(map(len, words)) / len(words)
+    # sentences have stops, but not after each word, and go on in small letters where an alphabet has them
+    large = sum(w[0].isupper() and w[1:].islower() for w in words)
+    return len(words) / 25 <= stops <= len(words) / 2.5 and 2 <= length <= 12 and large <= 0.4 * len(words)
+
+
+def _further(lines: list[str], i: int, roles: str, cjk: int, places: list[int]) -> bool:
+    """Whether a line is prose of a further language, as part of the lines around it."""
+    if cjk or roles.count("o") > 0.35 * len(roles):
+        return False
+    # a line of ASCII without a frequent word of these languages alone is of none
+    if lines[i].isascii() and _FURTHER_ALONE.isdisjoint(lines[i].lower().split()):
+        return False
+    return further_prose([lines[j] for j in sorted(places)])
+
+
 def prose_lines(lines: list[str], first: int = 0, last: int | None = None) -> Iterator[tuple[int, int, list[tuple[str, int]]]]:
     """The lines in running sentences among ``lines[first:last]``: number, characters, and each sentence's key and characters.
 
@@ -80,16 +185,17 @@ def prose_lines(lines: list[str], first: int = 0, last: int | None = None) -> It
         roles, cjk, size = stats[i][:3]
         if not size:
             continue
-        near, words = [stats[i]], len(roles)
+        near, words, places = [stats[i]], len(roles), [i]
         for step in (-1, 1):
             # two lines each way, more of them where lines are short
             j, taken = i + step, 0
             while 0 <= j < len(stats) and stats[j][2] and (taken < 2 or taken < AROUND and words < 24):
                 near.append(stats[j])
+                places.append(j)
                 words += len(stats[j][0])
                 j, taken = j + step, taken + 1
         item = len(roles) <= 9 and _ITEM.match(lines[i]) and lines[i][-1] not in ".!?…:" or _STAMP.match(lines[i])
-        if not item and _is_prose(roles, cjk, size, near):
+        if not item and (_is_prose(roles, cjk, size, near) or _further(lines, i, roles, cjk, places)):
             yield i, size, [(s.strip().lower(), len(s) - s.count(" ")) for s in _SENTENCE.findall(lines[i])]
 
 

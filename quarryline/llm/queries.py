@@ -95,4 +95,10 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_report, p6_found, p6_report, p7_ids, p7_use, p8_found, p8_passages, p8_report, p8_clean, p9_found, p9_statistics)}
+def p9_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    """The plain counts and ratios among the statistics."""
+    found = quality.text_statistics(table(spark, folder, "documents"))
+    return found.select("doc_id", "words", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "ended_lines", "common_words")])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_report, p6_found, p6_report, p7_ids, p7_use, p8_found, p8_passages, p8_report, p8_clean, p9_found, p9_statistics, p9_ratios)}

@@ -65,3 +65,42 @@ def test_prose_of_cut_texts(spark, chunk, part_lines):
     read = lambda **kw: sorted((r.doc_id, r.words, r.prose_share or 0, r.kind) for r in quality.text_statistics(df, **kw).collect())
     assert read(chunk=chunk, part_lines=part_lines) == read()
     assert (len(texts) - 4) % 20 in {r.doc_id for r in quality.other_than_prose(df.limit(len(texts) - 3)).collect()}
+
+
+FURTHER = {
+    'fr': "Le gouvernement a annoncé hier que les travaux de la nouvelle ligne seraient terminés avant la fin de l'année. Les habitants du quartier, qui attendent depuis longtemps cette ouverture, ne cachent pas leur joie. Il reste toutefois plusieurs questions sur le prix des billets.",
+    'es': 'La semana pasada los vecinos del barrio se reunieron en la plaza para hablar de los problemas del agua. Según el alcalde, las obras no van a terminar hasta el mes de octubre, pero muchos creen que es posible acabar antes si hay dinero.',
+    'ru': 'Вчера вечером мы долго говорили о том, как лучше хранить данные. Сначала казалось, что достаточно одной таблицы, но потом стало ясно, что запросы будут слишком медленными. Поэтому решили добавить индекс.',
+    'it': "Quando siamo arrivati alla stazione il treno era già partito, e non c'era nessuno che potesse dirci a che ora sarebbe passato il prossimo. Abbiamo aspettato sulla panchina fino a sera.",
+    'pt': 'O projeto foi iniciado em março e ainda não está pronto, mas a equipe acredita que vai terminar antes do fim do ano. Os testes mostram que o sistema é mais rápido do que o anterior.',
+    'nl': 'De vergadering is verplaatst naar morgen omdat de zaal vandaag niet vrij was. Wie er niet bij kan zijn, moet dat aan het secretariaat laten weten.',
+    'pl': 'Wczoraj wieczorem długo rozmawialiśmy o tym, jak przechowywać dane. Najpierw wydawało się, że wystarczy jedna tabela, ale potem okazało się, że zapytania są zbyt wolne.',
+    'tr': 'Dün akşam uzun süre verilerin nasıl saklanacağını konuştuk. Önce tek bir tablonun yeterli olacağını düşündük, fakat sonra sorguların çok yavaş olduğu anlaşıldı.',
+    'ar': 'في الأسبوع الماضي اجتمع سكان الحي في الساحة للحديث عن مشاكل المياه. وقال رئيس البلدية إن الأعمال لن تنتهي قبل شهر أكتوبر، لكن كثيرين يعتقدون أن ذلك ممكن.',
+    'ko': '어제 저녁에 우리는 데이터를 어떻게 저장할지 오랫동안 이야기했다. 처음에는 표 하나로 충분해 보였지만, 나중에 질의가 너무 느리다는 것이 분명해졌다.',
+    'EN': 'THE MEETING WAS MOVED TO TOMORROW BECAUSE THE ROOM WAS NOT FREE. IF YOU CANNOT COME, PLEASE LET US KNOW BEFORE NOON SO THAT WE CAN PLAN.',
+}
+#: Words without order, lists of words, and code.
+NO_SENTENCES = [
+    "ligne de avant les la travaux qui hier du gouvernement que le des la un une terminés ne annoncé les le la prix pas sur billets de il reste",
+    "rouge vert bleu table chaise porte maison arbre chat chien route mer lac",
+    "яблоко\nгруша\nслива\nвишня\nдом\nстол",
+    "clé = café\nétat = été\nnuméro = 3\nrésumé = présent\n",
+    "| état | numéro | été |\n| café | thé | 3 |\n| présent | passé | 4 |",
+]
+
+
+@pytest.mark.parametrize("language", FURTHER)
+def test_prose_of_further_languages(language):
+    total, prose = quality.prose_characters(FURTHER[language])
+    assert prose >= 0.9 * total
+    # over short lines too
+    words = FURTHER[language].split()
+    total, prose = quality.prose_characters("\n".join(" ".join(words[i : i + 8]) for i in range(0, len(words), 8)))
+    assert prose >= 0.5 * total
+
+
+@pytest.mark.parametrize("text", NO_SENTENCES)
+def test_no_sentences(text):
+    total, prose = quality.prose_characters(text)
+    assert prose < 0.5 * total
