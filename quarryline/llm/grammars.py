@@ -9,6 +9,7 @@ brackets, foreign characters, merge residue, and declarations that break off.
 from __future__ import annotations
 
 import re
+from collections.abc import Set
 
 from quarryline.llm.cpp import syntax_problem
 
@@ -233,11 +234,22 @@ _TELLING = {
     "proto": r"syntax\s*=\s*0;|message\s+\w+\s*\{|service\s+\w+\s*\{|rpc\s+\w+\s*\(|(?:repeated|optional|required)\s+[\w.]+\s+\w+\s*=\s*\d+|(?:string|bytes|u?int(?:32|64)|bool|double|float)\s+\w+\s*=\s*\d+\s*;|package\s+[\w.]+\s*;",
 }
 _TELLING = {language: re.compile(r"[ \t]*(?:" + pattern + ")") for language, pattern in _TELLING.items()}
-#: Words one of which every text of these languages holds; few C++ texts do.
-_HINT = re.compile(
-    r"===|!==|=>|:=|\b(?:function|let|var|val|require|typeof|fn|impl|pub|foreach|package|export|extends|implements|throws|func|fun|guard|syntax|message|rpc)\b|\bimport\s+\w|\busing\s+[A-Z]\w*(?:\.\w+)*\s*;|^[ \t]*(?:public|private|protected|internal)\s+\w|println!|vec!"
-    r"|(?i:\b(?:select\s+[\w*]|insert\s+into|update\s+\w+\s+set|create\s+\w+\s+\w|delete\s+from|alter\s+table|drop\s+\w))|^[ \t]*(?:const\s+\w+\s*=|[\w.#*-][^;{}()=\n]*\{\s*[a-z-]+\s*:(?!:))", re.M
-)
+#: Signs and words one of which every text of these languages holds; few C++ texts do.
+_HINT_SIGNS = ("=>", ":=", "===", "!==", "println!", "vec!")
+_HINT_WORDS = frozenset("function let var val require typeof fn impl pub foreach package export extends implements throws func fun guard syntax message rpc".split())
+#: Words that tell of another language only in such a place.
+_HINT_PLACES = {
+    "import": r"\bimport\s+\w",
+    "using": r"\busing\s+[A-Z]\w*(?:\.\w+)*\s*;",
+    "const": r"^[ \t]*const\s+\w+\s*=",
+    **dict.fromkeys(("public", "private", "protected", "internal"), r"^[ \t]*(?:public|private|protected|internal)\s+\w"),
+    **dict.fromkeys(("select", "insert", "update", "create", "delete", "alter", "drop"), r"(?i:\b(?:select\s+[\w*]|insert\s+into|update\s+\w+\s+set|create\s+\w+\s+\w|delete\s+from|alter\s+table|drop\s+\w))"),
+}
+_HINT_PLACES = {word: re.compile(pattern, re.M) for word, pattern in _HINT_PLACES.items()}
+_HINT_PLACES |= {cased: pattern for word, pattern in _HINT_PLACES.items() for cased in (word.upper(), word.capitalize())}
+_HINT_PROPERTY = re.compile(r"\{\s*[a-z-]+\s*:(?!:)")
+_HINT_RULE = re.compile(r"^[ \t]*[\w.#*-][^;{}()=\n]*\{\s*[a-z-]+\s*:(?!:)", re.M)
+_IDENTIFIER = re.compile(r"[A-Za-z_]\w*")
 #: Lines that only C++ and C hold, and declarations by a built-in type, which some of the others share.
 _CPP_LINE = re.compile(r"[ \t]*(?:#|template\s*<|namespace\s+\w*\s*\{|(?:public|private|protected)\s*:|.*(?:\bstd::|\w->\w|\bnullptr\b|\boperator\b|\w::~?\w+\s*\([^!]*\)\s*(?:const\s*)?\{|\bconst\s+[\w:<>]+\s*[&*]|\w[*&]\s+\w+\s*[,)=;]|\w\s+[*&]\w+\s*[,)=;]))")
 _BUILT_IN = re.compile(r"[ \t]*(?:.*[(,;]\s*)?(?:static\s+|inline\s+|const\s+|unsigned\s+|long\s+|constexpr\s+)*(?:int|void|bool|char|double|float|auto|size_t|unsigned|long)\b[\s*&]*\w+\s*[(,)=;\[{:]")
@@ -247,9 +259,15 @@ TELLING_SHARE = 0.15
 TELLING_RATIO = 2.0
 
 
-def hinted(code: str) -> bool:
-    """Whether a masked text holds a word that tells of another bracketed language."""
-    return _HINT.search(code) is not None
+def hinted(code: str, words: Set[str] | None = None) -> bool:
+    """Whether a masked text holds what tells of another bracketed language; ``words`` are its identifiers, if known."""
+    if any(sign in code for sign in _HINT_SIGNS):
+        return True
+    words = set(_IDENTIFIER.findall(code)) if words is None else words
+    if not _HINT_WORDS.isdisjoint(words):
+        return True
+    patterns = {_HINT_PLACES[w] for w in _HINT_PLACES.keys() & words}
+    return any(p.search(code) for p in patterns) or _HINT_PROPERTY.search(code) is not None and _HINT_RULE.search(code) is not None
 
 
 def telling_share(lines: list[str], pattern: re.Pattern) -> float:

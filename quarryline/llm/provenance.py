@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from functools import lru_cache
 
 import pyarrow as pa
@@ -61,7 +61,7 @@ _FOLD = {c: c for c in LETTERS} | {c.upper(): c for c in LETTERS}
 
 
 def _folded(name: str) -> str:
-    return "^^" + "".join(_FOLD.get(c, "?") for c in name) + "$"
+    return "^^" + (name.lower() if name.isascii() else "".join(_FOLD.get(c, "?") for c in name)) + "$"
 
 
 def trigrams(names: Counter) -> Counter:
@@ -78,27 +78,42 @@ class NameModel:
     """Add-half smoothed trigram model: bits per character of a name."""
 
     def __init__(self, counts: dict[str, int]):
-        self.counts, self.contexts = counts, Counter()
+        contexts: Counter = Counter()
         for gram, n in counts.items():
-            self.contexts[gram[:2]] += n
+            contexts[gram[:2]] += n
+        self.cost = {gram: -math.log2((n + 0.5) / (contexts[gram[:2]] + 20)) for gram, n in counts.items()}
+        self.unseen = {context: -math.log2(0.5 / (n + 20)) for context, n in contexts.items()}
         self.known: dict[str, float] = {}
 
     def bits(self, name: str) -> float:
         found = self.known.get(name)
         if found is None:
-            folded = _folded(name)
-            total = 0.0
-            for i in range(len(folded) - 2):
-                total -= math.log2((self.counts.get(folded[i : i + 3], 0) + 0.5) / (self.contexts[folded[i : i + 2]] + 20))
-            found = total / (len(folded) - 2)
+            folded, cost = _folded(name), self.cost
+            total, n = 0.0, len(folded) - 2
+            for i in range(n):
+                bits = cost.get(folded[i : i + 3])
+                total += self.unseen.get(folded[i : i + 2], _NEVER) if bits is None else bits
+            found = total / n
             if len(self.known) < 200_000:
                 self.known[name] = found
         return found
 
 
-def names_of(code: str) -> Counter:
-    """Identifiers of a masked text and how often each occurs."""
-    return Counter(n for n in _IDENTIFIER.findall(code) if n not in KEYWORDS)
+#: Bits of a letter after two that no name has in this order.
+_NEVER = -math.log2(0.5 / 20)
+
+
+def words_of(code: str) -> Counter:
+    """Identifiers and keywords of a masked text and how often each occurs."""
+    return Counter(_IDENTIFIER.findall(code))
+
+
+def names_of(words: Counter) -> Counter:
+    """Without the keywords."""
+    names = words.copy()
+    for word in KEYWORDS & words.keys():
+        del names[word]
+    return names
 
 
 @lru_cache(1 << 17)
@@ -109,10 +124,10 @@ def name_traits(name: str) -> tuple[bool, bool, bool, bool]:
     return bool(_NUMBERED.search(name)), len(name) == 1, snake, camel
 
 
-def detected(text: str, code: str) -> str:
-    """The language a text's tokens tell of; ``code`` is the text with literals masked."""
+def detected(text: str, code: str, words: Set[str]) -> str:
+    """The language a text's tokens tell of; ``code`` is the text with literals masked, ``words`` its identifiers."""
     # without a word of another language, and with statements, nothing else ranks first
-    if not hinted(code) and 8 * code.count(";") > code.count("\n"):
+    if not hinted(code, words) and 8 * code.count(";") > code.count("\n"):
         return "c++"
     return ranking(text)[0][1]
 
@@ -123,8 +138,9 @@ def describe(path: str, text: str, models: dict[str, NameModel]) -> dict:
     head = _HEAD.match(text).group()
     code = masked(text)
     dense = max(1, len("".join(text.split())))
-    names = names_of(code)
-    model = models.get(detected(text, code)) if models else None
+    words = words_of(code)
+    names = names_of(words)
+    model = models.get(detected(text, code, words.keys())) if models else None
     n = max(1, names.total())
     numbered = short = snake = camel = 0
     for name, count in names.items():
@@ -156,6 +172,7 @@ def describe(path: str, text: str, models: dict[str, NameModel]) -> dict:
 
 #: Thresholds of the content evidence.
 MANGLED_BITS = 3.0
+MANGLED_NAMES = 20
 NUMBERED_NAMES = 0.04
 UNIFORM_LINES = 0.7
 LITERAL_SHARE = 0.4
@@ -189,14 +206,15 @@ def corpus_names(texts: DataFrame) -> tuple[dict[str, dict[str, int]], DataFrame
         for batch in batches:
             for repository, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 code = masked(text)
-                names = names_of(code)
+                words = words_of(code)
+                names = names_of(words)
                 # a name counts once a file, so that no file outweighs the others
-                found.setdefault(detected(text, code), Counter()).update(names.keys())
+                found.setdefault(detected(text, code, words.keys()), Counter()).update(names.keys())
                 style = styles.setdefault(repository, [0, 0])
                 for name, n in names.items():
-                    traits = name_traits(name)
-                    style[0] += n * traits[2]
-                    style[1] += n * traits[3]
+                    _, _, snake, camel = name_traits(name)
+                    if snake or camel:
+                        style[camel] += n
             if sum(map(len, found.values())) + len(styles) > 300_000:
                 yield from give(found, styles)
                 found, styles = {}, {}
@@ -245,7 +263,8 @@ def evidence_of(texts: DataFrame, counts: dict[str, dict[str, int]], styles: Dat
         foreign_style.alias("foreign_style"),
         (F.col("path_vendored") | F.col("comment_vendored") | foreign_style & F.col("comment_licence")).alias("vendored"),
         (F.col("path_generated") | F.col("comment_generated")).alias("declared"),
-        (content & (F.col("bits") >= MANGLED_BITS) & ((F.col("uniform") >= 0.45) | (F.col("literals") >= 0.25)) & (F.col("lines") >= 3)).alias("mangled"),
+        # the cross-entropy decides alone, but on few names only beside uniform lines or many literals
+        (content & (F.col("bits") >= MANGLED_BITS) & ((F.col("names") >= MANGLED_NAMES) | ((F.col("uniform") >= 0.45) | (F.col("literals") >= 0.25)) & (F.col("lines") >= 3))).alias("mangled"),
         (content & ((F.col("numbered") > NUMBERED_NAMES) | (F.col("uniform") >= UNIFORM_LINES)) & (F.col("lines") >= 10)).alias("templated"),
         (content & (F.col("literals") >= LITERAL_SHARE) & (F.col("literal_size") >= LITERAL_CHARACTERS)).alias("data"),
         (content & ((F.col("blank") < DENSE_TEXT) | (F.col("blank") < 0.08) & (F.col("short") > 0.2))).alias("minified"),

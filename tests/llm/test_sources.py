@@ -269,3 +269,25 @@ def test_report_counts_what_the_pairs_hold(spark):
     pairs = {tuple(r) for r in overlaps.overlapping_files(df).collect()}
     want = {i for pair in pairs for i in pair if "e" in sides[i] and any(j != i and "t" in sides[j] for j in pair)}
     assert {r.file_id for r in overlaps.repeated_files(df).collect()} == want and want
+
+
+def test_cross_entropy_decides_alone(spark):
+    """Mangled names under a plain path, without a telling comment, in lines of many shapes."""
+    pick = random.Random(6)
+    texts = [function(pick, f"runThing{i}")[0] for i in range(40)]
+    mangled = texts[0]
+    for name in sorted(provenance.names_of(provenance.words_of(mangled)), key=len, reverse=True):
+        mangled = mangled.replace(name, "".join(pick.choice("qxzjkvwy") for _ in range(7)))
+    rows = [row(i, [t], f"src/file{i}.cc") for i, t in enumerate(texts)] + [row(100, [mangled], "src/plain.cc")]
+    evidence = {r.file_id: r for r in provenance.file_evidence(spark.createDataFrame(rows, FILES)).collect()}
+    assert [i for i, r in evidence.items() if r.mangled] == [100]
+    assert not (evidence[100].templated or evidence[100].data or evidence[100].minified or evidence[100].declared or evidence[100].vendored)
+
+
+def test_models_per_language():
+    python = FOREIGN["python"] * 3
+    code = provenance.masked(python)
+    assert provenance.detected(python, code, provenance.words_of(code).keys()) == "python"
+    for text in VALID[:3]:
+        code = provenance.masked(text)
+        assert provenance.detected(text, code, provenance.words_of(code).keys()) == "c++"
