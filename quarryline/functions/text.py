@@ -6,9 +6,13 @@ from pyspark.sql import Column, functions as F
 
 #: The lexical classes of C++ as one pattern, in order of precedence.
 CODE_TOKEN = (
-    r'(?s)<(?:VAR|LIT)_\d+>|"(?:[^"\\\n]+|\\.)*"|' + r"'(?:[^'\\\n]+|\\.)*'" + r"|//[^\n]*|/\*.*?\*/|[A-Za-z_$][A-Za-z0-9_$]*|0[xX][0-9A-Fa-f]+|\d[\d']*(?:\.\d+)?(?:[eEpP][+-]?\d+)?[uUlLfFzZ]*"
-    r"|<=>|>>=|<<=|->\*|::|->|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|##|\.\.\.|[^\s]"
+    r'(?s)<(?:VAR|LIT)_\d+>|(?:u8|u|U|L)?R"[^\s(]{0,16}\(.*?\)[^\s"]{0,16}"'
+    r'|(?:u8|u|U|L)?"[^"\\]*(?:\\.[^"\\]*)*"' r"|(?:u8|u|U|L)?'[^'\\]*(?:\\.[^'\\]*)*'"
+    r"|//[^\n]*|/\*.*?\*/|[A-Za-z_$][A-Za-z0-9_$]*|0[xX][0-9A-Fa-f']+|0[bB][01']+|\d[\d']*(?:\.\d[\d']*)?(?:[eEpP][+-]?\d[\d']*)?[uUlLfFzZ]*"
+    r"|<=>|>>=|<<=|->\*|\.\*|::|->|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|##|\.\.\.|[^\s]"
 )
+#: A string or character literal, which is kept, or a comment.
+COMMENT = r"""(?s)((?:R"[^\s(]{0,16}\(.*?\)[^\s"]{0,16}"|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'))|/\*.*?\*/|//[^\n]*"""
 #: Names that a parenthesis follows without a call.
 NO_CALLS = "if for while switch catch return sizeof alignof decltype static_cast dynamic_cast const_cast reinterpret_cast noexcept static_assert alignas defined".split()
 CJK = "[一-鿿]"
@@ -21,8 +25,12 @@ def fold(text: Column) -> Column:
 
 def without_comments(code: Column) -> Column:
     """Code without comments and without runs of blank lines."""
-    plain = F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
-    return F.regexp_replace(plain, r"\n\s*\n+", "\n")
+    return F.regexp_replace(stripped(code), r"\n\s*\n+", "\n")
+
+
+def stripped(code: Column) -> Column:
+    """Code without comments; what looks like one inside a literal stays."""
+    return F.regexp_replace(code, COMMENT, "$1")
 
 
 def code_tokens(code: Column) -> Column:
@@ -32,13 +40,18 @@ def code_tokens(code: Column) -> Column:
 
 
 def is_literal(token: Column) -> Column:
-    return token.rlike(r"""^(?:"|'|\d|\.\d|<LIT_)""")
+    """Numbers, strings and characters with any prefix, and literal blanks."""
+    return token.rlike(r"""^(?:<LIT_|\d|(?:u8|u|U|L)?R?"|(?:u8|u|U|L)?')""")
+
+
+def declared_calls(code: Column) -> Column:
+    """Names that a parenthesis follows, as often as they occur."""
+    return F.regexp_extract_all(code, F.lit(r"\b([A-Za-z_][A-Za-z0-9_:]*)\s*\("), 1)
 
 
 def call_targets(code: Column) -> Column:
     """Distinct names that a call or definition parenthesis follows, in order of appearance."""
-    names = F.regexp_extract_all(code, F.lit(r"\b([A-Za-z_][A-Za-z0-9_:]*)\s*\("), 1)
-    return F.array_except(names, F.array(*map(F.lit, NO_CALLS)))
+    return F.array_except(declared_calls(code), F.array(*map(F.lit, NO_CALLS)))
 
 
 def approximate_tokens(text: Column) -> Column:
@@ -80,3 +93,36 @@ def without_directives(code: Column) -> Column:
         return F.struct(F.concat(state["done"], F.array(shown)).alias("done"), (masked & line.rlike(r"\\\r?$")).alias("open"))
 
     return F.aggregate(F.split(code, "\n"), start, step, lambda state: F.array_join(state["done"], "\n"))
+
+
+def decoded(data: Column) -> Column:
+    """Text of raw bytes: UTF-16 where a byte order mark says so, else UTF-8, else Latin-1; null for null."""
+    mark = F.hex(F.substring(data, 1, 2))
+    utf8 = data.cast("string")
+    return (
+        F.when(mark == "FFFE", F.decode(F.substring(data, 3, 1 << 30), "UTF-16LE"))
+        .when(mark == "FEFF", F.decode(F.substring(data, 3, 1 << 30), "UTF-16BE"))
+        .when(F.is_valid_utf8(utf8), utf8)
+        .otherwise(F.decode(data, "ISO-8859-1"))
+    )
+
+
+def byte_slice(text: Column, start: Column, end: Column) -> Column:
+    """The part of a text between two places counted in UTF-8 bytes; null if either is null."""
+    return F.substring(F.encode(text, "UTF-8"), start.cast("int") + 1, F.greatest(end - start, F.lit(0)).cast("int")).cast("string")
+
+
+def replaced(text: Column, ranges: Column) -> Column:
+    """A text with byte ranges replaced: ``ranges`` are structs with ``start``, ``end`` and ``new``, and don't overlap.
+
+    They are taken from the right, so that earlier places stay what they are.
+    """
+    whole = F.encode(text, "UTF-8")
+    right = F.reverse(F.array_sort(F.transform(ranges, lambda r: F.struct(r["start"].cast("int").alias("s"), r["end"].cast("int").alias("e"), r["new"].alias("new")))))
+    step = lambda b, r: F.concat(F.substring(b, F.lit(1), r["s"]), F.encode(r["new"], "UTF-8"), F.substring(b, r["e"] + 1, F.lit(1 << 30)))
+    return F.aggregate(right, whole, step).cast("string")
+
+
+def json_safe(values: Column) -> Column:
+    """Numbers of an array that JSON can hold; the others become null."""
+    return F.transform(values, lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x))

@@ -17,16 +17,16 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def medoids(members: DataFrame, by: str, member: str, vector: str) -> DataFrame:
+def medoids(members: DataFrame, by: str, member: str, vector: str, width: int = 64) -> DataFrame:
     """The member nearest the mean vector of each cluster: ``by, size, medoid, far``.
 
     Distances are compared to six decimals, ties go to the smaller member.  The
-    mean is taken per dimension with partial sums, so a cluster of any size never
-    meets in one task.  Null vectors take no part.
+    mean of the ``width`` components is taken with partial sums, a row a vector, so a
+    cluster of any size never meets in one task.  Null vectors take no part.
     """
     rows = members.where(F.col(vector).isNotNull()).select(by, member, vector)
-    each = rows.select(by, F.posexplode(vector).alias("_d", "_x")).groupBy(by, "_d").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    centres = each.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_d", "_m"))).alias("_c")).select(by, F.transform("_c", lambda c: c["_m"]).alias("_centre"))
+    means = rows.groupBy(by).agg(*[F.avg(F.get(F.col(vector), F.lit(d)).cast("double")).alias(f"_m{d}") for d in range(width)])
+    centres = means.select(by, F.array_compact(F.array(*[f"_m{d}" for d in range(width)])).alias("_centre"))
     far = rows.join(centres, by).select(by, member, F.round(cosine_distance(F.col(vector), F.col("_centre")), 6).alias("far"))
     best = far.groupBy(by).agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("far", member)).alias("_b"))
     return best.select(by, "size", F.col(f"_b.{member}").alias("medoid"), F.col("_b.far").alias("far"))

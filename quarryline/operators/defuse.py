@@ -7,19 +7,30 @@ from pyspark.sql.window import Window
 
 from quarryline.functions.patterns import KEYWORDS
 
-#: What a statement assigns or declares: the name before an assignment or a declaration's end.
-DEFINES = r"([A-Za-z_][A-Za-z0-9_]*)\s*(?:[-+*/%|&^]|<<|>>)?=(?:[^=]|$)"
+#: Names that a statement assigns or steps, and those that a declaration declares.
+ASSIGNED = r"([A-Za-z_][A-Za-z0-9_]*)\s*(?:(?:[-+*/%|&^]|<<|>>)?=(?:[^=]|$)|\+\+|--)"
+STEPPED = r"(?:\+\+|--)\s*([A-Za-z_][A-Za-z0-9_]*)"
+DECLARED = r"[A-Za-z0-9_>*&]\s+[*&]*([A-Za-z_][A-Za-z0-9_]*)\s*(?:[;,(\[{]|$)"
+#: What makes a defined name one that is used as well.
+UPDATED = r"[-+*/%|&^]=|<<=|>>=|\+\+|--"
 NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
 def facts(statements: DataFrame) -> DataFrame:
-    """One row for each statement and name: ``symbol, defines, uses``, from ``file_id, func_idx, node_idx, code_snippet``."""
+    """One row for each statement and name: ``symbol, defines, uses``, from ``file_id, func_idx, node_idx, kind, code_snippet``.
+
+    A name is defined where it is assigned, stepped up or down, or declared by a
+    node of kind ``declaration``.  A null kind is no declaration; a null code has no names.
+    """
     by = ["file_id", "func_idx", "node_idx"]
-    rows = statements.where("code_snippet is not null").select(*by, F.regexp_extract("code_snippet", DEFINES, 1).alias("d"), F.regexp_extract_all("code_snippet", F.lit(NAME), 0).alias("names"), "code_snippet")
+    found = lambda pattern: F.regexp_extract_all("code_snippet", F.lit(pattern), 1)
+    none = F.array().cast("array<string>")
+    defined = F.concat(found(ASSIGNED), found(STEPPED), F.when(F.col("kind") == "declaration", found(DECLARED)).otherwise(none))
+    rows = statements.where("code_snippet is not null").select(*by, F.array_distinct(defined).alias("d"), F.regexp_extract_all("code_snippet", F.lit(NAME), 0).alias("names"), "code_snippet")
     # a name counts as used if it occurs besides the one place that defines it, or where an operator updates it
-    updated = F.col("code_snippet").rlike(r"[-+*/%|&^]=|<<=|>>=")
-    each = rows.select(*by, "d", updated.alias("updated"), F.explode("names").alias("symbol")).where(~F.col("symbol").isin(KEYWORDS))
-    grouped = each.groupBy(*by, "symbol").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("symbol") == F.col("d")).alias("defines"), F.bool_or("updated").alias("updated"))
+    each = rows.select(*by, "d", F.col("code_snippet").rlike(UPDATED).alias("updated"), F.explode("names").alias("symbol")).where(~F.col("symbol").isin(KEYWORDS))
+    each = each.withColumn("defines", F.array_contains("d", F.col("symbol")))
+    grouped = each.groupBy(*by, "symbol").agg(F.count(F.lit(1)).alias("n"), F.bool_or("defines").alias("defines"), F.bool_or("updated").alias("updated"))
     return grouped.select(*by, "symbol", "defines", (~F.col("defines") | (F.col("n") > 1) | F.col("updated")).alias("uses"))
 
 

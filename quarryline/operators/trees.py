@@ -18,21 +18,68 @@ def function_nodes(files: DataFrame) -> DataFrame:
     return functions.select("file_id", "func_idx", F.posexplode("tree").alias("node_idx", "node")).select("file_id", "func_idx", "node_idx", "node.*")
 
 
+def _set_at(values: Column, place: Column, value: Column) -> Column:
+    """An array with one element set, lengthened by nulls where it is shorter."""
+    padded = F.concat(F.slice(values, 1, place), F.array_repeat(F.lit(None).cast("int"), F.greatest(place - F.size(values), F.lit(0))))
+    return F.concat(padded, F.array(value), F.slice(values, place + 2, F.greatest(F.size(values) - place - 1, F.lit(0))))
+
+
+def parents(depths: Column) -> Column:
+    """For each depth of a depth-first list the index of the nearest earlier node one level up, or null.
+
+    One pass; its state is the last node of each level.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("last"), F.array().cast("array<int>").alias("out"))
+
+    def step(state: Column, depth: Column) -> Column:
+        above = F.when(depth > 0, F.get(state["last"], depth - 1))
+        return F.struct(_set_at(state["last"], depth, F.size(state["out"])).alias("last"), F.concat(state["out"], F.array(above)).alias("out"))
+
+    return F.aggregate(depths, start, step, lambda state: state["out"])
+
+
+def spans(depths: Column) -> Column:
+    """For each depth of a depth-first list the rows of the node's subtree.
+
+    One pass from the end; its state is the nearest later node of each level.
+    """
+    n = F.size(depths)
+    start = F.struct(F.array().cast("array<int>").alias("next"), F.array().cast("array<int>").alias("out"))
+
+    def step(state: Column, depth: Column) -> Column:
+        index = n - F.size(state["out"]) - 1
+        ended = F.coalesce(F.array_min(F.slice(state["next"], 1, depth + 1)), n)
+        return F.struct(_set_at(state["next"], depth, index).alias("next"), F.concat(state["out"], F.array(ended - index)).alias("out"))
+
+    return F.aggregate(F.reverse(depths), start, step, lambda state: F.reverse(state["out"]))
+
+
+def placed_nodes(files: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+    """``file_id, func_idx, node_idx, depth, kind, parent_idx, parent_kind, span`` and more fields of every node.
+
+    Parents and spans come from the function's own array before its nodes become
+    rows, so nothing is joined or shuffled.  A null depth counts as 0.
+    """
+    functions = files.select("file_id", F.posexplode("func_ast").alias("func_idx", "tree")).where("tree is not null")
+    depths = F.transform("tree", lambda n: F.coalesce(n["depth"], F.lit(0)))
+    nodes = F.transform(F.arrays_zip(F.col("tree").alias("node"), parents(depths).alias("p"), spans(depths).alias("span")), lambda x: F.struct(x["node"].alias("node"), x["p"].alias("parent_idx"), F.get(F.col("tree"), x["p"])["kind"].alias("parent_kind"), x["span"].alias("span")))
+    rows = functions.select("file_id", "func_idx", F.posexplode(nodes).alias("node_idx", "x"))
+    return rows.select("file_id", "func_idx", "node_idx", *[F.col(f"x.node.{f}").alias(f) for f in dict.fromkeys(("depth", "kind", *fields))], "x.parent_idx", "x.parent_kind", "x.span")
+
+
 def with_parents(nodes: DataFrame) -> DataFrame:
-    """Add ``parent_idx``, the nearest earlier node one level up, and ``span``, the rows of the node's subtree.
+    """Add ``parent_idx`` and ``span`` to nodes that are rows already: one shuffle by function, one pass in it.
 
-    The tree of one function is bounded, so both come from its array of depths
-    inside the row; nothing is joined with itself.
+    Other columns come through; a repeated node of a function counts as another one after it.
     """
     by = ["file_id", "func_idx"]
-    depths = nodes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("node_idx", "depth"))).alias("all"))
-    joined = nodes.join(depths, by)
-    mine, depth = F.col("node_idx"), F.col("depth")
-    before = F.filter("all", lambda n: (n["node_idx"] < mine) & (n["depth"] == depth - 1))
-    after = F.filter("all", lambda n: (n["node_idx"] > mine) & (n["depth"] <= depth))
-    last = F.array_max(F.transform("all", lambda n: n["node_idx"])) + 1
-    ended = F.coalesce(F.array_min(F.transform(after, lambda n: n["node_idx"])), last)
-    return joined.select(*nodes.columns, F.array_max(F.transform(before, lambda n: n["node_idx"])).alias("parent_idx"), (ended - mine).alias("span"))
+    rest = [c for c in nodes.columns if c not in by]
+    trees = nodes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("node_idx", *[c for c in rest if c != "node_idx"]))).alias("tree"))
+    depths = F.transform("tree", lambda n: F.coalesce(n["depth"], F.lit(0)))
+    index = lambda a: F.transform(a, lambda i: F.get(F.col("tree"), i)["node_idx"])
+    zipped = F.arrays_zip(F.col("tree").alias("node"), index(parents(depths)).alias("parent_idx"), spans(depths).alias("span"))
+    rows = trees.select(*by, F.explode(zipped).alias("x"))
+    return rows.select(*[F.col(c) if c in by else F.col(f"x.node.{c}").alias(c) for c in nodes.columns], "x.parent_idx", "x.span")
 
 
 def diverse_top(df: DataFrame, by: list[str], kind: str, score: list[Column], limit: int) -> DataFrame:

@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only where the setting is absent, which is
-    the case in tests and never on a cluster that sets it.
+    Where the setting is absent a machine-local folder is made in local mode; on
+    a cluster, whose executors couldn't read it, the setting is required.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarryline-checkpoint-"))
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quarryline-checkpoint-")
+    context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -48,9 +48,10 @@ def merged_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FACTS = rf"""{_NODES},
-stated AS (SELECT file_id, func_idx, node_idx, node.code_snippet AS code FROM nodes WHERE node_idx > 0 AND node.code_snippet IS NOT NULL),
-named AS (SELECT file_id, func_idx, node_idx, regexp_extract(code, '{defuse.DEFINES}', 1) AS d, regexp_matches(code, '[-+*/%|&^]=|<<=|>>=') AS updated, unnest(regexp_extract_all(code, '{defuse.NAME}')) AS symbol FROM stated),
-grouped AS (SELECT file_id, func_idx, node_idx, symbol, count(*) AS n, bool_or(symbol = d) AS defines, bool_or(updated) AS updated FROM named WHERE symbol NOT IN ({", ".join(f"'{k}'" for k in KEYWORDS)}) GROUP BY ALL),
+stated AS (SELECT file_id, func_idx, node_idx, node.kind AS kind, node.code_snippet AS code FROM nodes WHERE node_idx > 0 AND node.code_snippet IS NOT NULL),
+named AS (SELECT file_id, func_idx, node_idx, list_concat(regexp_extract_all(code, '{defuse.ASSIGNED}', 1), regexp_extract_all(code, '{defuse.STEPPED}', 1), CASE WHEN kind = 'declaration' THEN regexp_extract_all(code, '{defuse.DECLARED}', 1) ELSE [] END) AS d,
+  regexp_matches(code, '{defuse.UPDATED}') AS updated, unnest(regexp_extract_all(code, '{defuse.NAME}')) AS symbol FROM stated),
+grouped AS (SELECT file_id, func_idx, node_idx, symbol, count(*) AS n, bool_or(list_contains(d, symbol)) AS defines, bool_or(updated) AS updated FROM named WHERE symbol NOT IN ({", ".join(f"'{k}'" for k in KEYWORDS)}) GROUP BY ALL),
 latest AS (SELECT *, max(CASE WHEN defines THEN node_idx END) OVER (PARTITION BY file_id, func_idx, symbol ORDER BY node_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source FROM grouped),
 links AS (SELECT file_id, func_idx, source, node_idx AS target, symbol FROM latest WHERE (NOT defines OR n > 1 OR updated) AND source IS NOT NULL)"""
 
@@ -101,17 +102,18 @@ def retain_unmerged(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     rf"""WITH {FILES}, functions AS (SELECT corpus, unnest(func_src) AS code FROM files),
-    plain AS (SELECT corpus, code, regexp_replace(regexp_replace(code, '(?s)/\*.*?\*/', '', 'g'), '//[^\n]*', '', 'g') AS p FROM functions WHERE code IS NOT NULL)
+    plain AS (SELECT corpus, code, regexp_replace(code, '{text.COMMENT.replace(chr(39), chr(39) * 2)}', '\1', 'g') AS p FROM functions WHERE code IS NOT NULL)
     SELECT corpus, count(*) AS functions, CAST(sum(length(code)) AS BIGINT) AS characters, CAST(sum(length(p)) AS BIGINT) AS without_comments,
     CAST(sum(len(list_filter(string_split(p, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g')) <> ''))) AS BIGINT) AS effective_lines FROM plain GROUP BY corpus"""
 )
 def comment_share(spark: SparkSession, folder: str) -> DataFrame:
     """Characters with and without comments, and lines that hold code."""
-    functions = first_rows(spark, folder, "corpus", "func_src").select("corpus", F.explode("func_src").alias("code")).where("code is not null")
-    plain = F.regexp_replace(F.regexp_replace("code", r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
-    lines = F.size(F.filter(F.split("p", "\n"), lambda x: text.fold(x) != ""))
-    rows = functions.withColumn("p", plain)
-    return rows.groupBy("corpus").agg(F.count(F.lit(1)).alias("functions"), F.sum(F.length("code")).alias("characters"), F.sum(F.length("p")).alias("without_comments"), F.sum(lines).alias("effective_lines"))
+    lines = lambda p: F.size(F.filter(F.split(p, "\n"), lambda x: text.fold(x) != ""))
+    codes = F.filter("func_src", lambda c: c.isNotNull())
+    measured = lambda c, p: F.struct(F.length(c).alias("all"), F.length(p).alias("plain"), lines(p).alias("lines"))
+    sizes = F.transform(codes, lambda c: F.get(F.transform(F.array(text.stripped(c)), lambda p: measured(c, p)), F.lit(0)))
+    rows = first_rows(spark, folder, "corpus", sizes=sizes).select("corpus", F.explode("sizes").alias("s"))
+    return rows.groupBy("corpus").agg(F.count(F.lit(1)).alias("functions"), F.sum("s.all").alias("characters"), F.sum("s.plain").alias("without_comments"), F.sum("s.lines").alias("effective_lines"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from quarryline.functions import scores, text
@@ -26,13 +26,18 @@ reasons AS (SELECT paths.file_id, corpus, CASE WHEN r IS NOT NULL THEN r
   FROM paths LEFT JOIN barred USING (file_id))"""
 
 
+#: A project in one spelling; files and records without one stay together.
+_PROJECT = F.coalesce(F.lower(F.trim("project")), F.lit("unknown"))
+
+
 def files_of(spark: SparkSession, folder: str) -> DataFrame:
     return scan.first_deliveries(table(spark, folder, "dataset"), "file_id", "ingested_at")
 
 
-def first_rows(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """The first delivery of each file, only some columns of it shuffled."""
-    return scan.first_deliveries(table(spark, folder, "dataset").select("file_id", "ingested_at", *columns), "file_id", "ingested_at")
+def first_rows(spark: SparkSession, folder: str, *columns: str, **derived: Column) -> DataFrame:
+    """The first delivery of each file: some of its columns, and what is derived from others before anything is shuffled."""
+    rows = table(spark, folder, "dataset").select("file_id", "ingested_at", *columns, *[c.alias(n) for n, c in derived.items()])
+    return scan.first_deliveries(rows, "file_id", "ingested_at")
 
 
 def fragments_of(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -64,8 +69,8 @@ def scan_summary(spark: SparkSession, folder: str) -> DataFrame:
 def valid_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files with functions; a null split is train."""
     functions = F.size(F.filter("func_src", lambda x: x.isNotNull() & (x != ""))).cast("long")
-    rows = first_rows(spark, folder, "split", "func_src").select("file_id", F.coalesce(F.lower(F.trim("split")), F.lit("train")).alias("split"), functions.alias("functions"))
-    return rows.where("functions > 0")
+    rows = first_rows(spark, folder, split=F.coalesce(F.lower(F.trim("split")), F.lit("train")), functions=functions)
+    return rows.where("functions > 0").select("file_id", "split", "functions")
 
 
 @query("SELECT file_id, count(*) AS deliveries, min(ingested_at) AS first_at, max(ingested_at) AS last_at FROM dataset WHERE file_id IS NOT NULL GROUP BY file_id HAVING count(*) > 1")
@@ -82,12 +87,12 @@ def repeated_fragments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {FILES}, names AS (SELECT corpus, lower(trim(project)) AS project, regexp_extract({_PATH}, '[^/]*$') AS name FROM files)
-    SELECT corpus, project, name, count(*) AS files FROM names WHERE project IS NOT NULL GROUP BY corpus, project, name HAVING count(*) > 1"""
+    f"""WITH {FILES}, names AS (SELECT corpus, coalesce(lower(trim(project)), 'unknown') AS project, regexp_extract({_PATH}, '[^/]*$') AS name FROM files)
+    SELECT corpus, project, name, count(*) AS files FROM names GROUP BY corpus, project, name HAVING count(*) > 1"""
 )
 def basename_collisions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = first_rows(spark, folder, "corpus", "project", "cppFile").where("project is not null")
-    grouped = rows.groupBy("corpus", F.lower(F.trim("project")).alias("project"), F.lower(scan.file_name(F.col("cppFile"))).alias("name"))
+    rows = first_rows(spark, folder, "corpus", project=_PROJECT, name=F.lower(scan.file_name(F.col("cppFile"))))
+    grouped = rows.groupBy("corpus", "project", "name")
     return grouped.agg(F.count(F.lit(1)).alias("files")).where("files > 1")
 
 
@@ -147,14 +152,14 @@ def status_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LATEST} SELECT coalesce(lower(trim(project)), 'all') AS project, count(*) AS files, CAST(sum(byte_count) AS BIGINT) AS bytes, CAST(sum(function_definition_count) AS BIGINT) AS functions,
+    f"""WITH {LATEST} SELECT CASE WHEN grouping(p) = 1 THEN 'all' ELSE p END AS project, count(*) AS files, CAST(sum(byte_count) AS BIGINT) AS bytes, CAST(sum(function_definition_count) AS BIGINT) AS functions,
     CAST(sum(len(error_ranges)) AS BIGINT) AS errors, round(coalesce(sum(reliable_significant_byte_count) / nullif(sum(significant_byte_count), 0), 0), 6) AS reliable
-    FROM latest WHERE project IS NOT NULL GROUP BY GROUPING SETS ((lower(trim(project))), ())"""
+    FROM (SELECT *, coalesce(lower(trim(project)), 'unknown') AS p FROM latest) GROUP BY GROUPING SETS ((p), ())"""
 )
 def project_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Sums of the parser's records per project and over all, with the micro ratio of reliable bytes."""
-    rows = latest_evidence(spark, folder, "project", "byte_count", "function_definition_count", "error_ranges", "significant_byte_count", "reliable_significant_byte_count").where("project is not null")
-    rolled = rows.withColumn("project", F.lower(F.trim("project"))).rollup("project").agg(
+    rows = latest_evidence(spark, folder, "project", "byte_count", "function_definition_count", "error_ranges", "significant_byte_count", "reliable_significant_byte_count")
+    rolled = rows.withColumn("project", _PROJECT).rollup("project").agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("byte_count").alias("bytes"),
         F.sum("function_definition_count").alias("functions"),
@@ -171,20 +176,20 @@ def project_rollup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def code_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of each file's functions, comments aside."""
-    functions = first_rows(spark, folder, "func_src").select("file_id", F.explode("func_src").alias("code")).where("code is not null")
-    counted = functions.select("file_id", F.size(text.code_tokens(F.col("code"))).alias("n"))
+    sizes = F.transform(F.filter("func_src", lambda c: c.isNotNull()), lambda c: F.size(text.code_tokens(c)))
+    counted = first_rows(spark, folder, sizes=sizes).select("file_id", F.explode("sizes").alias("n"))
     return counted.groupBy("file_id").agg(F.sum("n").alias("tokens"), F.max("n").cast("long").alias("longest"))
 
 
 @query(
-    f"""WITH {FILES}, functions AS (SELECT lower(trim(project)) AS project, unnest(func_src) AS code FROM files WHERE project IS NOT NULL),
+    f"""WITH {FILES}, functions AS (SELECT coalesce(lower(trim(project)), 'unknown') AS project, unnest(func_src) AS code FROM files),
     calls AS (SELECT project, unnest(list_distinct(regexp_extract_all(code, '\\b([A-Za-z_][A-Za-z0-9_:]*)\\s*\\(', 1))) AS target FROM functions WHERE code IS NOT NULL)
     SELECT project, count(*) AS calls, count(DISTINCT target) AS targets FROM calls WHERE target NOT IN ({", ".join(f"'{n}'" for n in text.NO_CALLS)}) GROUP BY project"""
 )
 def call_targets(spark: SparkSession, folder: str) -> DataFrame:
     """Functions' call targets per project: how many, and how many different ones."""
-    functions = first_rows(spark, folder, "project", "func_src").where("project is not null").select(F.lower(F.trim("project")).alias("project"), F.explode("func_src").alias("code")).where("code is not null")
-    calls = functions.select("project", F.explode(text.call_targets(F.col("code"))).alias("target"))
+    targets = F.flatten(F.transform(F.filter("func_src", lambda c: c.isNotNull()), text.call_targets))
+    calls = first_rows(spark, folder, project=_PROJECT, targets=targets).select("project", F.explode("targets").alias("target"))
     return calls.groupBy("project").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("target").alias("targets"))
 
 
@@ -193,8 +198,10 @@ def call_targets(spark: SparkSession, folder: str) -> DataFrame:
     SELECT kind, count(*) AS fragments, count(*) - count(DISTINCT code) AS exact_copies, count(*) - count(DISTINCT folded) AS folded_copies FROM codes GROUP BY kind"""
 )
 def duplicate_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Copies among fragments of a kind, as they are and with white space folded."""
-    rows = fragments_of(spark, folder, "pros_src", "pros_info").where("pros_src is not null").select(F.col("pros_info.node.kind").alias("kind"), F.xxhash64("pros_src").alias("code"), F.xxhash64(text.fold(F.col("pros_src"))).alias("folded"))
+    """Copies among fragments of a kind, as they are and with white space folded; texts count as equal by their SHA-256."""
+    code = lambda c: F.unhex(F.sha2(c, 256))
+    rows = table(spark, folder, "embedding").where("pros_src is not null").select("emb_id", "ingested_at", F.col("pros_info.node.kind").alias("kind"), code(F.col("pros_src")).alias("code"), code(text.fold(F.col("pros_src"))).alias("folded"))
+    rows = scan.first_deliveries(rows, "emb_id", "ingested_at")
     n = F.count(F.lit(1))
     return rows.groupBy("kind").agg(n.alias("fragments"), (n - F.count_distinct("code")).alias("exact_copies"), (n - F.count_distinct("folded")).alias("folded_copies"))
 
@@ -233,7 +240,7 @@ def bucket_histograms(spark: SparkSession, folder: str) -> DataFrame:
     breaks = F.aggregate(F.transform("func_src", lambda x: F.length(F.coalesce(x, F.lit(""))) - F.length(F.replace(F.coalesce(x, F.lit("")), F.lit("\n"), F.lit(""))) + 1), F.lit(0), lambda a, b: a + b)
     lines = F.when(F.size("func_src") > 0, breaks)
     functions = F.coalesce(F.when(F.col("func_src").isNotNull(), F.size(F.filter("func_src", lambda x: x.isNotNull()))), F.lit(0))
-    rows = first_rows(spark, folder, "corpus", "func_src").select("corpus", lines.alias("lines"), functions.alias("functions"))
+    rows = first_rows(spark, folder, "corpus", lines=lines, functions=functions)
     bucket = F.when(F.col("lines").isNull(), "none").when(F.col("lines") < 50, "1-49").when(F.col("lines") < 100, "50-99").when(F.col("lines") < 200, "100-199").otherwise("200+")
     return rows.groupBy("corpus", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("files"), F.sum("functions").alias("functions"))
 

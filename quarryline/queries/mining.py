@@ -31,10 +31,14 @@ totals AS (SELECT corpus, count(*) AS patterns FROM patterns GROUP BY GROUPING S
 
 
 def code_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Folded lines of all functions: ``file_id, corpus, split, line`` (its hash) and ``n``, its length."""
-    functions = first_rows(spark, folder, "corpus", "split", "func_src").select("file_id", "corpus", F.lower(F.trim("split")).alias("split"), F.explode("func_src").alias("code"))
-    folded = functions.where("code is not null").select("file_id", "corpus", "split", F.explode(F.split("code", "\n")).alias("line")).select("file_id", "corpus", "split", text.fold(F.col("line")).alias("line"))
-    return folded.select("file_id", "corpus", "split", F.xxhash64("line").alias("line"), F.length("line").alias("n"))
+    """Folded lines of all functions: ``file_id, corpus, split, line`` (its hash) and ``n``, its length.
+
+    Lines become hashes before repeated deliveries are dropped, so no text is shuffled.
+    """
+    lines = F.flatten(F.transform(F.filter("func_src", lambda c: c.isNotNull()), lambda c: F.split(c, "\n")))
+    hashed = F.transform(lines, lambda x: F.get(F.transform(F.array(text.fold(x)), lambda y: F.struct(F.xxhash64(y).alias("line"), F.length(y).alias("n"))), F.lit(0)))
+    rows = first_rows(spark, folder, "corpus", split=F.lower(F.trim("split")), lines=hashed)
+    return rows.select("file_id", "corpus", "split", F.explode("lines").alias("l")).select("file_id", "corpus", "split", "l.line", "l.n")
 
 
 @query(
@@ -49,12 +53,12 @@ def coverage_ic_isp_f1(spark: SparkSession, folder: str) -> DataFrame:
     A pattern is a folded line of 20 characters or more in at least two train
     files of a corpus.  Three grains: test file (macro mean), corpus, all.
     """
-    lines = code_lines(spark, folder)
+    # one row for each line of a file, written once: train, test and all measures read it
+    lines = cut(code_lines(spark, folder).where(F.col("split").isin(*TRAIN, *TEST)).groupBy("corpus", "split", "file_id", "line").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("times")))
     counted = lines.where(F.col("split").isin(*TRAIN) & (F.col("n") >= 20)).select("corpus", "line", "file_id").distinct().groupBy("corpus", "line").agg(F.count(F.lit(1)).alias("files"))
     patterns = cut(counted.where("files >= 2").select("corpus", "line", F.lit(True).alias("hit")))
-    # one row for each line of a file, before it meets the patterns
-    tested = lines.where(F.col("split").isin(*TEST)).groupBy("corpus", "file_id", "line").agg(F.sum("n").alias("n"))
-    tested = tested.join(patterns, ["corpus", "line"], "left")
+    tested = lines.where(F.col("split").isin(*TEST)).select("corpus", "file_id", "line", (F.col("n") * F.col("times")).alias("n"))
+    tested = cut(tested.join(patterns, ["corpus", "line"], "left"))
     per_file = tested.groupBy("corpus", "file_id").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("covered")).where("total > 0")
     grains = per_file.rollup("corpus").agg(F.sum("covered").alias("covered"), F.sum("total").alias("total"), F.avg(F.col("covered") / F.col("total")).alias("macro"))
     recur = tested.where("hit").select("corpus", "line").distinct().rollup("corpus").agg(F.count(F.lit(1)).alias("recurring"))
@@ -193,11 +197,11 @@ def argmax_ties(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {_MEMBERS}, each_ AS (SELECT project, cluster_key, count(*) AS size, count(DISTINCT (info.file, info.function_extent)) AS support, avg(info.node.subtree_size) AS ast FROM members GROUP BY 1, 2)
-    SELECT coalesce(project, 'all') AS project, count(*) AS types, CAST(sum(size) AS BIGINT) AS instances, CAST(sum(support) AS BIGINT) AS support, round(avg(size), 6) AS mean_size, round(avg(support), 6) AS mean_support, round(avg(ast), 6) AS mean_ast FROM each_ WHERE project IS NOT NULL GROUP BY GROUPING SETS ((project), ())"""
+    SELECT CASE WHEN grouping(project) = 1 THEN 'all' ELSE project END AS project, count(*) AS types, CAST(sum(size) AS BIGINT) AS instances, CAST(sum(support) AS BIGINT) AS support, round(avg(size), 6) AS mean_size, round(avg(support), 6) AS mean_support, round(avg(ast), 6) AS mean_ast FROM (SELECT * REPLACE (coalesce(project, 'unknown') AS project) FROM each_) GROUP BY GROUPING SETS ((project), ())"""
 )
 def library_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Types, instances, functions that support them, and mean tree size by type, per project and over all."""
-    each = members_of(spark, folder).where("project is not null").groupBy("project", "cluster_key").agg(F.count(F.lit(1)).alias("size"), F.count_distinct(F.struct("info.file", "info.function_extent")).alias("support"), F.avg("info.node.subtree_size").alias("ast"))
+    each = members_of(spark, folder).withColumn("project", F.coalesce("project", F.lit("unknown"))).groupBy("project", "cluster_key").agg(F.count(F.lit(1)).alias("size"), F.count_distinct(F.struct("info.file", "info.function_extent")).alias("support"), F.avg("info.node.subtree_size").alias("ast"))
     rolled = each.rollup("project").agg(
         F.count(F.lit(1)).alias("types"),
         F.sum("size").alias("instances"),

@@ -18,6 +18,10 @@ functions AS (SELECT file_id, unnest(func_ast) AS tree, CAST(generate_subscripts
 nodes AS (SELECT file_id, func_idx, unnest(tree) AS node, CAST(generate_subscripts(tree, 1) - 1 AS INT) AS node_idx FROM functions)"""
 
 
+def placed(spark: SparkSession, folder: str, *fields: str) -> DataFrame:
+    return trees.placed_nodes(first_rows(spark, folder, "func_ast"), fields)
+
+
 def nodes_of(spark: SparkSession, folder: str) -> DataFrame:
     return trees.function_nodes(first_rows(spark, folder, "func_ast"))
 
@@ -29,7 +33,7 @@ def nodes_of(spark: SparkSession, folder: str) -> DataFrame:
 )
 def tree_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Parent and subtree rows of every node."""
-    return trees.with_parents(nodes_of(spark, folder)).select("file_id", "func_idx", "node_idx", "parent_idx", "span")
+    return placed(spark, folder).select("file_id", "func_idx", "node_idx", "parent_idx", "span")
 
 
 @query(
@@ -39,10 +43,7 @@ def tree_spans(spark: SparkSession, folder: str) -> DataFrame:
 )
 def tree_parents(spark: SparkSession, folder: str) -> DataFrame:
     """Kinds of nodes under kinds of parents."""
-    linked = trees.with_parents(nodes_of(spark, folder).select("file_id", "func_idx", "node_idx", "depth", "kind"))
-    kinds = linked.groupBy("file_id", "func_idx").agg(F.map_from_entries(F.collect_list(F.struct("node_idx", "kind"))).alias("kinds"), F.collect_list(F.struct("kind", "parent_idx")).alias("n"))
-    pairs = kinds.select("kinds", F.explode("n").alias("n")).select("n.kind", F.expr("kinds[n.parent_idx]").alias("parent_kind"))
-    return pairs.groupBy("kind", "parent_kind").agg(F.count(F.lit(1)).alias("nodes"))
+    return placed(spark, folder).groupBy("kind", "parent_kind").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 _KINDS = lambda kinds: ", ".join(f"'{k}'" for k in kinds)

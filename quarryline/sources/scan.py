@@ -87,3 +87,17 @@ def first_deliveries(df: DataFrame, key: str, order: str) -> DataFrame:
 def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Work whose key isn't done yet: how an interrupted run is taken up again."""
     return work.join(done.select(key).distinct(), key, "left_anti")
+
+
+def projects(files: DataFrame, names: list[str] | None = None, project: str = "project") -> DataFrame:
+    """``project, files`` of all projects, or of those named exactly.
+
+    Null, blank and hidden names and names that lead out of the folder are no
+    projects; asking for such a name, or for none at all, is an error.
+    """
+    if names is not None and (not names or any(not n.strip() or n.startswith(".") or ".." in n or "/" in n or "\\" in n for n in names)):
+        raise ValueError(f"no names of projects: {names!r}")
+    name = F.trim(project)
+    rows = files.where((name != "") & ~name.startswith(".") & ~F.col(project).rlike(r"[/\\]|\.\."))
+    found = rows.groupBy(F.lower(name).alias("project")).agg(F.count(F.lit(1)).alias("files"))
+    return found if names is None else found.where(F.col("project").isin([n.strip().lower() for n in names]))

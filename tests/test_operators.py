@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import patterns, scores, text
-from quarryline.operators import clusters, defuse, intervals, matching, trees, windows
+from quarryline.operators import clusters, coverage, defuse, intervals, matching, slices, trees, windows
 from quarryline.sources import scan, sinks
 from quarryline.streaming import ingest
 
@@ -175,7 +175,7 @@ def test_structural_matches_match_all_pairs(spark):
 
 def test_definitions_and_uses(spark):
     code = ["a = f(1);", "b = a + a;", "a += b;", "c = g(a);", "h(c, b);"]
-    rows = spark.createDataFrame([(1, 0, i + 1, x) for i, x in enumerate(code)] + [(1, 0, 9, None)], "file_id long, func_idx int, node_idx int, code_snippet string")
+    rows = spark.createDataFrame([(1, 0, i + 1, "expression_statement", x) for i, x in enumerate(code)] + [(1, 0, 9, None, None)], "file_id long, func_idx int, node_idx int, kind string, code_snippet string")
     links = defuse.edges(defuse.facts(rows))
     assert {(r.source, r.target, r.symbol) for r in links.collect()} == {(1, 2, "a"), (1, 3, "a"), (2, 3, "b"), (3, 4, "a"), (4, 5, "c"), (2, 5, "b")}
     near = {}
@@ -184,6 +184,113 @@ def test_definitions_and_uses(spark):
     assert near[4] == {1, 2, 3, 4, 5} and near[1] == {1, 2, 3}
 
 
+def test_what_defines_a_name(spark):
+    rows = [("declaration", "int a;"), ("declaration", "Foo b(c);"), ("expression_statement", "a++;"), ("expression_statement", "--b;"), ("expression_statement", "d = e = a;"), ("expression_statement", "f(a == b);"), (None, "int g;")]
+    df = spark.createDataFrame([(1, 0, i, k, c) for i, (k, c) in enumerate(rows)], "file_id long, func_idx int, node_idx int, kind string, code_snippet string")
+    got = {(r.node_idx, r.symbol): (r.defines, r.uses) for r in defuse.facts(df).collect()}
+    assert {k for k, (d, _) in got.items() if d} == {(0, "a"), (1, "b"), (2, "a"), (3, "b"), (4, "d"), (4, "e")}
+    assert got[(2, "a")][1] and got[(1, "c")][1] and not got[(0, "a")][1]
+
+
+def test_trees_before_they_are_rows(spark):
+    pick = random.Random(9)
+    trees_ = []
+    for f in range(20):
+        depth, depths = 0, []
+        for i in range(pick.randrange(0, 12)):
+            depth = 0 if i == 0 else pick.randrange(1, depth + 3)  # levels may be left out
+            depths.append(depth)
+        trees_.append((f, [[(d, f"k{i}", "x") for i, d in enumerate(depths)]] if f else None))
+    df = spark.createDataFrame(trees_, "file_id long, func_ast array<array<struct<depth int, kind string, code_snippet string>>>")
+    got = {(r.file_id, r.node_idx): (r.parent_idx, r.parent_kind, r.span) for r in trees.placed_nodes(df, ("code_snippet",)).collect()}
+    want = {}
+    for f, functions in trees_:
+        for depths in ([x[0] for x in t] for t in functions or ()):
+            for i, d in enumerate(depths):
+                parent = max((j for j in range(i) if depths[j] == d - 1), default=None)
+                end = next((j for j in range(i + 1, len(depths)) if depths[j] <= d), len(depths))
+                want[(f, i)] = (parent, None if parent is None else f"k{parent}", end - i)
+    assert got == want and len(want) > 60
+
+
+def test_authored_tokens(spark):
+    cases = {
+        'u8"a\\"b" R"x(c " d)x" L\'q\'': ['u8"a\\"b"', 'R"x(c " d)x"', "L'q'"],
+        "0b1010'1 0xFF'FFu 1'000.5e-3f a.*b": ["0b1010'1", "0xFF'FF", "u", "1'000.5e-3f", "a", ".*", "b"],
+        "a<<=b>>c<=>d->*e...": ["a", "<<=", "b", ">>", "c", "<=>", "d", "->*", "e", "..."],
+        "<VAR_1> = <LIT_2>; // x\n/* y */ z": ["<VAR_1>", "=", "<LIT_2>", ";", "z"],
+        "": [],
+    }
+    for code, tokens in cases.items():
+        assert one(spark, code, "string", text.code_tokens) == tokens
+    literal = lambda t: one(spark, t, "string", text.is_literal)
+    assert all(map(literal, ['u8"a"', "L'q'", 'R"(x)"', "0b1", "12", "<LIT_1>"])) and not any(map(literal, ["u8", "R", "a", "<VAR_1>", "."]))
+    assert one(spark, 'f("// no"); // yes\ng(\'"\'); /* "x */ h("/* no */");', "string", text.stripped) == 'f("// no"); \ng(\'"\');  h("/* no */");'
+    assert one(spark, '"' + "a" * 20000 + '"', "string", text.code_tokens) == ['"' + "a" * 20000 + '"']
+
+
+def test_bytes(spark):
+    assert [one(spark, bytearray(b), "binary", text.decoded) for b in ("grün 中".encode(), "grün".encode("latin-1"), "\ufeffgrün".encode("utf-16-le"), "\ufeffgrün".encode("utf-16-be"), b"")] == ["grün 中", "grün", "grün", "grün", ""]
+    assert one(spark, "aé中b", "string", lambda c: text.byte_slice(c, F.lit(1), F.lit(6))) == "é中"
+    ranges = F.array(F.struct(F.lit(1).alias("start"), F.lit(3).alias("end"), F.lit("<A>").alias("new")), F.struct(F.lit(6).alias("start"), F.lit(7).alias("end"), F.lit("").alias("new")))
+    assert one(spark, "aé中bc", "string", lambda c: text.replaced(c, ranges)) == "a<A>中c"
+    assert one(spark, [1.0, float("nan"), float("inf"), None], "array<double>", text.json_safe) == [1.0, None, None, None]
+
+
+def test_spans_of_templates_match_a_loop(spark):
+    pick = random.Random(4)
+    word = lambda: pick.choice(["a", "b", "Foo", "(", ")", ";", "=", "1", '"s"', "if"])
+    patterns_ = [(0, "<VAR_1> = <VAR_1> ;"), (1, "<VAR_1> = <LIT_1>"), (2, "Foo ( <VAR_1> <VAR_2> )"), (3, "<VAR_1>"), (4, None), (5, ""), (6, "if ( a"), (7, "<VAR_1> = <VAR_2> ;")]
+    codes = [(i, " ".join(word() for _ in range(pick.randrange(0, 40)))) for i in range(40)] + [(50, None), (51, "a = a ; Foo ( a b ) b = 1 a = b ;")]
+    got = {tuple(r) for r in coverage.template_spans(spark.createDataFrame(patterns_, "pattern_id int, code string"), spark.createDataFrame(codes, "code_id int, code string")).collect()}
+    name, literal = {"a", "b", "Foo"}, {"1", '"s"'}
+    want = set()
+    for p, pattern in patterns_:
+        parts = (pattern or "").split()
+        for c, code in codes:
+            tokens = (code or "").split()
+            for at in range(len(tokens) - len(parts) + 1):
+                bound, ok = {}, any(not x.startswith("<") for x in parts)
+                for x, t in zip(parts, tokens[at:]):
+                    ok = ok and (bound.setdefault(x, t) == t and t in (name if x[1] == "V" else literal) if x.startswith("<") else x == t)
+                if ok:
+                    want.add((p, c, at))
+    assert got == want and {p for p, _, _ in want} == {0, 1, 2, 6, 7}
+
+
+NODES = "corpus string, file_id long, func_idx int, node_idx int, span int, kind string, code_snippet string"
+
+
+def test_node_coverage_of_a_known_case(spark):
+    train = spark.createDataFrame([("p", 1, 0, 0, 2, "function_definition", "int source() { if (source) Use(1); }"), ("p", 1, 0, 1, 1, "if_statement", "if (source) Use(1);")], NODES)
+    test = [("p", 2, 0, 0, 7, "function_definition", "int other() { x(); }"), ("p", 2, 0, 1, 6, "if_statement", "if (ready) Use(2);"), ("p", 2, 0, 2, 1, "if_statement", "if (ready) Drop(2);")]
+    test += [("p", 2, 0, i, 1, "other", None) for i in range(3, 7)] + [("p", 3, 0, 0, 1, "function_definition", "void empty() {}")]
+    got = {r.corpus: r for r in coverage.node_coverage(train.where("node_idx = 1"), spark.createDataFrame(test, NODES), least=1).collect()}
+    for r in (got["p"], got["all"]):
+        assert (r.files, r.nodes, r.covered, r.ic_macro, r.ic_micro, r.patterns, r.matched, r.isp) == (2, 8, 6, round(3 / 7, 6), 0.75, 1, 1, 1.0)
+    assert coverage.node_coverage(train.limit(0), train.limit(0)).where("corpus != 'all'").count() == 0
+
+
+def test_slices(spark):
+    code = ["int a = start();", "a += step(a);", "log();", "b = a;", "c = 1;", "return b;"]
+    rows = [(1, 0, 0, "function_definition", "int f() {}", "1-0-9-1")] + [(1, 0, i + 1, "declaration" if c.startswith("int") else "expression_statement", c, f"{i + 2}-0-{i + 2}-9") for i, c in enumerate(code)]
+    nodes = spark.createDataFrame(rows, "file_id long, func_idx int, node_idx int, kind string, code_snippet string, extent string")
+    links = defuse.edges(defuse.facts(nodes.where("node_idx > 0")))
+    found = slices.slices(nodes, defuse.closure(links), links).collect()
+    best = min(found, key=lambda r: r.position)
+    assert len({(r["first"], r["last"]) for r in found}) == len(found) and sorted(r.position for r in found) == list(range(1, len(found) + 1))
+    assert all(r.selected >= 2 and r.cohesion >= 0.5 and 2 <= r.lines <= 80 for r in found) and best.position == 1
+
+
+def test_projects(spark):
+    df = spark.createDataFrame([(" A",), ("a",), (".git",), ("x/../y",), (None,), ("",), ("b",)], "project string")
+    assert {tuple(r) for r in scan.projects(df).collect()} == {("a", 2), ("b", 1)}
+    assert {tuple(r) for r in scan.projects(df, ["B"]).collect()} == {("b", 1)}
+    for names in ([], [".git"], ["../x"], [" "]):
+        with pytest.raises(ValueError):
+            scan.projects(df, names)
+
+
 def test_first_deliveries_pending_and_preview(spark):
     df = spark.createDataFrame([(1, 5, "b" * 300), (1, 3, "a"), (2, 1, None), (None, 1, "z")], "k int, at int, t string")
     assert {(r.k, r["at"]) for r in scan.first_deliveries(df, "k", "at").collect()} == {(1, 3), (2, 1)}
