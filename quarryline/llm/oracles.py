@@ -14,6 +14,10 @@ SELECT emb_id, cluster_id FROM (SELECT *, count(*) OVER (PARTITION BY cluster_id
 P4_FOUND = f"""WITH {_NEAR}, ranked AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n FROM near WHERE a <> b)
 SELECT DISTINCT least(a, b) AS emb_id_a, greatest(a, b) AS emb_id_b FROM ranked WHERE n <= 5"""
 
+P4_NEAREST = f"""WITH {_NEAR.split(", near AS")[0].split("near AS")[0].rstrip().rstrip(",")}, ranked AS (SELECT a.emb_id, b.emb_id AS neighbour, round(1 - list_inner_product(a.v, b.v), 6) AS distance,
+  row_number() OVER (PARTITION BY a.emb_id ORDER BY round(1 - list_inner_product(a.v, b.v), 6), b.emb_id) AS position FROM unit a JOIN unit b ON a.emb_id <> b.emb_id WHERE a.emb_id % 100 = 0)
+SELECT emb_id, position, neighbour, CASE WHEN distance = 0 THEN 0 ELSE distance END AS distance FROM ranked WHERE position <= 5"""
+
 _PATH = r"""regexp_replace(regexp_replace(trim(cppFile), '[\\/]+', '/', 'g'), '^(\./)*((?i)repos/(project|library)/[^/]+/)?', '')"""
 _STRIP = "{0}"
 for _ in range(2):
@@ -36,6 +40,8 @@ least_name AS (SELECT node, min(other) AS least FROM reach GROUP BY node),
 keyed AS (SELECT file_id, coalesce(least, entity) AS k FROM entities LEFT JOIN least_name ON node = entity)
 SELECT file_id, group_id FROM (SELECT file_id, min(file_id) OVER (PARTITION BY k) AS group_id, count(*) OVER (PARTITION BY k) AS n FROM keyed) WHERE n >= 2"""
 
+P7_DECODED = "SELECT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) AS characters FROM documents"
+
 _GRAMS = r"""SELECT {0} AS id, unnest([array_to_string(l[i:i+14], ' ') FOR i IN range(1, len(l) - 13)]) AS gram FROM (SELECT {0}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS l FROM {1} WHERE text IS NOT NULL AND {0} IS NOT NULL) WHERE len(l) >= 15"""
 _LEAKS = f"WITH items AS ({_GRAMS.format('item_id', 'eval_items')}), docs AS ({_GRAMS.format('doc_id', 'documents')}), pairs AS (SELECT DISTINCT docs.id AS doc_id, items.id AS item_id FROM docs JOIN items USING (gram))"
 
@@ -67,4 +73,4 @@ counted AS (SELECT doc_id, w, n, ends, len(regexp_replace(text, '[\p{{L}}\p{{N}}
 SELECT doc_id, CAST(len(w) AS BIGINT) AS words, round(n / nullif(len(w), 0), 6) AS mean_word_length, round(symbols / nullif(n, 0), 6) AS symbol_ratio,
   round(ended / nullif(len(ends), 0), 6) AS ended_lines, round(common / nullif(len(w), 0), 6) AS common_words FROM counted"""
 
-ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p8_found": P8_FOUND, "p8_passages": P8_PASSAGES, "p8_report": P8_REPORT, "p8_clean": P8_CLEAN, "p9_ratios": P9_RATIOS}
+ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_nearest": P4_NEAREST, "p7_decoded": P7_DECODED, "p8_found": P8_FOUND, "p8_passages": P8_PASSAGES, "p8_report": P8_REPORT, "p8_clean": P8_CLEAN, "p9_ratios": P9_RATIOS}

@@ -28,6 +28,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.neighbour_pairs(table(spark, folder, "embedding"))
 
 
+def p4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest fragments, at any distance, of every fragment whose id is divisible by 100."""
+    return vectors.nearest_search(table(spark, folder, "embedding"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return splits.grouped_files(table(spark, folder, "dataset"), table(spark, folder, "repo_aliases"))
 
@@ -52,6 +57,12 @@ def p7_use(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.vocabulary_use(table(spark, folder, "documents"))
 
 
+def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest and length of every text as its ids decode: those of the text itself."""
+    found = tokens.decode_corpus(tokens.encode_corpus(table(spark, folder, "documents")))
+    return found.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("characters"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -101,4 +112,4 @@ def p9_ratios(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "words", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "ended_lines", "common_words")])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_report, p6_found, p6_report, p7_ids, p7_use, p8_found, p8_passages, p8_report, p8_clean, p9_found, p9_statistics, p9_ratios)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_splits, p3_found, p3_report, p4_found, p4_nearest, p5_found, p5_report, p6_found, p6_report, p7_ids, p7_use, p7_decoded, p8_found, p8_passages, p8_report, p8_clean, p9_found, p9_statistics, p9_ratios)}

@@ -95,7 +95,8 @@ def encode_corpus(df: DataFrame, ids: str = "doc_id", texts: str = "text", vocab
     also one with a null or repeated id.  Other columns are ignored.
     """
     docs, blocks = _blocks(df, ids, texts)
-    parts = max(width(df.sparkSession), blocks // 4)
+    # as blocks are dealt by hash, twice as many partitions keep them apart
+    parts = max(width(df.sparkSession), 2 * blocks)
     # written once: both the encoding and the join read it
     by_block = cut(docs.select("block", "text").mapInArrow(_words, "block int, word string").distinct())
 

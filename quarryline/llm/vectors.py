@@ -20,6 +20,7 @@ projected distance over r^2 follows a chi-square law of ``DIMENSIONS`` degrees.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -269,17 +270,24 @@ def nearest_ids(q: np.ndarray, o: np.ndarray, dist: np.ndarray, own: list, their
 
 
 def local_roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest linked index of each index: components of the links found in one cell."""
+    """Smallest linked index of each index: components of the links found in one cell.
+
+    The links of one leaf at a time are joined and let go, so memory stays in
+    proportion to the cell, also where all its vectors are near each other.
+    """
     root = np.arange(n)
-    links = [np.stack([q[q != o], o[q != o]]) for q, o, _ in pairs]
-    links = np.concatenate(links, axis=1) if links else np.zeros((2, 0), "int64")
-    while True:
-        a, b = root[links[0]], root[links[1]]
-        if (a == b).all():
-            return root
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root != root[root]).any():
-            root = root[root]
+    for q, o, _ in pairs:
+        while True:
+            a, b = root[q], root[o]
+            apart = a != b
+            if not apart.any():
+                break
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root != root[root]).any():
+                root = root[root]
+            q, o = q[apart], o[apart]
+    return root
 
 
 class SimilarityIndex:
@@ -297,7 +305,6 @@ class SimilarityIndex:
         # copies of one vector become one row, before any row meets another
         self.distinct = cut(codes.groupBy("code_key").agg(F.min("id").alias("rep"), F.first("code").alias("code"), (F.max("id") > F.min("id")).alias("copied")))
         self.trees = self._fit()
-        self.classes = self._classes()
 
     def _fit(self) -> list[list[np.ndarray]]:
         self.size = rows = self.distinct.count()
@@ -307,7 +314,8 @@ class SimilarityIndex:
         units = restored(sample.column(0)) if sample.num_rows else np.zeros((0, WIDTH), "float32")
         return fit_trees(units, rows, self.cell_rows)
 
-    def _classes(self) -> DataFrame:
+    @cached_property
+    def classes(self) -> DataFrame:
         """``code_key, class`` of every vector that has a neighbour or a copy."""
         trees, radius, matrices = self.trees, self.radius + SLACK, projections()
 
@@ -521,6 +529,105 @@ def neighbour_pairs(df: DataFrame, ids: str = "emb_id", vectors: str = "pros_emb
     return found.select(F.least("id", "neighbour").alias("emb_id_a"), F.greatest("id", "neighbour").alias("emb_id_b")).distinct()
 
 
+#: Queries of a search that meet one block of rows at once.
+QUERY_ROWS = 1 << 13
+#: Distances of a search are compared to six decimals.
+COMPARED = 6
+
+
+def cells_near(points: np.ndarray, reach: np.ndarray, levels: list[np.ndarray], chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a kd-tree no further than ``reach`` (squared, projected) from each point: point, cell."""
+    found_q, found_c = [], []
+    step = max(1, chunk >> len(levels))
+    for at in range(0, len(points), step):
+        x, far = points[at : at + step], reach[at : at + step]
+        query, node = np.arange(len(x)), np.zeros(len(x), "int64")
+        gaps = np.zeros((len(x), points.shape[1]), "float32")
+        for level, splits in enumerate(levels):
+            axis = level % points.shape[1]
+            off = x[query, axis] - splits[node]
+            sides = []
+            for side in (0, 1):
+                beyond = np.maximum(gaps[:, axis], np.maximum(0, off if side == 0 else -off))
+                total = (gaps * gaps).sum(axis=1) - gaps[:, axis] ** 2 + beyond**2
+                keep = np.flatnonzero(total <= far[query])
+                moved = gaps[keep]
+                moved[:, axis] = beyond[keep]
+                sides.append((query[keep], node[keep] * 2 + side, moved))
+            query, node, gaps = (np.concatenate(parts) for parts in zip(*sides))
+        found_q.append(query + at)
+        found_c.append(node)
+    return (np.concatenate(found_q), np.concatenate(found_c)) if found_q else (np.zeros(0, "int64"), np.zeros(0, "int64"))
+
+
+def nearest_search(df: DataFrame, ids: str = "emb_id", vectors: str = "pros_emb", k: int = NEIGHBOURS, every: int = 100, cell_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k nearest other ids, at any distance, of every id divisible by ``every``: ``emb_id, position, neighbour, distance``.
+
+    All rows are searched.  A query is verified in the cell of its own vector first;
+    its k-th distance there tells, by the chi-square test, in which other cells of the
+    tree a nearer vector may lie, and these are verified too.  Distances are compared
+    to six decimals, ties go to the smaller id.  A null id, or a vector that isn't
+    usable, is no query and nobody's neighbour; with fewer than k other ids there are
+    fewer rows, and an empty table gives none.
+    """
+    index = SimilarityIndex(df, ids, vectors, cell_rows=cell_rows)
+    levels, matrix = index.trees[0], projections()[0]
+    units = index.rows.mapInArrow(_units, "id long, code_key long, unit_key long, unit binary")
+    # of a vector that many ids share the first k + 1 are enough; Spark limits them before the shuffle
+    first = Window.partitionBy("unit_key").orderBy("id")
+    ranked = units.select("unit_key", "id", "unit").withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1)
+    rows = ranked.groupBy("unit_key").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("unit").alias("unit"))
+    queries = units.where(F.col("id") % every == 0).groupBy("id").agg(F.min("unit").alias("unit"))
+    blocks = 1 + index.rows.where(F.col("id") % every == 0).count() // QUERY_ROWS
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = cells_of(_floats(pa.chunked_array([batch.column(1)])).astype("float32"), [levels])[0]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], [*batch.schema.names, "cell"])
+
+    rows = cut(rows.select("ids", "unit").mapInArrow(place, "ids array<long>, unit binary, cell long"))
+    queries = cut(queries.select("id", "unit").mapInArrow(place, "id long, unit binary, cell long").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")))
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        others, theirs = _floats(right.column("unit")), right.column("ids").to_pylist()
+        mine, own = _floats(left.column("unit")), left.column("id").to_pylist()
+        for at in range(0, len(mine) if len(others) else 0, 256):
+            distance = np.round(1 - mine[at : at + 256] @ others.T, COMPARED)
+            kth = np.partition(distance, min(k, len(others) - 1), axis=1)[:, min(k, len(others) - 1)]
+            q, o = np.nonzero(distance <= kth[:, None])
+            out += nearest_ids(q, o, distance[q, o], [[i] for i in own[at : at + 256]], theirs, k)
+        return _pairs(out)
+
+    def search(asked: DataFrame) -> DataFrame:
+        n = max(width(index.spark), blocks * (1 + index.size // cell_rows))
+        sides = [asked.repartition(n, "cell", "part").groupBy("cell", "part"), rows.select("ids", "unit", "cell", every_part).repartition(n, "cell", "part").groupBy("cell", "part")]
+        return sides[0].cogroup(sides[1]).applyInArrow(meet, _PAIRS)
+
+    rank = Window.partitionBy("id").orderBy("distance", "neighbour")
+    best = lambda found: found.groupBy("id", "neighbour").agg(F.min("distance").alias("distance")).withColumn("position", F.row_number().over(rank)).where(F.col("position") <= k)
+    own = cut(best(search(queries)))
+    quantile = chi_square_quantile(CONFIDENCE, DIMENSIONS)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                points = _floats(pa.chunked_array([batch.column(1)])).astype("float32") @ matrix
+                reach = quantile * 2 * (np.asarray(batch.column(4).fill_null(2.0)) + 10.0**-COMPARED)
+                q, cell = cells_near(points, reach.astype("float32"), levels)
+                other = cell != batch.column(2).to_numpy()[q]
+                q, cell = q[other], cell[other]
+                taken = batch.take(pa.array(q))
+                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(cell), taken.column(3)], ["id", "unit", "cell", "part"])
+
+    bounds = own.where(F.col("position") == k).select("id", F.col("distance").alias("bound"))
+    routed = queries.join(bounds, "id", "left").select("id", "unit", "cell", "part", "bound").mapInArrow(route, "id long, unit binary, cell long, part int")
+    found = best(own.select("id", "neighbour", "distance").union(search(routed)))
+    return found.select(F.col("id").alias("emb_id"), "position", "neighbour", "distance")
+
+
 def similarity_clusters(df: DataFrame, ids: str = "emb_id", vectors: str = "pros_emb", radius: float = RADIUS, least: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Members of the clusters, as ``emb_id, cluster_id``.
 

@@ -127,3 +127,56 @@ def test_empty_and_unusable(spark):
 def test_chi_square_quantile():
     assert abs(vectors.chi_square_quantile(0.99, 16) - 32.0) < 0.1
     assert abs(vectors.chi_square_quantile(0.95, 10) - 18.307) < 0.05
+
+
+def test_nearest_search_against_brute_force(spark):
+    pick = np.random.default_rng(5)
+    centres = pick.normal(size=(12, 64))
+    vectors_ = [centres[pick.integers(12)] + 0.4 * pick.normal(size=64) for _ in range(900)] + [pick.normal(size=64) for _ in range(100)]
+    rows = [(int(i) * 5, [float(x) for x in v], "x") for i, v in enumerate(vectors_)]
+    rows += [(7001 + i, rows[3][1], "x") for i in range(9)] + [(7100, [x * 2 for x in rows[3][1]], "x"), rows[4], (None, rows[5][1], "x"), (7200, None, "x"), (7300, [0.0] * 64, "x"), (7400, [1.0] * 63, "x"), (7500, [float("nan")] * 64, "x")]
+    df = spark.createDataFrame(rows, "emb_id long, pros_emb array<float>, position string")
+    good = {i: np.float32(v).astype("float64") for i, v, _ in rows if i is not None and v is not None and len(v) == 64 and np.isfinite(v).all() and np.any(v)}
+    ids = sorted(good)
+    units = np.array([good[i] / np.linalg.norm(good[i]) for i in ids])
+    want = {}
+    for at, i in enumerate(ids):
+        if i % 100 == 0:
+            order = sorted((round(1 - float(units[at] @ units[b]), 6), j) for b, j in enumerate(ids) if j != i)[:5]
+            want[i] = order
+    for cell_rows in (64, 1 << 15):
+        got = {}
+        for r in vectors.nearest_search(df, cell_rows=cell_rows).collect():
+            got.setdefault(r.emb_id, []).append((r.position, round(abs(r.distance), 6), r.neighbour))
+        assert set(got) == set(want) and all(sorted(p for p, _, _ in rows_) == [1, 2, 3, 4, 5] for rows_ in got.values())
+        hits = sum(len({j for _, j in want[i]} & {j for _, _, j in got[i]}) for i in want)
+        assert hits >= 0.99 * 5 * len(want)
+    assert vectors.nearest_search(df.limit(0)).count() == 0
+    assert vectors.nearest_search(df.where("emb_id in (0, 5)")).select("emb_id", "neighbour").collect() == [(0, 5)]
+
+
+def test_cells_near_reach_what_is_near():
+    pick = np.random.default_rng(2)
+    points = pick.normal(size=(500, 64)).astype("float32")
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    tree = vectors.fit_trees(points, 500, 8)[0]
+    projected, cells = points @ vectors.projections()[0], vectors.cells_of(points, [tree])[0]
+    q, c = vectors.cells_near(projected[:20], np.full(20, 6.0, "float32"), tree)
+    reached = set(zip(q.tolist(), c.tolist()))
+    assert len(reached) == len(q)
+    for i in range(20):
+        assert (i, int(cells[i])) in reached
+        near = np.flatnonzero(((projected - projected[i]) ** 2).sum(axis=1) <= 5.9)
+        assert {(i, int(x)) for x in cells[near]} <= reached
+
+
+def test_links_of_a_dense_cell_need_little_memory():
+    import tracemalloc
+
+    points = np.random.default_rng(1).normal(size=64) + 1e-4 * np.random.default_rng(3).normal(size=(4000, 64))
+    points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype("float32")
+    tracemalloc.start()
+    root = vectors.local_roots(4000, vectors.near_pairs(points, vectors.projections()[0], 0.126))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (root == 0).all() and peak < 220e6
