@@ -50,3 +50,10 @@ def non_overlapping(candidates: Column, most: int, overlap: float) -> Column:
     shorter = lambda a, b: F.greatest(F.least(a["end"] - a["start"], b["end"] - b["start"]), F.lit(1))
     step = lambda acc, c: F.when((F.size(acc) >= most) | F.exists(acc, lambda a: shared(a, c) / shorter(a, c) >= overlap), acc).otherwise(F.concat(acc, F.array(c)))
     return F.aggregate(candidates, F.slice(candidates, 1, 0), step)
+
+
+def opening_and_last(df: DataFrame, by: list[str], order: list[str], keep: int) -> DataFrame:
+    """The first row of each group as ``opening`` and the last ``keep`` others, in a total order."""
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+    last = F.row_number().over(Window.partitionBy(*by, "opening").orderBy(*[F.desc(c) for c in order]))
+    return df.withColumn("opening", first).withColumn("_n", last).where(F.col("opening") | (F.col("_n") <= keep)).drop("_n")

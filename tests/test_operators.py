@@ -340,3 +340,9 @@ def test_choice_prefers_the_strict_gate(spark):
     rows = [("p", 100, 60, 10, 3, 1), ("p", 100, 90, 5, 9, 2), ("p", 100, 65, 5, 3, 3), ("q", 10, 0, 0, 0, 1)]
     got = {r.project: (r["rank"], r.gate) for r in clusters.choose(spark.createDataFrame(rows, "project string, total int, members int, largest int, cross_file int, rank int"), ["project"]).collect()}
     assert got == {"p": (3, 0), "q": (1, 2)}
+
+
+def test_opening_and_last_rows(spark):
+    df = spark.createDataFrame([("a", i, 10 - i) for i in range(8)] + [("b", 1, 1), (None, 2, 2)], "g string, t int, k int")
+    got = sorted((r.g or "", r.t, r.opening) for r in windows.opening_and_last(df, ["g"], ["t", "k"], 2).collect())
+    assert got == [("", 2, True), ("a", 0, True), ("a", 6, False), ("a", 7, False), ("b", 1, True)]
