@@ -26,8 +26,9 @@ reasons AS (SELECT paths.file_id, corpus, CASE WHEN r IS NOT NULL THEN r
   FROM paths LEFT JOIN barred USING (file_id))"""
 
 
-#: A project in one spelling; files and records without one stay together.
-_PROJECT = F.coalesce(F.lower(F.trim("project")), F.lit("unknown"))
+def _project() -> Column:
+    """A project in one spelling; files and records without one stay together."""
+    return F.coalesce(F.lower(F.trim("project")), F.lit("unknown"))
 
 
 def files_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +92,7 @@ def repeated_fragments(spark: SparkSession, folder: str) -> DataFrame:
     SELECT corpus, project, name, count(*) AS files FROM names GROUP BY corpus, project, name HAVING count(*) > 1"""
 )
 def basename_collisions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = first_rows(spark, folder, "corpus", project=_PROJECT, name=F.lower(scan.file_name(F.col("cppFile"))))
+    rows = first_rows(spark, folder, "corpus", project=_project(), name=F.lower(scan.file_name(F.col("cppFile"))))
     grouped = rows.groupBy("corpus", "project", "name")
     return grouped.agg(F.count(F.lit(1)).alias("files")).where("files > 1")
 
@@ -159,7 +160,7 @@ def status_counts(spark: SparkSession, folder: str) -> DataFrame:
 def project_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Sums of the parser's records per project and over all, with the micro ratio of reliable bytes."""
     rows = latest_evidence(spark, folder, "project", "byte_count", "function_definition_count", "error_ranges", "significant_byte_count", "reliable_significant_byte_count")
-    rolled = rows.withColumn("project", _PROJECT).rollup("project").agg(
+    rolled = rows.withColumn("project", _project()).rollup("project").agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("byte_count").alias("bytes"),
         F.sum("function_definition_count").alias("functions"),
@@ -189,7 +190,7 @@ def code_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def call_targets(spark: SparkSession, folder: str) -> DataFrame:
     """Functions' call targets per project: how many, and how many different ones."""
     targets = F.flatten(F.transform(F.filter("func_src", lambda c: c.isNotNull()), text.call_targets))
-    calls = first_rows(spark, folder, project=_PROJECT, targets=targets).select("project", F.explode("targets").alias("target"))
+    calls = first_rows(spark, folder, project=_project(), targets=targets).select("project", F.explode("targets").alias("target"))
     return calls.groupBy("project").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("target").alias("targets"))
 
 

@@ -19,7 +19,6 @@ from quarryline.sources import scan
 _R = Registry()
 QUERIES, ORACLES, query = _R.queries, _R.oracles, _R.query
 
-ONE = F.lit(1)
 _IN = lambda words: ", ".join(f"'{w}'" for w in words)
 _FOLD = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 _POSIX = lambda x: f"lower(regexp_replace(replace({x}, '\\', '/'), '^(\\./)+', ''))"
@@ -51,7 +50,7 @@ def complete_records(spark: SparkSession, folder: str) -> DataFrame:
     """Records of whole trees: no errors, nothing missing, a root that covers the source."""
     none = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True))
     rows = latest_evidence(spark, folder, "error_ranges", "missing_ranges", "root_covers_source", "byte_count")
-    return rows.groupBy((none("error_ranges") & none("missing_ranges") & F.coalesce("root_covers_source", F.lit(False))).alias("complete")).agg(F.count(ONE).alias("files"), F.sum("byte_count").alias("bytes"))
+    return rows.groupBy((none("error_ranges") & none("missing_ranges") & F.coalesce("root_covers_source", F.lit(False))).alias("complete")).agg(F.count(F.lit(1)).alias("files"), F.sum("byte_count").alias("bytes"))
 
 
 @query(
@@ -85,7 +84,7 @@ def candidate_keys(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {FRAGMENTS} SELECT {_NAMED.format('pros_name')} AS project, count(*) AS fragments FROM fragments GROUP BY 1 HAVING count(*) >= 100")
 def sized_projects(spark: SparkSession, folder: str) -> DataFrame:
     """Projects with a hundred fragments or more."""
-    return fragments_of(spark, folder, "pros_name").groupBy(spelled("pros_name").alias("project")).agg(F.count(ONE).alias("fragments")).where("fragments >= 100")
+    return fragments_of(spark, folder, "pros_name").groupBy(spelled("pros_name").alias("project")).agg(F.count(F.lit(1)).alias("fragments")).where("fragments >= 100")
 
 
 @query(
@@ -95,7 +94,7 @@ def flagged_projects(spark: SparkSession, folder: str) -> DataFrame:
     """Projects with fragments whose code is missing or stands for something undetermined."""
     bad = F.coalesce(F.trim("pros_src") == "", F.lit(True))
     rows = table(spark, folder, "embedding").select("emb_id", "ingested_at", "pros_name", bad.alias("bad"), F.contains("pros_src", F.lit("ToBeDetermined")).alias("open"))
-    return scan.first_deliveries(rows, "emb_id", "ingested_at").groupBy(spelled("pros_name").alias("project")).agg(F.count(ONE).alias("fragments"), F.count_if("bad").alias("without_code"), F.coalesce(F.bool_or("open"), F.lit(False)).alias("undetermined"))
+    return scan.first_deliveries(rows, "emb_id", "ingested_at").groupBy(spelled("pros_name").alias("project")).agg(F.count(F.lit(1)).alias("fragments"), F.count_if("bad").alias("without_code"), F.coalesce(F.bool_or("open"), F.lit(False)).alias("undetermined"))
 
 
 @query(
@@ -107,7 +106,7 @@ def candidate_groups(spark: SparkSession, folder: str) -> DataFrame:
     kind, n = F.col("pros_info.node.kind"), F.coalesce("pros_info.node.ast_num", F.lit(0))
     group = F.when(kind.isin(trees.REGION_KINDS + trees.STATEMENT_KINDS) & (n >= 5), kind).otherwise("none")
     rows = fragments_of(spark, folder, "pros_info").where("trim(coalesce(pros_info.node.code_snippet, '')) != ''")
-    return rows.groupBy(group.alias("candidate_group")).agg(F.count(ONE).alias("fragments"), F.sum(n).alias("children"))
+    return rows.groupBy(group.alias("candidate_group")).agg(F.count(F.lit(1)).alias("fragments"), F.sum(n).alias("children"))
 
 
 def _finite(x: Column) -> Column:
@@ -144,7 +143,7 @@ def reference_patterns(spark: SparkSession, folder: str) -> DataFrame:
     """Members and different codes of each cluster that come from train files."""
     train = first_rows(spark, folder, split=F.lower(F.trim("split")), p=path("cppFile")).where("split in ('train', 'training')").select("p").distinct()
     rows = members_of(spark, folder).withColumn("p", path("info.file")).join(train, "p")
-    return rows.groupBy("cluster_key").agg(F.count(ONE).alias("members"), F.count_distinct(text.fold(F.col("info.node.code_snippet"))).alias("codes"))
+    return rows.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("members"), F.count_distinct(text.fold(F.col("info.node.code_snippet"))).alias("codes"))
 
 
 @query(
@@ -158,7 +157,7 @@ def range_preference(spark: SparkSession, folder: str) -> DataFrame:
     side = lambda c, name: rows.select("file_id", F.explode(c).alias("r")).select("file_id", F.col("r.start_byte").alias("s"), F.col("r.end_byte").alias("e")).distinct().withColumn(name, F.lit(True))
     joined = side("error_ranges", "a").join(side("missing_ranges", "b"), ["file_id", "s", "e"], "full")
     origin = F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "error").otherwise("both")
-    return joined.groupBy(origin.alias("origin")).agg(F.count(ONE).alias("ranges"), F.sum(F.col("e") - F.col("s")).alias("bytes"))
+    return joined.groupBy(origin.alias("origin")).agg(F.count(F.lit(1)).alias("ranges"), F.sum(F.col("e") - F.col("s")).alias("bytes"))
 
 
 @query(
@@ -171,7 +170,7 @@ def fragment_nodes(spark: SparkSession, folder: str) -> DataFrame:
     nodes = rows.select("p", F.posexplode("func_ast").alias("func_idx", "tree")).select("p", "func_idx", F.posexplode("tree").alias("node_idx", "n"))
     known = nodes.groupBy("p", F.col("n.extent").alias("e"), F.col("n.kind").alias("kind")).agg(F.min(F.struct("func_idx", "node_idx")).alias("first"))
     wanted = fragments_of(spark, folder, "pros_info").where("pros_info.node is not null").select(path("pros_info.file").alias("p"), F.col("pros_info.node.extent").alias("e"), F.col("pros_info.node.kind").alias("kind"))
-    return wanted.join(known, ["p", "e", "kind"], "left").groupBy("kind").agg(F.count(ONE).alias("fragments"), F.count("first").alias("located"))
+    return wanted.join(known, ["p", "e", "kind"], "left").groupBy("kind").agg(F.count(F.lit(1)).alias("fragments"), F.count("first").alias("located"))
 
 
 @query(
@@ -181,9 +180,9 @@ def fragment_nodes(spark: SparkSession, folder: str) -> DataFrame:
 def fragment_functions(spark: SparkSession, folder: str) -> DataFrame:
     """Fragments whose function, by file and extent, is one of the corpus."""
     functions = first_rows(spark, folder, p=path("cppFile"), roots=F.transform("func_ast", lambda t: F.get(t, F.lit(0))["extent"]))
-    domain = functions.select("p", F.explode("roots").alias("e")).where("p is not null and e is not null").distinct().withColumn("hit", ONE)
+    domain = functions.select("p", F.explode("roots").alias("e")).where("p is not null and e is not null").distinct().withColumn("hit", F.lit(1))
     wanted = fragments_of(spark, folder, "pros_name", "pros_info").select(spelled("pros_name").alias("project"), path("pros_info.file").alias("p"), F.col("pros_info.function_extent").alias("e"))
-    return wanted.join(domain, ["p", "e"], "left").groupBy("project").agg(F.count(ONE).alias("fragments"), F.count("hit").alias("in_domain"))
+    return wanted.join(domain, ["p", "e"], "left").groupBy("project").agg(F.count(F.lit(1)).alias("fragments"), F.count("hit").alias("in_domain"))
 
 
 _REGISTRY = f"""{FILES}, registry AS (SELECT file_id, CAST(unnest(range(len(func_src))) AS INT) AS func_idx FROM files), refs AS (SELECT DISTINCT file_id, func_idx FROM cpp_lexical_analysis WHERE file_id IS NOT NULL AND func_idx IS NOT NULL)"""
@@ -239,12 +238,12 @@ def token_containment(spark: SparkSession, folder: str) -> DataFrame:
 )
 def parser_audit(spark: SparkSession, folder: str) -> DataFrame:
     """The parser's and the lexer's records beside the files of each corpus."""
-    latest = latest_evidence(spark, folder, "status", "error_ranges", "missing_ranges", "byte_count", "function_definition_count", "macro_related_error_count").withColumn("known", ONE)
+    latest = latest_evidence(spark, folder, "status", "error_ranges", "missing_ranges", "byte_count", "function_definition_count", "macro_related_error_count").withColumn("known", F.lit(1))
     lexical = table(spark, folder, "cpp_lexical_analysis").where("file_id is not null and func_idx is not null").groupBy("file_id", "func_idx").agg(F.bool_or(~F.col("parse_valid")).alias("bad"))
-    lexed = lexical.groupBy("file_id").agg(F.count(ONE).alias("functions"), F.count_if("bad").alias("invalid"))
+    lexed = lexical.groupBy("file_id").agg(F.count(F.lit(1)).alias("functions"), F.count_if("bad").alias("invalid"))
     joined = first_rows(spark, folder, "corpus").select("file_id", "corpus").join(latest, "file_id", "left").join(lexed, "file_id", "left")
     return joined.groupBy("corpus").agg(
-        F.count(ONE).alias("files"), F.count("known").alias("recorded"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.size("error_ranges") > 0).alias("with_errors"), F.count_if(F.size("missing_ranges") > 0).alias("with_missing"),
+        F.count(F.lit(1)).alias("files"), F.count("known").alias("recorded"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.size("error_ranges") > 0).alias("with_errors"), F.count_if(F.size("missing_ranges") > 0).alias("with_missing"),
         F.sum("byte_count").alias("bytes"), F.sum("function_definition_count").alias("definitions"), F.sum("macro_related_error_count").alias("macro_errors"), F.sum("functions").alias("lexed"), F.sum("invalid").alias("invalid"),
     )
 
@@ -268,7 +267,7 @@ def budgeted(spark: SparkSession, folder: str) -> DataFrame:
 def fragment_counters(spark: SparkSession, folder: str) -> DataFrame:
     """Fragments by type: all, those within the budget, those beyond it, and those without code."""
     fits = F.col("tokens") <= BUDGET
-    return budgeted(spark, folder).groupBy(candidate_type(F.col("kind")).alias("type")).agg(F.count(ONE).alias("raw"), F.count_if(~F.col("blank") & fits).alias("ready"), F.count_if(~F.col("blank") & ~fits).alias("rejected"), F.count_if("blank").alias("blank"))
+    return budgeted(spark, folder).groupBy(candidate_type(F.col("kind")).alias("type")).agg(F.count(F.lit(1)).alias("raw"), F.count_if(~F.col("blank") & fits).alias("ready"), F.count_if(~F.col("blank") & ~fits).alias("rejected"), F.count_if("blank").alias("blank"))
 
 
 @query(
@@ -288,7 +287,7 @@ def budget_rejections(spark: SparkSession, folder: str) -> DataFrame:
 def unique_snippets(spark: SparkSession, folder: str) -> DataFrame:
     """Different texts among the fragments of a kind, told by SHA-256: what a tokenizer must see once."""
     rows = table(spark, folder, "embedding").where("pros_src is not null").select("emb_id", "ingested_at", F.col("pros_info.node.kind").alias("kind"), F.unhex(F.sha2("pros_src", 256)).alias("code"))
-    return scan.first_deliveries(rows, "emb_id", "ingested_at").groupBy("kind").agg(F.count(ONE).alias("fragments"), F.count_distinct("code").alias("snippets"))
+    return scan.first_deliveries(rows, "emb_id", "ingested_at").groupBy("kind").agg(F.count(F.lit(1)).alias("fragments"), F.count_distinct("code").alias("snippets"))
 
 
 @query("SELECT slug, corpus, parse.analysis.source.effective_line_count IS NOT NULL AND parse.analysis.source.effective_line_count >= 0 AND parse.analysis.source.selected_file_count IS NOT NULL AND parse.analysis.source.selected_file_count > 0 AS valid FROM project_classification")
@@ -319,7 +318,7 @@ def repository_analysis(spark: SparkSession, folder: str) -> DataFrame:
     lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1
     files = first_rows(spark, folder, "corpus", project=spelled("project"), functions=F.size(codes).cast("long"), characters=total(F.length), lines=total(lines), calls=total(lambda c: F.size(text.declared_calls(c))))
     joined = files.drop("ingested_at").join(latest_evidence(spark, folder, "error_ranges").select("file_id", F.greatest(F.size("error_ranges"), F.lit(0)).alias("errors")), "file_id", "left")
-    return joined.groupBy("corpus", "project").agg(F.count(ONE).alias("files"), *[F.sum(c).alias(c) for c in ("functions", "characters", "lines", "calls")], F.sum(F.coalesce("errors", F.lit(0))).alias("errors"))
+    return joined.groupBy("corpus", "project").agg(F.count(F.lit(1)).alias("files"), *[F.sum(c).alias(c) for c in ("functions", "characters", "lines", "calls")], F.sum(F.coalesce("errors", F.lit(0))).alias("errors"))
 
 
 @query(
@@ -330,10 +329,10 @@ def stage_counts(spark: SparkSession, folder: str) -> DataFrame:
     """What each stage of the mining holds."""
     rows = table(spark, folder, "embedding").select("emb_id", "ingested_at", F.col("pros_src").isNotNull().alias("code"), (F.size("pros_emb") == 64).alias("vector"))
     n = lambda df, stage, value: df.agg(value.alias("n")).select(F.lit(stage).alias("stage"), "n")
-    first = scan.first_deliveries(rows, "emb_id", "ingested_at").agg(F.count(ONE).alias("f"), F.count_if("code").alias("c"), F.count_if("vector").alias("v"))
+    first = scan.first_deliveries(rows, "emb_id", "ingested_at").agg(F.count(F.lit(1)).alias("f"), F.count_if("code").alias("c"), F.count_if("vector").alias("v"))
     first = first.select(F.expr("stack(3, 'fragments', f, 'with code', c, 'with vector', v) AS (stage, n)"))
-    own = clusters_of(spark, folder).agg(F.count(ONE).alias("c"), F.coalesce(F.sum(F.greatest(F.size("infos"), F.lit(0))), F.lit(0)).alias("m")).select(F.expr("stack(2, 'clusters', c, 'members', m) AS (stage, n)"))
-    return n(rows, "deliveries", F.count(ONE)).union(first).union(own)
+    own = clusters_of(spark, folder).agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum(F.greatest(F.size("infos"), F.lit(0))), F.lit(0)).alias("m")).select(F.expr("stack(2, 'clusters', c, 'members', m) AS (stage, n)"))
+    return n(rows, "deliveries", F.count(F.lit(1))).union(first).union(own)
 
 
 @query(
@@ -343,7 +342,7 @@ def export_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Kinds of fragments with the lengths of their codes."""
     rows = table(spark, folder, "embedding").select("emb_id", "ingested_at", F.coalesce("pros_info.node.kind", F.lit("none")).alias("kind"), F.length("pros_src").alias("n"), F.col("pros_info.node.subtree_size").alias("size"))
     rows = scan.first_deliveries(rows, "emb_id", "ingested_at")
-    return rows.groupBy("kind").agg(F.count(ONE).alias("fragments"), F.min("n").cast("long").alias("shortest"), F.round(F.expr("percentile(n, 0.5)"), 6).alias("median"), F.max("n").cast("long").alias("longest"), F.round(F.avg("size"), 6).alias("mean_size"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("fragments"), F.min("n").cast("long").alias("shortest"), F.round(F.expr("percentile(n, 0.5)"), 6).alias("median"), F.max("n").cast("long").alias("longest"), F.round(F.avg("size"), 6).alias("mean_size"))
 
 
 @query(f"""WITH {FRAGMENTS} SELECT kind, emb_id, n FROM (SELECT pros_info.node.kind AS kind, emb_id, length(pros_src) AS n, row_number() OVER (PARTITION BY pros_info.node.kind ORDER BY length(pros_src) DESC, emb_id) AS r FROM fragments WHERE pros_src IS NOT NULL) WHERE r <= 10""")
@@ -370,7 +369,7 @@ def preview_clusters(spark: SparkSession, folder: str) -> DataFrame:
 def pattern_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """The hundred codes with the widest support, by files, occurrences, nodes and text."""
     codes = fragments_of(spark, folder, "pros_src", "pros_info").where("trim(pros_src) != ''").select(text.fold(F.col("pros_src")).alias("code"), F.col("pros_info.file").alias("f"), F.col("pros_info.node.subtree_size").alias("size"))
-    found = codes.groupBy("code").agg(F.count_distinct("f").alias("support"), F.count(ONE).alias("occurrences"), F.max("size").alias("nodes")).where("support >= 2")
+    found = codes.groupBy("code").agg(F.count_distinct("f").alias("support"), F.count(F.lit(1)).alias("occurrences"), F.max("size").alias("nodes")).where("support >= 2")
     return found.orderBy(F.desc("support"), F.desc("occurrences"), F.desc_nulls_last("nodes"), "code").limit(100)
 
 
@@ -401,7 +400,7 @@ def first_wins_union(spark: SparkSession, folder: str) -> DataFrame:
     a = members_of(spark, folder).select(member_key("info").alias("k"), F.lit(0).alias("o"))
     b = fragments_of(spark, folder, "pros_info").where("pros_info is not null").select(member_key("pros_info").alias("k"), F.lit(1).alias("o"))
     first = a.unionByName(b).groupBy("k").agg(F.min("o").alias("o"))
-    return first.groupBy(F.when(F.col("o") == 0, "cluster").otherwise("fragment").alias("origin")).agg(F.count(ONE).alias("regions"))
+    return first.groupBy(F.when(F.col("o") == 0, "cluster").otherwise("fragment").alias("origin")).agg(F.count(F.lit(1)).alias("regions"))
 
 
 @query(
@@ -411,7 +410,7 @@ def all_records(spark: SparkSession, folder: str) -> DataFrame:
     """Records of clusters and fragments together, repeated ones too."""
     a = members_of(spark, folder).select(spelled("info.project").alias("project"), F.lit("cluster").alias("origin"))
     b = fragments_of(spark, folder, "pros_info").select(spelled("pros_info.project").alias("project"), F.lit("fragment").alias("origin"))
-    return a.unionByName(b).groupBy("project", "origin").agg(F.count(ONE).alias("records"))
+    return a.unionByName(b).groupBy("project", "origin").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query(f"WITH {_MEMBERS} SELECT {_NAMED.format('info.project')} AS project, count(DISTINCT cluster_key) AS clusters, count(DISTINCT info.file) AS files FROM members GROUP BY 1")
@@ -443,7 +442,7 @@ def lexical_variants(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {FRAGMENTS}, counted AS (SELECT {_NAMED.format('pros_name')} AS project, pros_info.node.kind AS kind, count(*) AS n FROM fragments WHERE pros_info.node.kind IS NOT NULL GROUP BY 1, 2) SELECT project, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM counted GROUP BY 1""")
 def kind_counters(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of kinds in the order of their names, as one text a project."""
-    counted = fragments_of(spark, folder, "pros_name", "pros_info").where("pros_info.node.kind is not null").groupBy(spelled("pros_name").alias("project"), F.col("pros_info.node.kind").alias("kind")).agg(F.count(ONE).alias("n"))
+    counted = fragments_of(spark, folder, "pros_name", "pros_info").where("pros_info.node.kind is not null").groupBy(spelled("pros_name").alias("project"), F.col("pros_info.node.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     # a project has as many rows here as there are kinds
     return counted.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("k")).select("project", F.array_join(F.transform("k", lambda x: F.concat_ws("=", x["kind"], x["n"].cast("string"))), ",").alias("kinds"))
 
@@ -474,10 +473,10 @@ def abstraction_positions(spark: SparkSession, folder: str) -> DataFrame:
     """Places at which fragments of one shape, three or more, hold three different tokens or more."""
     codes = fragments_of(spark, folder, "pros_name", "pros_src").where("pros_src is not null").select(spelled("pros_name").alias("project"), text.code_tokens(F.col("pros_src")).alias("t")).where("size(t) > 0")
     shaped = codes.select("project", F.md5(F.array_join(coarse(F.col("t")), "\x01")).alias("shape"), "t")
-    sizes = shaped.groupBy("project", "shape").agg(F.count(ONE).alias("members")).where("members >= 3")
+    sizes = shaped.groupBy("project", "shape").agg(F.count(F.lit(1)).alias("members")).where("members >= 3")
     # tokens are counted before the shuffle, so a shape of any size costs its variants only
-    tokens = shaped.select("project", "shape", F.posexplode("t").alias("position", "token")).groupBy("project", "shape", "position", "token").agg(F.count(ONE).alias("n"))
-    places = tokens.groupBy("project", "shape", "position").agg(F.count(ONE).alias("variants"), F.max("n").alias("most")).where("variants >= 3")
+    tokens = shaped.select("project", "shape", F.posexplode("t").alias("position", "token")).groupBy("project", "shape", "position", "token").agg(F.count(F.lit(1)).alias("n"))
+    places = tokens.groupBy("project", "shape", "position").agg(F.count(F.lit(1)).alias("variants"), F.max("n").alias("most")).where("variants >= 3")
     return places.join(sizes, ["project", "shape"]).select("project", "shape", "position", "members", "variants", F.round(F.col("most") / F.col("members"), 6).alias("dominance"))
 
 
@@ -490,7 +489,7 @@ def tree_productions(spark: SparkSession, folder: str) -> DataFrame:
     """The rules of the trees: a kind, its children's kinds in order as a digest, and how often they occur."""
     nodes = placed(spark, folder).where("parent_idx is not null")
     rules = nodes.groupBy("file_id", "func_idx", "parent_idx", F.col("parent_kind").alias("parent")).agg(F.array_sort(F.collect_list(F.struct("node_idx", "kind"))).alias("c"))
-    return rules.groupBy("parent", F.md5(F.array_join(F.transform("c", lambda x: x["kind"]), " ")).alias("children")).agg(F.count(ONE).alias("uses"))
+    return rules.groupBy("parent", F.md5(F.array_join(F.transform("c", lambda x: x["kind"]), " ")).alias("children")).agg(F.count(F.lit(1)).alias("uses"))
 
 
 @query(
@@ -504,7 +503,7 @@ def holding_subtrees(spark: SparkSession, folder: str) -> DataFrame:
     kinds = F.transform("tree", lambda n: n["kind"])
     rows = functions.select(kinds.alias("k"), F.posexplode(spans).alias("i", "span"))
     held = F.exists(F.slice("k", F.col("i") + 1, F.col("span")), lambda k: k.isin("ERROR", "try_statement"))
-    return rows.groupBy(F.get("k", F.col("i")).alias("kind")).agg(F.count(ONE).alias("nodes"), F.count_if(F.coalesce(held, F.lit(False))).alias("holding"))
+    return rows.groupBy(F.get("k", F.col("i")).alias("kind")).agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.coalesce(held, F.lit(False))).alias("holding"))
 
 
 @query(
@@ -515,23 +514,23 @@ def merge_records(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters with equal centres as one record: its parts, the largest as representative, and all members."""
     keyed = clusters_of(spark, folder).where("center_point is not null").select("project", "cluster_key", "cluster_size", F.array_join(text.code_tokens(F.col("center_point")), "\x01").alias("k"))
     best = F.max(F.struct(F.coalesce("cluster_size", F.lit(-1)).alias("s"), (-F.col("cluster_key")).alias("c"))).alias("b")
-    grouped = keyed.groupBy("project", "k").agg(F.count(ONE).alias("merged"), F.array_sort(F.collect_list("cluster_key")).alias("parts"), best, F.sum("cluster_size").alias("members")).where("merged >= 2")
+    grouped = keyed.groupBy("project", "k").agg(F.count(F.lit(1)).alias("merged"), F.array_sort(F.collect_list("cluster_key")).alias("parts"), best, F.sum("cluster_size").alias("members")).where("merged >= 2")
     return grouped.select("project", "merged", F.array_join(F.col("parts").cast("array<string>"), "+").alias("parts"), (-F.col("b.c")).alias("representative"), "members")
 
 
 _CHECKS = {
-    "no centre": ("center_point IS NULL OR trim(center_point) = ''", F.coalesce(F.trim("center_point") == "", F.lit(True))),
-    "no label": ("label IS NULL", F.col("label").isNull()),
-    "no members": ("coalesce(len(infos), 0) = 0", F.coalesce(F.size("infos") <= 0, F.lit(True))),
-    "wrong size": ("cluster_size IS DISTINCT FROM len(infos)", ~F.col("cluster_size").eqNullSafe(F.when(F.col("infos").isNotNull(), F.size("infos")))),
-    "foreign members": ("len(list_filter(infos, lambda i: lower(trim(i.project)) <> lower(trim(center_point_info.project)))) > 0", F.coalesce(F.exists("infos", lambda i: F.lower(F.trim(i["project"])) != F.lower(F.trim("center_point_info.project"))), F.lit(False))),
+    "no centre": ("center_point IS NULL OR trim(center_point) = ''", lambda: F.coalesce(F.trim("center_point") == "", F.lit(True))),
+    "no label": ("label IS NULL", lambda: F.col("label").isNull()),
+    "no members": ("coalesce(len(infos), 0) = 0", lambda: F.coalesce(F.size("infos") <= 0, F.lit(True))),
+    "wrong size": ("cluster_size IS DISTINCT FROM len(infos)", lambda: ~F.col("cluster_size").eqNullSafe(F.when(F.col("infos").isNotNull(), F.size("infos")))),
+    "foreign members": ("len(list_filter(infos, lambda i: lower(trim(i.project)) <> lower(trim(center_point_info.project)))) > 0", lambda: F.coalesce(F.exists("infos", lambda i: F.lower(F.trim(i["project"])) != F.lower(F.trim("center_point_info.project"))), F.lit(False))),
 }
 
 
 @query(f"WITH {_CLUSTERS} " + " UNION ALL ".join(f"SELECT '{name}' AS contract, count(*) FILTER ({sql}) AS violations FROM own" for name, (sql, _) in _CHECKS.items()))
 def contract_checks(spark: SparkSession, folder: str) -> DataFrame:
     """How many recorded clusters break each contract, in one pass."""
-    counts = clusters_of(spark, folder).agg(*[F.count_if(column).alias(f"c{i}") for i, (_, column) in enumerate(_CHECKS.values())])
+    counts = clusters_of(spark, folder).agg(*[F.count_if(column()).alias(f"c{i}") for i, (_, column) in enumerate(_CHECKS.values())])
     pairs = ", ".join(f"'{name}', c{i}" for i, name in enumerate(_CHECKS))
     return counts.select(F.expr(f"stack({len(_CHECKS)}, {pairs}) AS (contract, violations)"))
 
@@ -542,7 +541,7 @@ def contract_checks(spark: SparkSession, folder: str) -> DataFrame:
 def pattern_records(spark: SparkSession, folder: str) -> DataFrame:
     """One record for each cluster: its id, the digest of its code, its support and mean size."""
     rows = clusters_of(spark, folder).where("center_point is not null").select("cluster_key", F.md5(text.fold(F.col("center_point"))).alias("code"), F.explode("infos").alias("info"))
-    grouped = rows.groupBy("cluster_key", "code").agg(F.count_distinct(F.struct("info.file", "info.function_extent")).alias("support"), F.count(ONE).alias("occurrences"), F.round(F.avg("info.node.subtree_size"), 6).alias("mean_size"))
+    grouped = rows.groupBy("cluster_key", "code").agg(F.count_distinct(F.struct("info.file", "info.function_extent")).alias("support"), F.count(F.lit(1)).alias("occurrences"), F.round(F.avg("info.node.subtree_size"), 6).alias("mean_size"))
     return grouped.select(F.concat(F.lit("cluster:"), F.col("cluster_key").cast("string")).alias("record_id"), "code", "support", "occurrences", "mean_size")
 
 
@@ -551,7 +550,7 @@ def pattern_records(spark: SparkSession, folder: str) -> DataFrame:
 )
 def manifest_checks(spark: SparkSession, folder: str) -> DataFrame:
     """What a manifest must keep: unique names, a number of projects in range, and domains."""
-    n = F.count(ONE)
+    n = F.count(F.lit(1))
     return table(spark, folder, "project_classification").groupBy("corpus").agg(
         n.alias("projects"), (n == F.count_distinct("slug")).alias("unique_slugs"), n.between(20, 30).alias("in_range"), F.count_if(F.col("classification.primary_domain").isNull()).alias("without_domain"), F.sum("parse.analysis.source.selected_file_count").alias("files")
     )
@@ -566,7 +565,7 @@ def region_identity(spark: SparkSession, folder: str) -> DataFrame:
     place = text.extent(F.col("pros_info.node.extent"))
     identity = F.when(F.lower(F.trim("pros_name")) == F.lower(F.trim("pros_info.project")), place)
     rows = fragments_of(spark, folder, "pros_name", "pros_info").select(spelled("pros_name").alias("project"), identity.alias("p"))
-    return rows.groupBy("project").agg(F.count(ONE).alias("fragments"), F.count("p").alias("identified"), F.sum(F.col("p.el") - F.col("p.sl") + 1).alias("lines"))
+    return rows.groupBy("project").agg(F.count(F.lit(1)).alias("fragments"), F.count("p").alias("identified"), F.sum(F.col("p.el") - F.col("p.sl") + 1).alias("lines"))
 
 
 @query(
@@ -611,7 +610,7 @@ def representative_sizes(spark: SparkSession, folder: str) -> DataFrame:
 def group_context(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences and regions of a cluster, and whether all are of its project."""
     rows = members_of(spark, folder)
-    return rows.groupBy("cluster_key").agg(F.count(ONE).alias("occurrences"), F.count_distinct(F.struct("info.file", "info.function_extent")).alias("regions"), F.coalesce(F.every(F.lower(F.trim("info.project")) == F.col("project")), F.lit(False)).alias("one_project"))
+    return rows.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct(F.struct("info.file", "info.function_extent")).alias("regions"), F.coalesce(F.every(F.lower(F.trim("info.project")) == F.col("project")), F.lit(False)).alias("one_project"))
 
 
 _REGION = "CASE WHEN pros_info.file IS NULL OR pros_info.function_extent IS NULL THEN 'unlocated:' || emb_id ELSE lower(trim(pros_info.project)) || '|' || pros_info.file || '|' || pros_info.function_extent END"

@@ -11,7 +11,7 @@ from quarryline.plans.lineage import table
 from quarryline.queries.files import first_rows, fragments_of, latest_evidence
 from quarryline.queries.mining import _CLUSTERS, _MEMBERS, clusters_of, members_of
 from quarryline.queries.ranges import _NODES, _RANGES, _UNION
-from quarryline.queries.records import _BUDGETED, _FOLD, _NAMED, _POSIX, _TYPE, BUDGET, ONE, budgeted, candidate_type, path, spelled
+from quarryline.queries.records import _BUDGETED, _FOLD, _NAMED, _POSIX, _TYPE, BUDGET, budgeted, candidate_type, path, spelled
 from quarryline.queries.registry import FILES, FRAGMENTS, LATEST, Registry
 from quarryline.sources import scan, sinks
 
@@ -27,7 +27,7 @@ def split_view(spark: SparkSession, folder: str) -> DataFrame:
     name = F.lower(F.trim("split"))
     split = F.when(name.isin("train", "training"), "train").when(name == "test", "test")
     rows = first_rows(spark, folder, split=split, project=spelled("project"), n=F.when(F.col("func_src").isNotNull(), F.size("func_src")), m=F.when(F.col("func_ast").isNotNull(), F.size("func_ast"))).where("split is not null")
-    return rows.groupBy("split", "project").agg(F.count(ONE).alias("files"), F.sum("n").alias("functions"), F.count_if(F.col("n") == F.col("m")).alias("aligned"))
+    return rows.groupBy("split", "project").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("functions"), F.count_if(F.col("n") == F.col("m")).alias("aligned"))
 
 
 @query(
@@ -63,7 +63,7 @@ def context_failures(spark: SparkSession, folder: str) -> DataFrame:
     files = first_rows(spark, folder, p=path("cppFile"), l=F.split(F.array_join("func_src", "\n\n"), "\n")).where("p is not null and l is not null")
     # of each line only its length is kept, so no text meets the fragments
     sizes = files.select("p", F.transform("l", F.length).alias("sizes"))
-    one = sizes.groupBy("p").agg(F.count(ONE).alias("n"), F.first("sizes").alias("sizes"))
+    one = sizes.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.first("sizes").alias("sizes"))
     i = "pros_info"
     wanted = fragments_of(spark, folder, "pros_name", i).select("emb_id", (F.col(i).isNull() | F.col(f"{i}.file").isNull()).alias("sourceless"), (~F.lower(F.trim(f"{i}.project")).eqNullSafe(F.lower(F.trim("pros_name")))).alias("foreign"), path(f"{i}.file").alias("p"), text.extent(F.col(f"{i}.node.extent")).alias("x"))
     joined = wanted.join(one, "p", "left")
@@ -80,7 +80,7 @@ def context_failures(spark: SparkSession, folder: str) -> DataFrame:
 def single_projects(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters by the number of projects their members are of: one, by contract."""
     counted = members_of(spark, folder).groupBy("cluster_key").agg(F.count_distinct(F.lower(F.trim("info.project"))).alias("projects"))
-    return counted.groupBy("projects").agg(F.count(ONE).alias("clusters"))
+    return counted.groupBy("projects").agg(F.count(F.lit(1)).alias("clusters"))
 
 
 _EIGHT = lambda i: f"concat_ws('|', lower(trim({i}.project)), {i}.file, {i}.function_extent, {i}.node.extent, {i}.node.kind, {i}.node.start_byte, {i}.node.end_byte, {i}.node.subtree_size)"
@@ -96,9 +96,9 @@ def eight_part_key(i: str) -> Column:
 )
 def member_contract(spark: SparkSession, folder: str) -> DataFrame:
     """Members by the number of fragments with their eight-part key: one, by contract."""
-    keys = fragments_of(spark, folder, "pros_info").where("pros_info is not null").groupBy(eight_part_key("pros_info").alias("k")).agg(F.count(ONE).alias("n"))
+    keys = fragments_of(spark, folder, "pros_info").where("pros_info is not null").groupBy(eight_part_key("pros_info").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     joined = members_of(spark, folder).select(eight_part_key("info").alias("k")).join(keys, "k", "left")
-    return joined.groupBy(F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").otherwise("one").alias("matched")).agg(F.count(ONE).alias("members"))
+    return joined.groupBy(F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").otherwise("one").alias("matched")).agg(F.count(F.lit(1)).alias("members"))
 
 
 @query(
@@ -111,7 +111,7 @@ def kind_matches(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.when(F.col("label").isNull(), "").otherwise(F.coalesce("center_point_info.node.kind", F.lit("")))
     patterns = clusters_of(spark, folder).where("center_point is not null").select("cluster_key", kind.alias("kind"), text.fold(F.col("center_point")).alias("code"))
     coded = F.transform(F.flatten("func_ast"), lambda n: F.struct(n["kind"].alias("kind"), F.sha2(text.fold(n["code_snippet"]), 256).alias("code")))
-    nodes = first_rows(spark, folder, coded=coded).select(F.explode("coded").alias("n")).select("n.*").where("code is not null").groupBy("kind", "code").agg(F.count(ONE).alias("nodes"))
+    nodes = first_rows(spark, folder, coded=coded).select(F.explode("coded").alias("n")).select("n.*").where("code is not null").groupBy("kind", "code").agg(F.count(F.lit(1)).alias("nodes"))
     keyed = patterns.select("cluster_key", (F.col("kind") == "").alias("any_kind"), "kind", F.sha2("code", 256).alias("code"))
     met = keyed.where(~F.col("any_kind")).join(nodes, ["kind", "code"]).select("cluster_key", "any_kind", "nodes")
     met = met.union(keyed.where("any_kind").drop("kind").join(nodes, "code").select("cluster_key", "any_kind", "nodes"))
@@ -145,7 +145,7 @@ def budget_report(spark: SparkSession, folder: str) -> DataFrame:
     """Lengths of fragments by type and in total, all of them and those within the budget."""
     rows = budgeted(spark, folder).where(~F.col("blank")).select(candidate_type(F.col("kind")).alias("type"), "tokens")
     fits = F.col("tokens") <= BUDGET
-    rolled = rows.rollup("type").agg(F.count(ONE).alias("raw"), F.max("tokens").alias("longest"), F.round(F.expr("percentile(tokens, 0.5)"), 6).alias("median"), F.count_if(fits).alias("ready"), F.max(F.when(fits, F.col("tokens"))).alias("longest_ready"))
+    rolled = rows.rollup("type").agg(F.count(F.lit(1)).alias("raw"), F.max("tokens").alias("longest"), F.round(F.expr("percentile(tokens, 0.5)"), 6).alias("median"), F.count_if(fits).alias("ready"), F.max(F.when(fits, F.col("tokens"))).alias("longest_ready"))
     return rolled.withColumn("type", F.coalesce("type", F.lit("total")))
 
 
@@ -156,10 +156,10 @@ def budget_report(spark: SparkSession, folder: str) -> DataFrame:
 def candidate_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Fragments of a kind whose range another one has, whose file is known, and whose extent can be read."""
     i = "pros_info"
-    known = first_rows(spark, folder, p=path("cppFile")).select("p").where("p is not null").distinct().withColumn("known", ONE)
+    known = first_rows(spark, folder, p=path("cppFile")).select("p").where("p is not null").distinct().withColumn("known", F.lit(1))
     key = F.concat_ws("|", F.lower(F.trim(f"{i}.project")), f"{i}.file", F.col(f"{i}.node.start_byte").cast("string"), F.col(f"{i}.node.end_byte").cast("string"))
     rows = fragments_of(spark, folder, i).where(f"{i}.node is not null").select(F.col(f"{i}.node.kind").alias("kind"), key.alias("r"), path(f"{i}.file").alias("p"), text.extent(F.col(f"{i}.node.extent")).alias("x"))
-    n = F.count(ONE)
+    n = F.count(F.lit(1))
     return rows.join(known, "p", "left").groupBy("kind").agg(n.alias("fragments"), (n - F.count_distinct("r")).alias("repeated_ranges"), F.round(F.count("known") / n, 6).alias("mapped"), F.round(F.count("x") / n, 6).alias("complete"))
 
 
@@ -177,7 +177,7 @@ def uncovered_runs(spark: SparkSession, folder: str) -> DataFrame:
     before = F.coalesce(F.lag("end").over(Window.partitionBy("file_id").orderBy("start")), F.lit(0))
     gaps = joined.select("file_id", before.alias("s"), F.col("start").alias("e"))
     tails = joined.groupBy("file_id").agg(F.max("end").alias("s")).join(rows.select("file_id", F.col("byte_count").alias("e")), "file_id")
-    return gaps.union(tails.select("file_id", "s", "e")).where("s < e").groupBy("file_id").agg(F.count(ONE).alias("stretches"), F.sum(F.col("e") - F.col("s")).alias("bytes"))
+    return gaps.union(tails.select("file_id", "s", "e")).where("s < e").groupBy("file_id").agg(F.count(F.lit(1)).alias("stretches"), F.sum(F.col("e") - F.col("s")).alias("bytes"))
 
 
 _BUCKET = "CASE WHEN n IS NULL THEN 'none' WHEN n < 50 THEN '1-49' WHEN n < 200 THEN '50-199' WHEN n < 1000 THEN '200-999' ELSE '1000+' END"
@@ -191,7 +191,7 @@ def corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Projects by their number of files, with the spread of their lines."""
     s = "parse.analysis.source"
     rows = table(spark, folder, "project_classification").select("corpus", F.col(f"{s}.selected_file_count").alias("n"), F.col(f"{s}.effective_line_count").alias("lines"))
-    return rows.groupBy("corpus", F.expr(_BUCKET).alias("bucket")).agg(F.count(ONE).alias("projects"), F.min("lines").alias("least"), F.round(F.expr("percentile(lines, 0.5)"), 6).alias("median"), F.max("lines").alias("most"), F.sum("lines").alias("lines"))
+    return rows.groupBy("corpus", F.expr(_BUCKET).alias("bucket")).agg(F.count(F.lit(1)).alias("projects"), F.min("lines").alias("least"), F.round(F.expr("percentile(lines, 0.5)"), 6).alias("median"), F.max("lines").alias("most"), F.sum("lines").alias("lines"))
 
 
 @query(
@@ -242,8 +242,8 @@ def vector_summaries(spark: SparkSession, folder: str) -> DataFrame:
 )
 def frozen_selection(spark: SparkSession, folder: str) -> DataFrame:
     """The catalogue's projects with their files and the parser's records."""
-    used = first_rows(spark, folder, key=F.lower(F.trim("project"))).groupBy("key").agg(F.count(ONE).alias("files"))
-    parsed = latest_evidence(spark, folder, "project", "status").groupBy(F.lower(F.trim("project")).alias("key")).agg(F.count(ONE).alias("records"), F.count_if(F.col("status") == "clean").alias("clean"))
+    used = first_rows(spark, folder, key=F.lower(F.trim("project"))).groupBy("key").agg(F.count(F.lit(1)).alias("files"))
+    parsed = latest_evidence(spark, folder, "project", "status").groupBy(F.lower(F.trim("project")).alias("key")).agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("status") == "clean").alias("clean"))
     frozen = table(spark, folder, "project_classification").select("slug", "corpus", F.lower(F.trim("slug")).alias("key"), F.col("parse.analysis.source.selected_file_count").alias("selected"))
     joined = frozen.join(used, "key", "left").join(parsed, "key", "left")
     return joined.select("slug", "corpus", "selected", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("files", "records", "clean")])
@@ -279,7 +279,7 @@ def manifest_splits(spark: SparkSession, folder: str) -> DataFrame:
     recorded = table(spark, folder, "source_evidence").select("file_id").where("file_id is not null").distinct()
     listing = first_rows(spark, folder, split=F.coalesce(F.lower(F.trim("split")), F.lit("none"))).select("file_id", "split")
     manifest = recorded.join(listing.select("file_id"), "file_id", "left_semi")
-    return scan.manifest_scan(manifest, listing, ["file_id"]).groupBy("split").agg(F.count(ONE).alias("files"))
+    return scan.manifest_scan(manifest, listing, ["file_id"]).groupBy("split").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query(
@@ -308,6 +308,6 @@ def schema_verdicts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("v").isNull(), "no json").when(~kind.startswith("OBJECT"), "no object").when(F.expr("try_variant_get(v, '$.k', 'variant')").isNull(), "k missing").when(field != "BIGINT", "k no integer")
         .when(F.size(F.json_object_keys("props")) > 1, "more fields").otherwise("valid")
     )
-    return rows.groupBy("event_type", verdict.alias("verdict")).agg(F.count(ONE).alias("events"))
+    return rows.groupBy("event_type", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("events"))
 
 

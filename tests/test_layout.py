@@ -15,3 +15,12 @@ def test_core_does_not_import_the_subpackage():
 def test_no_local_checkpoints_or_cross_joins():
     for path in ROOT.rglob("*.py"):
         assert not re.search(r"\.(localCheckpoint|crossJoin)\(", path.read_text()), path
+
+
+def test_everything_imports_without_a_session():
+    """The entry is imported before any session exists."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT.parent, timeout=120).returncode == 0
