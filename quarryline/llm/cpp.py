@@ -29,8 +29,9 @@ _WORDS = {
     "Y": "try", "H": "catch", "A": "public private protected", "n": "namespace", "T": "template", "U": "using", "O": "operator", "Q": "requires",
     "v": "this true false nullptr",
 }
+#: Operators by the operands they take.  A single > may close a template list, so >> is two tokens.
 _OPERATORS = {
-    "o": "/ % | ^ || == != <= >= += -= *= /= %= &= |= ^= <=> .* ->*",
+    "o": "/ % | ^ || == != <= >= += -= *= /= %= &= |= ^= <=> .* ->* << <<= >>=",
     "r": "* & &&",
     "a": "+ -",
     "g": "! ~",
@@ -39,8 +40,6 @@ _OPERATORS = {
     "z": "::",
     "E": "...",
 }
-# shifts are two angle brackets, as they may close two template lists; << is an operator
-_OPERATORS["o"] += " << <<= >>="
 
 _TOKEN = re.compile(
     r"[A-Za-z_]\w*|\.?\d(?:[eEpP][+-]|[\w.])*|\.\.\.|<=>|<<=|>>=|->\*|::|->|\+\+|--|&&|\|\||[-+*/%&|^!=<>]=|<<|\.\*|[^\s\w]"
@@ -83,10 +82,10 @@ INDEX, ATTRIBUTE = "b", "@"
 BRACES = "①②③④⑤⑥⑦"
 _B = "[" + BRACES + "]"
 _STATEMENTS = "[" + "".join(b for i, b in enumerate(BRACES, 1) if i & 1) + "]"
-_MEMBERS = "[" + "".join(b for i, b in enumerate(BRACES, 1) if i & 2) + "]"
 _VALUES = frozenset(b for i, b in enumerate(BRACES, 1) if i & 4)
 
 _INNERMOST = re.compile(r"\(([^(){}\[\]]*)\)|\[([^(){}\[\]]*)\]|\{([^(){}\[\]]*)\}")
+#: Names of operator functions, defaulted and deleted functions, qualified names, and lists of template arguments.
 _OPERATOR_NAME = re.compile(r"O(?:e(?=[pe])|b|[uU]b?|[org=<>agmw,]{1,3}(?=[pe<])|\"i?)")
 _DEFAULTED = re.compile(r"=[du](?=[;,}]|\Z)")
 _QUALIFIED = re.compile(r"(?:(?<![iM>])z)?(?:i(?:<[^<>;]*>)?z[gs]?)+(?=[iMO])|(?<![iM>])z(?=i)")
@@ -96,6 +95,7 @@ _CLASH = re.compile(
     r"[oa?](?:[o=?>:,;]|\Z)|=(?:[o=?>:,;]|\Z)|[wz](?:[o=?:,;<>apev0\"]|\Z)|g(?:[o=?>:,;]|\Z)|,[,:o=?]|0[i0tvuMcs\"]|v[iM0tv\"]|\"(?:[0tvc]|i(?!\"))|(?<![u@])b[i0v\"](?!\"|w)|m[iM]?m(?![iM])|[:?]\?"
     r"|i(?:0|v|u(?!b))|(?<![:,s])A|q[i0](?![pe;=]|" + _B + r")|^[o=?,w:]|t[0v\"]"
 )
+#: What goes on after a brace only where a class stands before it.
 _BAD_AFTER_BRACE = re.compile(_B + r"[its0vMu\"]")
 _CONTROL = re.compile(r"[IFLWSDCYHK]")
 _LINKAGE = re.compile(r"\As\"")
@@ -161,10 +161,10 @@ def _braces_fit(text: str) -> bool:
     return True
 
 
+#: What comes before a plain statement: conditions, loops, labels, blocks, handlers and macros with a block.
 _PREFIX = re.compile(
-    rf"(?:@|I[sMgi]*p|L|[Ff]?F[Mi]?f|FM?j|Wp|[iM]f|Sp|D|Y(?={_B})|H[pe](?={_B})|[iM]@?:(?!:)|C[^:;]+:|d:|A[iM]?:|(?:[iM]z)*[iM][pe]?{_STATEMENTS}(?![,.)])|{_STATEMENTS}(?!w))*"
+    rf"(?:@|I[sMgi]*p|L|FM?[fj]|Wp|[iM]f|Sp|D|Y(?={_B})|H[pe](?={_B})|[iM]@?:(?!:)|C[^:;]+:|d:|A[iM]?:|(?:[iM]z)*[iM][pe]?{_STATEMENTS}(?![,.)])|{_STATEMENTS}(?!w))*"
 )
-_BLOCK = re.compile(rf"(?:[iM]z?)+[pej]?{_STATEMENTS}\Z|{_STATEMENTS}")
 
 
 @lru_cache(1 << 18)
@@ -191,6 +191,7 @@ def statements(text: str) -> bool:
 
 
 _ACCESS = re.compile(r"(?:(?:M[pe]?)*A[iM]?|[iM]):(?!:)")
+#: The end of a function's head: its parameters, qualifiers, a trailing type.
 _FUNCTION = re.compile(r"[pe][sqzrMiwj<>E,t@bpeQo0v]*\Z")
 _TEMPLATE = re.compile(r"T(?:<((?:[^<>]|<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>)*)>)?")
 #: A class whose semicolon is missing before the next declaration.
@@ -285,7 +286,7 @@ def parenthesis(text: str) -> str | None:
     text = text.replace(ATTRIBUTE, "")
     parts = text.split(";")
     if len(parts) == 3:
-        return HEADER if all(map(_header_part, parts)) else None
+        return HEADER if all(map(simple, parts)) else None
     if len(parts) == 2:
         if ":" in parts[1] and "?" not in parts[1]:
             return HEADER if simple(parts[0]) and _each(parts[1]) else None
@@ -310,16 +311,13 @@ def _generic(text: str) -> bool:
     return all(p and (p in BRACES or p in "Rdqsnc" or p[0] in "Rcu" and simple(p[1:], True) or simple(p, True)) for p in parts)
 
 
-def _header_part(text: str) -> bool:
-    return simple(text)
-
-
 @lru_cache(1 << 16)
 def _each(text: str) -> bool:
     item, _, source = text.partition(":")
     return bool(item and source) and simple(item) and simple(source)
 
 
+#: Captures of a lambda.
 _CAPTURES = re.compile(r"(?:(?:[=r]|r?v|r?(?:iE?|Ei)(?:=[^,]+)?|i?=.+|[iM][pe]?E?)(?:,(?!\Z)|\Z))*")
 
 
