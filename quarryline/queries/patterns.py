@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarryline.functions import text
-from quarryline.functions.patterns import DECLARING, KEYWORDS
+from quarryline.functions.patterns import DECLARING, KEYWORDS, with_template
 from quarryline.operators import coverage, defuse, slices, trees
-from quarryline.plans.lineage import cut, table
+from quarryline.plans.lineage import cut
 from quarryline.queries.code import _FACTS
 from quarryline.queries.files import first_rows, fragments_of
 from quarryline.queries.mining import TEST, TRAIN, clusters_of
 from quarryline.queries.ranges import _NODES, nodes_of
-from quarryline.queries.registry import FILES, Registry
+from quarryline.queries.registry import FRAGMENTS, Registry
 
 _R = Registry()
 QUERIES, ORACLES, query = _R.queries, _R.oracles, _R.query
@@ -59,8 +59,6 @@ def node_coverage(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def pattern_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Where the centres of recorded clusters, as templates, stand in the fragments of the corpus."""
-    from quarryline.functions.patterns import with_template
-
     centres = with_template(clusters_of(spark, folder).where("center_point is not null").select(F.col("cluster_key").alias("pattern_id"), "center_point"), "center_point")
     centres = centres.select("pattern_id", F.array_join("template", " ").alias("code"))
     codes = fragments_of(spark, folder, "pros_src").select(F.col("emb_id").alias("code_id"), F.col("pros_src").alias("code"))
@@ -95,3 +93,32 @@ def semantic_slices(spark: SparkSession, folder: str) -> DataFrame:
     nodes = nodes_of(spark, folder)
     links = defuse.edges(defuse.facts(nodes.where("node_idx > 0")))
     return slices.slices(nodes, defuse.closure(links), links)
+
+
+_FRAGMENT_TEMPLATES = f"""{FRAGMENTS}, lexed AS (SELECT coalesce(lower(trim(pros_name)), 'unknown') AS project, list_filter(regexp_extract_all(pros_src, '{text.CODE_TOKEN.replace("'", "''")}'), lambda t: NOT (t LIKE '//%' OR t LIKE '/*%')) AS t FROM fragments WHERE pros_src IS NOT NULL),
+classed AS (SELECT project, t, list_transform(t, lambda x, i: CASE WHEN {_LITERAL('x')} THEN 'l' WHEN {_NAME('x')} THEN CASE WHEN {_KEPT} THEN 'k' ELSE 'v' END ELSE 'o' END) AS kinds FROM lexed)"""
+
+
+@query(
+    f"""WITH {_FRAGMENT_TEMPLATES} SELECT project, CAST(sum(len(t)) AS BIGINT) AS tokens, CAST(sum(len(list_filter(kinds, lambda k: k = 'v'))) AS BIGINT) AS variables, CAST(sum(len(list_filter(kinds, lambda k: k = 'l'))) AS BIGINT) AS literals,
+    CAST(sum(len(list_filter(kinds, lambda k: k = 'k'))) AS BIGINT) AS kept FROM classed GROUP BY 1"""
+)
+def token_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of fragments: names that a template makes blanks, literals, and names it keeps."""
+    codes = fragments_of(spark, folder, "pros_name", "pros_src").select(F.coalesce(F.lower(F.trim("pros_name")), F.lit("unknown")).alias("project"), "pros_src").where("pros_src is not null")
+    rows = with_template(codes, "pros_src")
+    n = lambda prefix: F.size(F.filter("template", lambda t: t.startswith(prefix)))
+    kept = F.size(F.filter(F.arrays_zip("template", coverage.coarse(F.col("tokens")).alias("c")), lambda x: (x["c"] == "<ID>") & ~x["template"].startswith("<VAR_")))
+    return rows.groupBy("project").agg(F.sum(F.size("tokens")).alias("tokens"), F.sum(n("<VAR_")).alias("variables"), F.sum(n("<LIT_")).alias("literals"), F.sum(kept).alias("kept"))
+
+
+@query(
+    f"""WITH {_FRAGMENT_TEMPLATES}, keyed AS (SELECT project, array_to_string(list_transform(t, lambda x, i: CASE kinds[i] WHEN 'l' THEN '<LIT_' || list_position(t, x) || '>' WHEN 'v' THEN '<VAR_' || list_position(t, x) || '>' ELSE x END), chr(1)) AS k FROM classed),
+    classes AS (SELECT project, k, count(*) AS n FROM keyed GROUP BY 1, 2) SELECT project, count(*) AS templates, max(n) AS largest, CAST(sum(n) FILTER (n >= 2) AS BIGINT) AS shared FROM classes GROUP BY 1"""
+)
+def template_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of fragments that agree but for local names and literals: how many, the largest, and fragments in one of two or more."""
+    codes = fragments_of(spark, folder, "pros_name", "pros_src").select(F.coalesce(F.lower(F.trim("pros_name")), F.lit("unknown")).alias("project"), "pros_src").where("pros_src is not null")
+    keyed = with_template(codes, "pros_src").select("project", F.sha2(F.array_join("template", "\x01"), 256).alias("k"))
+    classes = keyed.groupBy("project", "k").agg(F.count(F.lit(1)).alias("n"))
+    return classes.groupBy("project").agg(F.count(F.lit(1)).alias("templates"), F.max("n").alias("largest"), F.sum(F.when(F.col("n") >= 2, F.col("n"))).alias("shared"))

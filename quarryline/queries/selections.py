@@ -11,7 +11,7 @@ from quarryline.plans.lineage import table
 from quarryline.queries.files import first_rows, fragments_of, latest_evidence
 from quarryline.queries.mining import _CLUSTERS, _MEMBERS, clusters_of, members_of
 from quarryline.queries.ranges import _NODES, _RANGES, _UNION
-from quarryline.queries.records import _BUDGETED, _FOLD, _NAMED, _POSIX, _TYPE, BUDGET, budgeted, candidate_type, path, spelled
+from quarryline.queries.records import _BUDGETED, _FOLD, _NAMED, _POSIX, _TOKENS, _TYPE, BUDGET, budgeted, candidate_type, path, spelled
 from quarryline.queries.registry import FILES, FRAGMENTS, LATEST, Registry
 from quarryline.sources import scan, sinks
 
@@ -311,3 +311,67 @@ def schema_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("event_type", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("events"))
 
 
+
+
+@query(
+    f"""WITH {FILES}, named AS (SELECT trim(project) AS project, count(*) AS files FROM files WHERE project IS NOT NULL GROUP BY 1), slugs AS (SELECT DISTINCT slug FROM project_classification), lowered AS (SELECT DISTINCT lower(trim(slug)) AS low FROM project_classification)
+    SELECT CASE WHEN slug IS NOT NULL THEN 'exact' WHEN low IS NOT NULL THEN 'any case' ELSE 'none' END AS matched, count(*) AS spellings, CAST(sum(files) AS BIGINT) AS files FROM named LEFT JOIN slugs ON slug = project LEFT JOIN lowered ON low = lower(project) GROUP BY 1"""
+)
+def metadata_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Spellings of projects that the catalogue holds exactly, or but for case."""
+    named = first_rows(spark, folder, project=F.trim("project")).where("project is not null").groupBy("project").agg(F.count(F.lit(1)).alias("files")).withColumn("low", F.lower("project"))
+    slugs = table(spark, folder, "project_classification").select("slug")
+    exact = slugs.select(F.col("slug").alias("project")).distinct().withColumn("exact", F.lit(True))
+    lowered = slugs.select(F.lower(F.trim("slug")).alias("low")).distinct().withColumn("any", F.lit(True))
+    joined = named.join(exact, "project", "left").join(lowered, "low", "left")
+    return joined.groupBy(F.when(F.col("exact"), "exact").when(F.col("any"), "any case").otherwise("none").alias("matched")).agg(F.count(F.lit(1)).alias("spellings"), F.sum("files").alias("files"))
+
+
+@query("SELECT slug, corpus, coalesce(classification.primary_domain, 'unknown') AS domain FROM project_classification WHERE lower(trim(coalesce(selection.status, ''))) IN ('selected', 'accepted', 'frozen')")
+def selected_projects(spark: SparkSession, folder: str) -> DataFrame:
+    """Projects of the catalogue whose selection was accepted."""
+    status = F.lower(F.trim(F.coalesce("selection.status", F.lit(""))))
+    return table(spark, folder, "project_classification").where(status.isin("selected", "accepted", "frozen")).select("slug", "corpus", F.coalesce("classification.primary_domain", F.lit("unknown")).alias("domain"))
+
+
+@query(
+    f"""WITH {_CLUSTERS}, kept AS (SELECT cluster_key, coalesce(infos, []) AS infos, list_filter(coalesce(infos, []), lambda i: trim(coalesce(i.node.code_snippet, '')) <> '' AND (i.node.code_snippet = center_point OR list_contains(coalesce(else_point, []), i.node.code_snippet))) AS k FROM own WHERE trim(coalesce(center_point, '')) <> '')
+    SELECT cluster_key, len(infos) AS members, len(k) AS kept FROM kept"""
+)
+def kept_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Members with code that is one of the cluster's recorded texts, of clusters with a centre."""
+    rows = clusters_of(spark, folder).where("trim(coalesce(center_point, '')) != ''")
+    none = F.array().cast("array<string>")
+    infos = F.coalesce("infos", F.array().cast(rows.schema["infos"].dataType))
+    known = F.concat(F.array("center_point"), F.coalesce("else_point", none))
+    kept = F.filter(infos, lambda i: (F.trim(F.coalesce(i["node"]["code_snippet"], F.lit(""))) != "") & F.coalesce(F.array_contains(known, i["node"]["code_snippet"]), F.lit(False)))
+    return rows.select("cluster_key", F.size(infos).cast("long").alias("members"), F.size(kept).cast("long").alias("kept"))
+
+
+@query(
+    """WITH found AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '(?m)^[ \t]*#[ \t]*include[ \t]*[<"]([^>"\n]+)[>"]', 1))) AS target FROM documents WHERE text IS NOT NULL)
+    SELECT target, count(*) AS docs, count(DISTINCT source) AS sources FROM found GROUP BY 1"""
+)
+def include_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Headers that texts include, with the texts and sources that do."""
+    targets = F.array_distinct(F.regexp_extract_all("text", F.lit(r'(?m)^[ \t]*#[ \t]*include[ \t]*[<"]([^>"\n]+)[>"]'), 1))
+    found = table(spark, folder, "documents").where("text is not null").select("source", F.explode(targets).alias("target"))
+    return found.groupBy("target").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("source").alias("sources"))
+
+
+_LEXED = _TOKENS("pros_src")
+_PAIRED = " AND ".join(f"len(list_filter(t, lambda x: x = '{a}')) = len(list_filter(t, lambda x: x = '{b}'))" for a, b in ("()", "[]", "{}"))
+
+
+@query(
+    f"""WITH {FRAGMENTS}, lexed AS (SELECT pros_info.node.kind AS kind, pros_info.node.subtree_size AS size, {_LEXED} AS t FROM fragments WHERE pros_src IS NOT NULL)
+    SELECT kind, count(*) AS fragments, count(*) FILTER (len(t) > 0 AND {_PAIRED}) AS paired, CAST(sum(len(t)) AS BIGINT) AS tokens, CAST(sum(size) AS BIGINT) AS nodes FROM lexed GROUP BY 1"""
+)
+def fragment_syntax(spark: SparkSession, folder: str) -> DataFrame:
+    """Fragments whose brackets pair, literals and comments aside, with their tokens and nodes."""
+    n = lambda t, mark: F.size(F.filter(t, lambda x: x == mark))
+    measured = lambda t: F.struct(F.size(t).alias("tokens"), ((F.size(t) > 0) & (n(t, "(") == n(t, ")")) & (n(t, "[") == n(t, "]")) & (n(t, "{") == n(t, "}"))).alias("paired"))
+    sizes = F.get(F.transform(F.array(text.code_tokens(F.col("pros_src"))), measured), F.lit(0))
+    rows = table(spark, folder, "embedding").where("pros_src is not null").select("emb_id", "ingested_at", F.col("pros_info.node.kind").alias("kind"), F.col("pros_info.node.subtree_size").alias("size"), sizes.alias("m"))
+    rows = scan.first_deliveries(rows, "emb_id", "ingested_at")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("fragments"), F.count_if("m.paired").alias("paired"), F.sum("m.tokens").alias("tokens"), F.sum("size").alias("nodes"))
