@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quarryline.plans.lineage import cut, width
 
@@ -123,23 +123,51 @@ def encode_corpus(df: DataFrame, ids: str = "doc_id", texts: str = "text", vocab
     return docs.repartition(parts, "block").groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(place, f"doc_id {kind}, ids array<int>")
 
 
-def pieces(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The vocabulary as ``id, piece`` (bytes); its size is fixed by the tokenizer file."""
-    return spark.createDataFrame([(number, piece) for piece, number in _ranks(vocabulary).items()], "id int, piece binary")
+@lru_cache
+def _pieces(path: str) -> pa.BinaryArray:
+    """The pieces of a rank file at the places of their ids; ids without one and the last place hold nothing."""
+    ranks = _ranks(path)
+    table = [b""] * (max(ranks.values(), default=-1) + 2)
+    for piece, number in ranks.items():
+        table[number] = piece
+    return pa.array(table, pa.binary())
+
+
+#: Ids that are joined with their pieces at once.
+DECODED_IDS = 4_000_000
 
 
 def decode_corpus(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Texts of ``doc_id, ids`` through a join of ids with pieces, as ``doc_id, text``.
+    """Texts of ``doc_id, ids``, as ``doc_id, text``: each id is joined with its piece where it stands, so nothing is shuffled.
 
-    An empty list gives an empty text; a null list gives null; ids outside the
-    vocabulary give nothing.  The vocabulary's bounded table is broadcast.
+    An empty list gives an empty text; a null list gives null; nulls and ids
+    outside the vocabulary give nothing.  Bytes that are no UTF-8 become U+FFFD.
+    The vocabulary's table is of fixed size; a task reads it once.
     """
-    table = F.broadcast(pieces(encoded.sparkSession, vocabulary))
-    placed = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(table, "id")
-    ordered = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("piece")))).alias("parts"))
-    texts = ordered.select("doc_id", F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["piece"]), "")), "UTF-8").alias("text"))
-    whole = encoded.select("doc_id", F.when(F.size("ids") == 0, F.lit("")).alias("empty")).join(texts, "doc_id", "left")
-    return whole.select("doc_id", F.coalesce("text", "empty").alias("text"))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(vocabulary)
+        for batch in batches:
+            ends = np.r_[0, np.cumsum(np.asarray(batch.column(1).value_lengths().fill_null(0)))]
+            start = 0
+            while start < batch.num_rows:
+                # as many rows as stay within the bound, and one at least
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + DECODED_IDS, "right")) - 1)
+                part = batch.slice(start, stop - start)
+                ids = np.asarray(part.column(1).flatten().fill_null(-1))
+                ids = np.where((ids >= 0) & (ids < len(pieces)), ids, len(pieces) - 1)
+                joined = pieces.take(pa.array(ids))
+                places = np.frombuffer(joined.buffers()[1], "int32")[: len(ids) + 1] if len(ids) else np.zeros(1, "int32")
+                offsets = np.ascontiguousarray(places[ends[start : stop + 1] - ends[start]])
+                data = joined.buffers()[2] if len(ids) else pa.py_buffer(b"")
+                missing = np.asarray(part.column(1).is_null())
+                texts = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), data])
+                yield pa.RecordBatch.from_arrays([part.column(0), texts, pa.array(missing)], ["doc_id", "data", "missing"])
+                start = stop
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    decoded = encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(decode, f"doc_id {kind}, data binary, missing boolean")
+    return decoded.select("doc_id", F.when(~F.col("missing"), F.decode("data", "UTF-8")).alias("text"))
 
 
 def vocabulary_use(df: DataFrame, ids: str = "doc_id", texts: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -37,3 +37,12 @@ def test_use_counts(spark):
     ids = tokens._tokenizer(tokens.VOCABULARY).encode_ordinary("a")
     found = {r.id: (r.uses, r.docs) for r in tokens.vocabulary_use(df).collect()}
     assert found[ids[0]] == (2, 2)
+
+
+def test_decoding_of_odd_lists(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "DECODED_IDS", 3)
+    a = tokens._tokenizer(tokens.VOCABULARY).encode_ordinary("añ")
+    rows = [(1, a), (2, []), (3, None), (4, [None, *a, 10**8, -5]), (5, a[-1:]), (None, a * 9), (6, a), (7, [])]
+    got = {r.doc_id: r.text for r in tokens.decode_corpus(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()}
+    assert {i: got[i] for i in (1, 2, 3, 4, 6, 7)} == {1: "añ", 2: "", 3: None, 4: "añ", 6: "añ", 7: ""} and got[None] == "añ" * 9
+    assert tokens.decode_corpus(spark.createDataFrame([], "doc_id long, ids array<int>")).count() == 0
