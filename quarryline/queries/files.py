@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quarryline.functions import scores, text
 from quarryline.operators import windows
-from quarryline.plans.lineage import table
+from quarryline.plans.lineage import spread, table
 from quarryline.queries.registry import FILES, FRAGMENTS, LATEST, Registry
 from quarryline.sources import scan
 
@@ -36,8 +36,9 @@ def files_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_rows(spark: SparkSession, folder: str, *columns: str, **derived: Column) -> DataFrame:
-    """The first delivery of each file: some of its columns, and what is derived from others before anything is shuffled."""
-    rows = table(spark, folder, "dataset").select("file_id", "ingested_at", *columns, *[c.alias(n) for n, c in derived.items()])
+    """The first delivery of each file: some of its columns, and what is derived from others before deliveries meet."""
+    files = table(spark, folder, "dataset")
+    rows = (spread(files) if derived else files).select("file_id", "ingested_at", *columns, *[c.alias(n) for n, c in derived.items()])
     return scan.first_deliveries(rows, "file_id", "ingested_at")
 
 
