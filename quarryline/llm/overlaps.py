@@ -10,6 +10,7 @@ the blanks is part of the verification.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator, Set
@@ -238,12 +239,20 @@ def cuts(n: int, hot: set[int] | None = None) -> list[tuple[int, int]]:
 _LENGTHS = (1, 2, 3, 4)
 
 
+_SCANNED = "file_id long, side string, key long, string array<long>, names string, text_key string"
+
+
 def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each function that counts, and one with the digest of the text, white space aside, for each file whose text counts."""
     for batch in batches:
-        ids, sides, keys, strings, names = [], [], [], [], []
+        ids, sides, keys, strings, names, texts = [], [], [], [], [], []
         for file_id, side, functions in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            dense = []
             for text in functions or ():
-                if not text or len("".join(text.split())) < LEAST_CHARACTERS:
+                if not text:
+                    continue
+                dense.append("".join(text.split()))
+                if len(dense[-1]) < LEAST_CHARACTERS:
                     continue
                 pieces, owned = statements(text)
                 ids.append(file_id)
@@ -251,10 +260,21 @@ def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(canonical(pieces, owned))
                 strings.append([_hash64(p) for p in pieces])
                 names.append("|".join(" ".join(o) for o in owned))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sides, pa.string()), pa.array(keys, pa.int64()), pa.array(strings, pa.list_(pa.int64())), pa.array(names, pa.string())],
-            ["file_id", "side", "key", "string", "names"],
-        )
+                texts.append(None)
+            if sum(map(len, dense)) >= LEAST_CHARACTERS:
+                ids.append(file_id)
+                sides.append(side)
+                keys.append(None)
+                strings.append(None)
+                names.append(None)
+                texts.append(hashlib.sha256("".join(dense).encode("utf-8", "surrogatepass")).hexdigest())
+        arrays = [pa.array(ids, pa.int64()), pa.array(sides, pa.string()), pa.array(keys, pa.int64()), pa.array(strings, pa.list_(pa.int64())), pa.array(names, pa.string()), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, ["file_id", "side", "key", "string", "names", "text_key"])
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """All functions and texts in one pass over the files, written once."""
+    return cut(_sided(files).select("file_id", "side", "func_src").mapInArrow(_functions, _SCANNED))
 
 
 def _mix(values: np.ndarray) -> np.ndarray:
@@ -303,9 +323,9 @@ def _sided(files: DataFrame) -> DataFrame:
     return files.where(side.isNotNull() & F.col("file_id").isNotNull() & F.col("func_src").isNotNull()).withColumn("side", F.when(side == "train", "t").otherwise("e"))
 
 
-def _matches(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _matches(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The owners of each function as ``key, side, file_id``, and the matched functions as ``e, t``."""
-    functions = cut(_sided(files).select("file_id", "side", "func_src").mapInArrow(_functions, "file_id long, side string, key long, string array<long>, names string"))
+    functions = rows.where("key is not null")
     # copies of one function become one row, before any function meets another
     distinct = cut(functions.groupBy("key").agg(F.first("string").alias("string"), F.first("names").alias("names"), F.bool_or(F.col("side") == "e").alias("e"), F.bool_or(F.col("side") == "t").alias("t")))
     schema = "segment long, key long, pos int, n int"
@@ -324,24 +344,22 @@ def _matches(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return owners, verified.union(equal)
 
 
-def shared_functions(files: DataFrame) -> DataFrame:
-    """``e_file, t_file``: evaluation and training files that share a function, each pair once."""
-    owners, matched = _matches(files)
+def shared_functions(rows: DataFrame) -> DataFrame:
+    """``e_file, t_file``: evaluation and training files that share a function, each pair once, from ``scanned`` files."""
+    owners, matched = _matches(rows)
     e_owners = owners.where("side = 'e'").select(F.col("key").alias("e"), F.col("file_id").alias("e_file"))
     t_owners = owners.where("side = 't'").select(F.col("key").alias("t"), F.col("file_id").alias("t_file"))
     return matched.join(e_owners, "e").join(t_owners, "t").select("e_file", "t_file").distinct()
 
 
-def _equal_texts(files: DataFrame) -> DataFrame:
+def _equal_texts(files: DataFrame, rows: DataFrame) -> DataFrame:
     """``file_id, side, text_key`` of the files of problems 3 and 5 whose text, white space aside, both sides hold.
 
     Which files are such is told as ``not_hand_written`` and ``unparsable_files``
     tell it, with the models of all texts, but asked only of files that have an
     equal on the other side.  A pair counts if both of its files are such.
     """
-    dense = F.translate(F.array_join("func_src", "\n\n"), " \t\n\r\f\v", "")
-    # keys are written once, as both the count of sides and the join read them
-    keyed = cut(_sided(files).select("file_id", "side", dense.alias("dense")).where(F.length("dense") >= LEAST_CHARACTERS).select("file_id", "side", F.sha2("dense", 256).alias("text_key")))
+    keyed = rows.where("text_key is not null").select("file_id", "side", "text_key")
     both = keyed.groupBy("text_key").agg(F.bool_or(F.col("side") == "e").alias("e"), F.bool_or(F.col("side") == "t").alias("t")).where("e and t").select("text_key")
     equal = cut(keyed.join(both, "text_key").distinct())
     if equal.isEmpty():
@@ -360,10 +378,11 @@ def overlapping_files(files: DataFrame) -> DataFrame:
     delivered under splits of both sides takes part on both, but never with
     itself.  Extra columns are ignored.
     """
-    texts = _equal_texts(files)
+    rows = scanned(files)
+    texts = _equal_texts(files, rows)
     e = texts.where("side = 'e'").select("text_key", F.col("file_id").alias("e_file"))
     t = texts.where("side = 't'").select("text_key", F.col("file_id").alias("t_file"))
-    pairs = shared_functions(files).union(e.join(t, "text_key").select("e_file", "t_file")).where("e_file != t_file")
+    pairs = shared_functions(rows).union(e.join(t, "text_key").select("e_file", "t_file")).where("e_file != t_file")
     return pairs.select(F.least("e_file", "t_file").alias("file_id_a"), F.greatest("e_file", "t_file").alias("file_id_b")).distinct()
 
 
@@ -373,12 +392,13 @@ def repeated_files(files: DataFrame) -> DataFrame:
     Of the files on the train side of a function or text the smallest and the
     largest id are kept: an evaluation file overlaps unless both are its own.
     """
-    owners, matched = _matches(files)
-    ends = lambda rows, key: rows.groupBy(key).agg(F.min("file_id").alias("low"), F.max("file_id").alias("high"))
+    rows = scanned(files)
+    owners, matched = _matches(rows)
+    ends = lambda side, key: side.groupBy(key).agg(F.min("file_id").alias("low"), F.max("file_id").alias("high"))
     train = ends(owners.where("side = 't'").withColumnRenamed("key", "t"), "t")
     partners = matched.join(train, "t").groupBy("e").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     found = owners.where("side = 'e'").join(partners, F.col("key") == F.col("e")).select("file_id", "low", "high")
-    texts = _equal_texts(files)
+    texts = _equal_texts(files, rows)
     equal = texts.where("side = 'e'").join(ends(texts.where("side = 't'"), "text_key"), "text_key").select("file_id", "low", "high")
     return found.union(equal).where("low != file_id or high != file_id").select("file_id").distinct()
 
