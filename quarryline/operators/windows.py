@@ -53,7 +53,13 @@ def non_overlapping(candidates: Column, most: int, overlap: float) -> Column:
 
 
 def opening_and_last(df: DataFrame, by: list[str], order: list[str], keep: int) -> DataFrame:
-    """The first row of each group as ``opening`` and the last ``keep`` others, in a total order."""
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
-    last = F.row_number().over(Window.partitionBy(*by, "opening").orderBy(*[F.desc(c) for c in order]))
-    return df.withColumn("opening", first).withColumn("_n", last).where(F.col("opening") | (F.col("_n") <= keep)).drop("_n")
+    """The first row of each group as ``opening`` and the last ``keep`` others, in a total order.
+
+    Spark limits each partition to the rows that can be among them before the
+    shuffle, so a group of any size costs a few rows a task.
+    """
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    last = lambda *more: F.row_number().over(Window.partitionBy(*by, *more).orderBy(*[F.desc(c) for c in order]))
+    ends = df.withColumn("_n", first).where(F.col("_n") == 1).union(df.withColumn("_n", last()).where(F.col("_n") <= keep + 1))
+    few = ends.drop("_n").dropDuplicates([*by, *order]).withColumn("opening", first == 1)
+    return few.withColumn("_n", last("opening")).where(F.col("opening") | (F.col("_n") <= keep)).drop("_n")

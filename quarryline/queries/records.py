@@ -508,14 +508,14 @@ def holding_subtrees(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {_CLUSTERS}, keyed AS (SELECT lower(trim(center_point_info.project)) AS project, cluster_key, label, cluster_size, array_to_string({_TOKENS('center_point')}, chr(1)) AS k FROM own WHERE center_point IS NOT NULL)
-    SELECT project, count(*) AS merged, string_agg(CAST(cluster_key AS VARCHAR), '+' ORDER BY cluster_key) AS parts, arg_max(cluster_key, (coalesce(cluster_size, -1), -cluster_key)) AS representative, CAST(sum(cluster_size) AS BIGINT) AS members FROM keyed GROUP BY project, k HAVING count(*) >= 2"""
+    SELECT project, count(*) AS merged, min(cluster_key) AS first_part, max(cluster_key) AS last_part, arg_max(cluster_key, (coalesce(cluster_size, -1), -cluster_key)) AS representative, CAST(sum(cluster_size) AS BIGINT) AS members FROM keyed GROUP BY project, k HAVING count(*) >= 2"""
 )
 def merge_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Clusters with equal centres as one record: its parts, the largest as representative, and all members."""
+    """Clusters with equal centres as one record: how many, the first and last of them, the largest as representative, and all members."""
     keyed = clusters_of(spark, folder).where("center_point is not null").select("project", "cluster_key", "cluster_size", F.array_join(text.code_tokens(F.col("center_point")), "\x01").alias("k"))
     best = F.max(F.struct(F.coalesce("cluster_size", F.lit(-1)).alias("s"), (-F.col("cluster_key")).alias("c"))).alias("b")
-    grouped = keyed.groupBy("project", "k").agg(F.count(F.lit(1)).alias("merged"), F.array_sort(F.collect_list("cluster_key")).alias("parts"), best, F.sum("cluster_size").alias("members")).where("merged >= 2")
-    return grouped.select("project", "merged", F.array_join(F.col("parts").cast("array<string>"), "+").alias("parts"), (-F.col("b.c")).alias("representative"), "members")
+    grouped = keyed.groupBy("project", "k").agg(F.count(F.lit(1)).alias("merged"), F.min("cluster_key").alias("first_part"), F.max("cluster_key").alias("last_part"), best, F.sum("cluster_size").alias("members")).where("merged >= 2")
+    return grouped.select("project", "merged", "first_part", "last_part", (-F.col("b.c")).alias("representative"), "members")
 
 
 _CHECKS = {
@@ -633,15 +633,13 @@ def occurrence_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {FRAGMENTS}, keyed AS (SELECT emb_id, {_REGION} AS region FROM fragments) SELECT region, count(*) AS fragments, md5('combination:' || string_agg(CAST(emb_id AS VARCHAR), '+' ORDER BY emb_id)) AS combination FROM keyed GROUP BY 1 HAVING count(*) >= 2"""
+    f"""WITH {FRAGMENTS}, keyed AS (SELECT emb_id, {_REGION} AS region FROM fragments) SELECT region, count(*) AS fragments, concat_ws('+', 'combination:' || min(emb_id), CAST(max(emb_id) AS VARCHAR), CAST(sum(emb_id) AS VARCHAR)) AS combination FROM keyed GROUP BY 1 HAVING count(*) >= 2"""
 )
 def combination_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """A key for the fragments of a function together, as a digest."""
+    """A key for the fragments of a function together: their smallest, largest and summed ids, which need no list of them."""
     rows = fragments_of(spark, folder, "pros_info").select("emb_id", region_key().alias("region"))
-    # a function has few fragments, and copies of one were dropped before
-    grouped = rows.groupBy("region").agg(F.array_sort(F.collect_list("emb_id")).alias("ids")).where("size(ids) >= 2")
-    key = F.concat(F.lit("combination:"), F.array_join(F.col("ids").cast("array<string>"), "+"))
-    return grouped.select("region", F.size("ids").cast("long").alias("fragments"), F.md5(key).alias("combination"))
+    grouped = rows.groupBy("region").agg(F.count(F.lit(1)).alias("fragments"), *[f("emb_id").cast("string").alias(n) for f, n in ((F.min, "low"), (F.max, "high"), (F.sum, "all"))]).where("fragments >= 2")
+    return grouped.select("region", "fragments", F.concat_ws("+", F.concat(F.lit("combination:"), F.col("low")), "high", "all").alias("combination"))
 
 
 @query(
