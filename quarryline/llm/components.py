@@ -3,10 +3,11 @@
 Adjacency lists are hash-partitioned by node.  Every node starts as the seed of a
 search, or joins that of a smaller neighbour at once.  All searches expand
 together, one frontier a round: the frontier holds the nodes whose label has just
-changed, and where two searches collide the smaller seed takes the node.  If the
-frontier isn't empty after ``ROUNDS`` rounds, labels that still touch form the
-edges of a much smaller graph, which is solved in the same way, and its answer
-relabels the nodes.
+changed, and where two searches collide the smaller seed takes the node.  A round
+reads the labels of the nodes it reaches and writes only its own frontier; the label
+of a node is the smallest of all its frontiers.  If the frontier isn't empty after
+``ROUNDS`` rounds, labels that still touch form the edges of a much smaller graph,
+which is solved in the same way, and its answer relabels the nodes.
 """
 
 from __future__ import annotations
@@ -28,16 +29,20 @@ def frontier_components(edges: DataFrame, left: str = "src", right: str = "dst")
     """
     pairs = edges.select(F.col(left).alias("src"), F.col(right).alias("dst")).where("src is not null and dst is not null")
     adjacency = cut(pairs.union(pairs.select("dst", "src")).distinct())
-    state = adjacency.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
-    state = cut(state.select("node", F.least("node", "least").alias("label"), F.lit(True).alias("changed")))
+    least = adjacency.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
+    frontier = cut(least.select("node", F.least("node", "least").alias("label")))
+    written, ended = frontier, False
     for _ in range(ROUNDS):
-        reached = state.where("changed").join(adjacency, F.col("node") == F.col("src"))
-        offers = reached.groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
-        state = state.drop("changed").join(offers, "node", "left")
-        state = cut(state.select("node", F.least("label", "offer").alias("label"), F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("changed")))
-        if state.where("changed").isEmpty():
-            return state.select("node", F.col("label").alias("component"))
-    ends = state.select("node", "label")
+        offers = frontier.join(adjacency, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
+        reached = written.join(offers, "node").groupBy("node").agg(F.min("label").alias("label"), F.first("offer").alias("offer"))
+        frontier = cut(reached.where("offer < label").select("node", F.col("offer").alias("label")))
+        if ended := frontier.isEmpty():
+            break
+        written = written.union(frontier)
+    ends = written.groupBy("node").agg(F.min("label").alias("label"))
+    if ended:
+        return ends.select("node", F.col("label").alias("component"))
+    ends = cut(ends)
     meetings = adjacency.join(ends.toDF("src", "a"), "src").join(ends.toDF("dst", "b"), "dst").where("a <= b")
     merged = frontier_components(meetings.select("a", "b").distinct(), "a", "b")
     return ends.join(merged.toDF("label", "component"), "label").select("node", "component")
