@@ -41,7 +41,7 @@ LEAF_ROWS = 512
 #: The kd-trees are fitted on about this many vectors at most; every vector is indexed.
 SAMPLE_ROWS = 60_000
 CONFIDENCE = 0.999
-#: 8-bit components leave an error of about 0.001 in a cosine; links are looked for this much further.
+#: 8-bit components leave an error of about 0.001 in a cosine; links this near the radius are verified with whole vectors.
 SLACK = 0.006
 #: Distances are compared to nine decimals; a bound reaches a little further.
 ROUNDING = 2e-9
@@ -269,25 +269,29 @@ def nearest_ids(q: np.ndarray, o: np.ndarray, dist: np.ndarray, own: list, their
                         break
 
 
-def local_roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest linked index of each index: components of the links found in one cell.
+def local_roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest linked index of each index: components of the links of at most ``sure``; and the further links between them, 2 x links.
 
     The links of one leaf at a time are joined and let go, so memory stays in
     proportion to the cell, also where all its vectors are near each other.
     """
-    root = np.arange(n)
-    for q, o, _ in pairs:
+    root, unsure = np.arange(n), [np.zeros((2, 0), "int64")]
+    for q, o, d in pairs:
+        further = d > sure
+        a, b = q[further], o[further]
+        q, o = q[~further], o[~further]
         while True:
-            a, b = root[q], root[o]
-            apart = a != b
+            apart = root[q] != root[o]
             if not apart.any():
                 break
-            a, b = a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            q, o = q[apart], o[apart]
+            np.minimum.at(root, np.maximum(root[q], root[o]), np.minimum(root[q], root[o]))
             while (root != root[root]).any():
                 root = root[root]
-            q, o = q[apart], o[apart]
-    return root
+        still = root[a] != root[b]
+        unsure.append(np.stack([np.minimum(a, b)[still], np.maximum(a, b)[still]]))
+    links = np.unique(np.concatenate(unsure, axis=1), axis=1)
+    return root, links[:, root[links[0]] != root[links[1]]]
 
 
 class SimilarityIndex:
@@ -317,7 +321,7 @@ class SimilarityIndex:
     @cached_property
     def classes(self) -> DataFrame:
         """``code_key, class`` of every vector that has a neighbour or a copy."""
-        trees, radius, matrices = self.trees, self.radius + SLACK, projections()
+        trees, radius, matrices = self.trees, self.radius, projections()
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -334,21 +338,51 @@ class SimilarityIndex:
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             units = restored(cell.column("code").combine_chunks().take(pa.array(order)))
-            root = local_roots(len(keys), near_pairs(units, matrices[key[0].as_py()], radius))
+            root, open_ = local_roots(len(keys), near_pairs(units, matrices[key[0].as_py()], radius + SLACK), radius - SLACK)
             linked = root != np.arange(len(keys))
-            return pa.table({"src": keys[linked], "dst": keys[root[linked]]})
+            src, dst = np.r_[keys[linked], keys[open_[0]]], np.r_[keys[root[linked]], keys[open_[1]]]
+            return pa.table({"src": src, "dst": dst, "sure": np.r_[np.ones(linked.sum(), bool), np.zeros(len(open_[0]), bool)]})
 
         n = self.width()
-        links = (
+        links = cut(
             self.distinct.select("code_key", "code")
             .mapInArrow(spread, "t int, cell long, key long, code binary")
             .repartition(n, "t", "cell")
             .groupBy("t", "cell")
-            .applyInArrow(local, "src long, dst long")
+            .applyInArrow(local, "src long, dst long, sure boolean")
         )
         alone = self.distinct.where("copied").select(F.col("code_key").alias("src"), F.col("code_key").alias("dst"))
-        found = frontier_components(links.union(alone))
-        return cut(found.select(F.col("node").alias("code_key"), F.col("component").alias("class")))
+        found = cut(frontier_components(links.where("sure").select("src", "dst").union(alone)).select(F.col("node").alias("code_key"), F.col("component").alias("class")))
+        return self._verified(found, links.where("not sure").select("src", "dst").distinct())
+
+    def _verified(self, found: DataFrame, unsure: DataFrame) -> DataFrame:
+        """The classes joined by the links near the radius that hold for the whole vectors."""
+        label = lambda side: found.select(F.col("code_key").alias(side), F.col("class").alias(f"{side}_class"))
+        apart = unsure.join(label("src"), "src", "left").join(label("dst"), "dst", "left")
+        apart = apart.select("src", "dst", *[F.coalesce(f"{side}_class", side).alias(f"{side}_class") for side in ("src", "dst")])
+        # most of these links are inside a class already
+        apart = cut(apart.where("src_class != dst_class"))
+        if apart.isEmpty():
+            return found
+        units = self.rows.mapInArrow(_units, "id long, code_key long, unit_key long, unit binary")
+        asked = apart.select(F.explode(F.array("src", "dst")).alias("code_key")).distinct()
+        units = cut(units.join(asked, "code_key", "left_semi").groupBy("code_key", "unit_key").agg(F.first("unit").alias("unit")))
+        side = lambda name: units.select(F.col("code_key").alias(name), F.col("unit").alias(f"{name}_unit"))
+        radius = self.radius
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    a, b = (_floats(pa.chunked_array([batch.column(c)])) for c in (4, 5))
+                    near = np.round(1 - (a * b).sum(axis=1), 9) <= radius
+                    yield batch.filter(pa.array(near)).select(["src", "dst", "src_class", "dst_class"])
+
+        met = apart.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", "src_class", "dst_class", "src_unit", "dst_unit")
+        held = cut(met.mapInArrow(verify, "src long, dst long, src_class long, dst_class long").distinct())
+        merged = frontier_components(held.select("src_class", "dst_class"), "src_class", "dst_class").toDF("class", "whole")
+        # a vector without a sure link is in no class yet
+        ends = held.select(F.explode(F.array(F.struct(F.col("src").alias("code_key"), F.col("src_class").alias("class")), F.struct(F.col("dst").alias("code_key"), F.col("dst_class").alias("class")))).alias("x")).select("x.*")
+        return cut(found.union(ends).distinct().join(merged, "class", "left").select("code_key", F.coalesce("whole", "class").alias("class")))
 
     def width(self) -> int:
         """Partitions for work on all cells: some sixteen cells each, and no fewer than the session's width."""

@@ -176,7 +176,22 @@ def test_links_of_a_dense_cell_need_little_memory():
     points = np.random.default_rng(1).normal(size=64) + 1e-4 * np.random.default_rng(3).normal(size=(4000, 64))
     points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype("float32")
     tracemalloc.start()
-    root = vectors.local_roots(4000, vectors.near_pairs(points, vectors.projections()[0], 0.126))
+    root, unsure = vectors.local_roots(4000, vectors.near_pairs(points, vectors.projections()[0], 0.126), 0.114)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert (root == 0).all() and peak < 220e6
+    assert (root == 0).all() and unsure.shape == (2, 0) and peak < 220e6
+
+
+def test_links_near_the_radius_are_verified(spark):
+    """Three vectors in a row at 0.1 and then just below or above 0.12 of the third."""
+    rows, number = [], 0
+    for k, far in enumerate((0.1155, 0.119, 0.1199, 0.1201, 0.121, 0.1245)):
+        a, b, c = np.eye(64)[3 * k : 3 * k + 3]
+        turn = lambda d, away: (1 - d) * a + np.sqrt(1 - (1 - d) ** 2) * away
+        group = [a, a * 3 + 1e-4 * c, turn(0.05, -b), turn(far, b)]
+        rows += [(number + i, [float(x) for x in v]) for i, v in enumerate(group)]
+        number += 10
+    rows.append((900, rows[3][1]))
+    found = {r.emb_id: r.cluster_id for r in vectors.similarity_clusters(spark.createDataFrame(rows, "emb_id long, pros_emb array<float>"), least=2).collect()}
+    assert {i for i in found if i % 10 == 3 and i < 900} == {3, 13, 23}
+    assert all(found[i] == i // 10 * 10 for i in found if i < 900) and found[900] == 0 and len(found) == 22
