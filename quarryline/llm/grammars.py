@@ -237,15 +237,32 @@ _TELLING = {language: re.compile(r"[ \t]*(?:" + pattern + ")") for language, pat
 #: Signs and words one of which every text of these languages holds; few C++ texts do.
 _HINT_SIGNS = ("=>", ":=", "===", "!==", "println!", "vec!")
 _HINT_WORDS = frozenset("function let var val require typeof fn impl pub foreach package export extends implements throws func fun guard syntax message rpc".split())
+class _Statements:
+    """Beginnings of statements in letters of any case, each looked for by its first word."""
+
+    def __init__(self, beginnings: dict[str, str]):
+        self.any_case = re.compile(r"\b(?:" + "|".join(word + rest for word, rest in beginnings.items()) + ")", re.I)
+        # a pattern that begins with a fixed word is found fast
+        self.lower = {word: re.compile(rf"{word}(?<!\w{word}){rest}") for word, rest in beginnings.items()}
+
+    def search(self, code: str) -> bool | None:
+        if code.isascii():
+            low = code.lower()
+            found = any(word in low and pattern.search(low) for word, pattern in self.lower.items())
+        else:
+            found = self.any_case.search(code)
+        return True if found else None
+
+
+_SQL = _Statements({"select": r"\s+[\w*]", "insert": r"\s+into", "update": r"\s+\w+\s+set", "create": r"\s+\w+\s+\w", "delete": r"\s+from", "alter": r"\s+table", "drop": r"\s+\w"})
 #: Words that tell of another language only in such a place.
 _HINT_PLACES = {
     "import": r"\bimport\s+\w",
     "using": r"\busing\s+[A-Z]\w*(?:\.\w+)*\s*;",
     "const": r"^[ \t]*const\s+\w+\s*=",
     **dict.fromkeys(("public", "private", "protected", "internal"), r"^[ \t]*(?:public|private|protected|internal)\s+\w"),
-    **dict.fromkeys(("select", "insert", "update", "create", "delete", "alter", "drop"), r"(?i:\b(?:select\s+[\w*]|insert\s+into|update\s+\w+\s+set|create\s+\w+\s+\w|delete\s+from|alter\s+table|drop\s+\w))"),
 }
-_HINT_PLACES = {word: re.compile(pattern, re.M) for word, pattern in _HINT_PLACES.items()}
+_HINT_PLACES = {word: re.compile(pattern, re.M) for word, pattern in _HINT_PLACES.items()} | dict.fromkeys(_SQL.lower, _SQL)
 _HINT_PLACES |= {cased: pattern for word, pattern in _HINT_PLACES.items() for cased in (word.upper(), word.capitalize())}
 _HINT_PROPERTY = re.compile(r"\{\s*[a-z-]+\s*:(?!:)")
 _HINT_RULE = re.compile(r"^[ \t]*[\w.#*-][^;{}()=\n]*\{\s*[a-z-]+\s*:(?!:)", re.M)
@@ -295,9 +312,9 @@ def overruling(text: str) -> str | None:
     return min(found)[1] if found else None
 
 
-def ranking(text: str) -> list[tuple[float, str]]:
-    """All languages by their telling tokens a line, the likeliest first; ties in the order of names."""
-    code = masked(text)
+def ranking(text: str, code: str | None = None) -> list[tuple[float, str]]:
+    """All languages by their telling tokens a line, the likeliest first; ties in the order of names.  ``code`` is the masked text, if known."""
+    code = masked(text) if code is None else code
     lines = [line for line in code.split("\n") if any(c.isalnum() for c in line)]
     scores = language_scores(text)
     for language, pattern in _TELLING.items():

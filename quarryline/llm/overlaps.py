@@ -13,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator, Set
+from collections.abc import Callable, Iterator, Set
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +30,26 @@ LEAST_CHARACTERS = 200
 #: One statement in so many may differ.
 ONE_IN = 5
 
-_COMMENT = re.compile(r'//(?:\\\n|[^\n])*|/\*.*?\*/|("(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\')', re.S)
+# every alternative begins with a fixed character, which keeps the scan fast
+_COMMENT = re.compile(r'//(?:\\\n|[^\n])*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', re.S)
 #: Strings, members, names with what qualifies them and the parenthesis of a call, numbers, and single signs.
 _PIECE = re.compile(r'"(?:\\.|[^"\\\n])*"|(?:->|::|\.)\s*[A-Za-z_~]\w*|[A-Za-z_]\w*(?:::[~\w]+)*(?:\s*\()?|\.?\d[\w.]*|[^\s\w]')
+#: The same without the single signs, to split an ASCII text by: signs and white space lie between.
+_WORD = re.compile(
+    r'([A-Za-z_]\w*(?:(?:::[~\w]+)+|)(?:\(|\s+\(|)|\d[\w.]*|\.(?:\d[\w.]*|\s*[A-Za-z_~]\w*)|->\s*[A-Za-z_~]\w*|::\s*[A-Za-z_~]\w*|"[^"\\\n]*(?:\\.[^"\\\n]*)*")', re.A
+)
 #: A name that a declarator, a list or a statement goes on from, after a blank or a reference sign.
-_DECLARATOR = re.compile(r"[\s*&](?<=[\w>*&][\s*&]|\s[*&])([A-Za-z_]\w*)\s?(?=[=;,)({:\[])(?!::)")
+_DECLARATOR = re.compile(r"[\s*&](?=[A-Za-z_])(?<=[\w>*&][\s*&]|\s[*&])([A-Za-z_]\w*)\s?(?=[=;,)({:\[])(?!::)")
 _TYPE_WORD = re.compile(r"\w*\Z")
+_WORD_SIGNS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
 #: Names bound together, and captures that begin with a value of their own.
-_BOUND = re.compile(r"\bauto\s*&*\s*\[([\w\s,]+)\]")
+_BOUND = re.compile(r"auto(?<!\wauto)\s*&*\s*\[([\w\s,]+)\]")
 _CAPTURED = re.compile(r"\[([^\[\]=]*\w\s*=[^\[\]]*)\]\s*[({]")
 #: Words before a name that declare nothing.
 _NO_TYPE = frozenset("return throw new delete else case goto co_return co_yield co_await sizeof typename using namespace operator and or not public private protected if while switch do class struct enum union".split())
 #: A name that reads as a local where nothing else declares it: no member, constant or type, by its spelling.
 _LOCAL = re.compile(r"(?!(?:m|g|s)_|k[A-Z0-9]|\w*_t\Z)[a-z]\w*(?<!_)\Z")
 _HEADER_NAME = re.compile(r"(?:[\w~]+::)*~?\w+\s*(?=\()")
-_MARK = re.compile(r"[(){};]")
 _BLANK = "\x01"
 
 
@@ -54,31 +60,42 @@ def split_class(split: Column) -> Column:
 
 
 class _Words(dict):
-    """Of each word: its name if it may be a blank, whether it is one undeclared, and whether it is called."""
-
-    def __missing__(self, word: str) -> tuple[str | None, bool, bool]:
-        called = word[-1] == "("
-        name = word[:-1].rstrip() if called else word
-        if not (name[:1].isalpha() or name[:1] == "_") or ":" in name or name in KEYWORDS:
-            name = None
-        # what reads as a local is one unless it is called; any other name must be declared
-        found = name, bool(name and not called and _LOCAL.match(name)), called
-        if len(self) < 300_000:
+    """What ``of`` says of a word, kept for the words met."""
+
+    def __init__(self, of: Callable[[str], str | None]):
+        self.of = of
+
+    def __missing__(self, word: str) -> str | None:
+        found = self.of(word)
+        # literals hardly come back; the words that do are soon known again
+        if word[0] != '"':
+            if len(self) >= 300_000:
+                self.clear()
             self[word] = found
         return found
 
 
-_WORDS = _Words()
+def _name(word: str) -> str | None:
+    """The name in a word that may be a blank."""
+    name = word[:-1].rstrip() if word[-1] == "(" else word
+    return None if not (name[:1].isalpha() or name[:1] == "_") or ":" in name or name in KEYWORDS else name
+
+
+def _bare(word: str) -> str:
+    return _BLANK if word[-1] != "(" and _name(word) and _LOCAL.match(word) else word
+
 
+#: What reads as a local is a blank unless it is called; any other name must be declared.
+_BARE = _Words(_bare)
+_ASKED = _Words(lambda word: None if _bare(word) == _BLANK else _name(word))
 
-def declared(code: str, asked: Set[str]) -> Set[str]:
-    """Which of some names a function declares as parameters or locals, in any spelling."""
+
+def declared(code: str, asked: Set[str] | None = None) -> Set[str]:
+    """The names, or which of some names, a function declares as parameters or locals, in any spelling."""
     found: set[str] = set()
-    if not asked:
-        return found
     for match in _DECLARATOR.finditer(code):
         name, at = match.group(1), match.start()
-        if name not in asked or name in found:
+        if name in found or asked is not None and name not in asked:
             continue
         before = code[max(0, at - 60) : at + 1]
         kind = before.rstrip(" \n\t*&")
@@ -86,47 +103,50 @@ def declared(code: str, asked: Set[str]) -> Set[str]:
         # a sign between blanks is an operator, and so is an angle after a blank
         if signs[:1].isspace() and signs[-1:].isspace() and signs.strip() or kind[-1:] == ">" and (kind[-2:-1].isspace() or kind[-2:] == "->"):
             continue
-        word = _TYPE_WORD.search(kind).group()
+        word = kind[len(kind.rstrip(_WORD_SIGNS)) :] if kind.isascii() else _TYPE_WORD.search(kind).group()
         if (word or kind[-1:] == ">") and word not in _NO_TYPE and not word[:1].isdigit():
             found.add(name)
     if "auto" in code:
         found.update(n.strip() for names in _BOUND.findall(code) for n in names.split(",") if n.strip())
     if "](" in code or "] {" in code or "]{" in code:
         found.update(name for inner in _CAPTURED.findall(code) for name in re.findall(r"(?:\A|,)\s*&?(\w+)\s*=", inner))
-    return found & asked
+    return found if asked is None else found & asked
 
 
 def statements(text: str) -> tuple[list[str], list[list[str]]]:
     """The statements of a function with blanks for its own names, and these names by statement."""
-    code = _COMMENT.sub(lambda m: m.group(1) or " ", text)
+    code = _COMMENT.sub(_uncommented, text)
     brace = code.find("{")
     head = code[:brace] if brace >= 0 else code
     code = _HEADER_NAME.sub(" ", head, count=1) + (code[brace:] if brace >= 0 else "")
-    words = _PIECE.findall(code)
-    blanks, asked = {}, {}
-    for word in set(words):
-        name, local, called = _WORDS[word]
-        if local:
-            blanks[word] = _BLANK
-        elif name:
-            asked.setdefault(name, []).append((word, _BLANK + "(" if called else _BLANK))
-    for name in declared(code, asked.keys()):
-        blanks.update(asked[name])
-    names = [_WORDS[w][0] for w in words if w in blanks]
-    get = blanks.get
-    code = "".join("".join([get(w, w) for w in words]).split())
-    pieces, depth, start = [], 0, 0
-    for match in _MARK.finditer(code):
-        mark = match.group()
-        if mark == "(":
-            depth += 1
-        elif mark == ")":
-            depth -= 1
-        elif depth <= 0:
+    parts = _WORD.split(code) if code.isascii() else None
+    words = parts[1::2] if parts else _PIECE.findall(code)
+    distinct = set(words)
+    bare = list(map(_BARE.__getitem__, words))
+    found = declared(code)
+    own = {word: word for word in found & distinct if _ASKED[word]}
+    own |= {word: name for word in distinct if word[-1] == "(" and (name := word[:-1].rstrip()) in found and _ASKED[word]}
+    if own:
+        blanks = {word: _BLANK + "(" if word[-1] == "(" else _BLANK for word in own}
+        bare = list(map(blanks.get, words, bare))
+        names = [own.get(w, w) for w, b in zip(words, bare) if b[0] == _BLANK != w]
+    else:
+        names = [w for w, b in zip(words, bare) if b == _BLANK != w]
+    if parts:
+        parts[1::2] = bare
+    code = dense("".join(parts or bare))
+    # a piece ends at a brace or semicolon outside parentheses
+    pieces, depth, start, end = [], 0, 0, 0
+    for part in code.replace("{", ";").replace("}", ";").split(";"):
+        end += len(part)
+        if "(" in part or ")" in part:
+            depth += part.count("(") - part.count(")")
+        if depth <= 0:
             depth = 0
-            if match.start() > start:
-                pieces.append(code[start : match.start()])
-            start = match.end()
+            if end > start:
+                pieces.append(code[start:end])
+            start = end + 1
+        end += 1
     if len(code) > start:
         pieces.append(code[start:])
     owned, at = [], 0
@@ -137,6 +157,19 @@ def statements(text: str) -> tuple[list[str], list[list[str]]]:
     return pieces, owned
 
 
+_SPACE = bytes(b for b in range(128) if chr(b).isspace())
+
+
+def dense(text: str) -> str:
+    """The text without white space."""
+    return text.encode("ascii").translate(None, _SPACE).decode("ascii") if text.isascii() else "".join(text.split())
+
+
+def _uncommented(match: re.Match) -> str:
+    token = match.group()
+    return " " if token[0] == "/" else token
+
+
 def _hash64(text: str) -> int:
     import xxhash
 
@@ -146,8 +179,9 @@ def _hash64(text: str) -> int:
 
 def canonical(pieces: list[str], owned: list[list[str]]) -> int:
     """Equal for functions that differ by nothing but a renaming."""
-    order: dict[str, int] = {}
-    numbers = [order.setdefault(n, len(order)) for names in owned for n in names]
+    names = list(chain.from_iterable(owned))
+    order = {name: i for i, name in enumerate(dict.fromkeys(names))}
+    numbers = list(map(order.__getitem__, names))
     return _hash64("\n".join(pieces) + repr(numbers))
 
 
@@ -244,31 +278,37 @@ _SCANNED = "file_id long, side string, key long, string array<long>, names strin
 
 def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each function that counts, and one with the digest of the text, white space aside, for each file whose text counts."""
+    from xxhash import xxh3_64_intdigest
+
     for batch in batches:
-        ids, sides, keys, strings, names, texts = [], [], [], [], [], []
+        ids, sides, keys, names, texts = [], [], [], [], []
+        # the hashes of all statements of the batch, and where each row's begin
+        hashes, starts = [], [0]
         for file_id, side, functions in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            dense = []
+            solid = []
             for text in functions or ():
                 if not text:
                     continue
-                dense.append("".join(text.split()))
-                if len(dense[-1]) < LEAST_CHARACTERS:
+                solid.append(dense(text))
+                if len(solid[-1]) < LEAST_CHARACTERS:
                     continue
                 pieces, owned = statements(text)
                 ids.append(file_id)
                 sides.append(side)
                 keys.append(canonical(pieces, owned))
-                strings.append([_hash64(p) for p in pieces])
-                names.append("|".join(" ".join(o) for o in owned))
+                hashes.extend(map(xxh3_64_intdigest, pieces))
+                starts.append(len(hashes))
+                names.append("|".join(map(" ".join, owned)))
                 texts.append(None)
-            if sum(map(len, dense)) >= LEAST_CHARACTERS:
+            if sum(map(len, solid)) >= LEAST_CHARACTERS:
                 ids.append(file_id)
                 sides.append(side)
                 keys.append(None)
-                strings.append(None)
+                starts.append(len(hashes))
                 names.append(None)
-                texts.append(hashlib.sha256("".join(dense).encode("utf-8", "surrogatepass")).hexdigest())
-        arrays = [pa.array(ids, pa.int64()), pa.array(sides, pa.string()), pa.array(keys, pa.int64()), pa.array(strings, pa.list_(pa.int64())), pa.array(names, pa.string()), pa.array(texts, pa.string())]
+                texts.append(hashlib.sha256("".join(solid).encode("utf-8", "surrogatepass")).hexdigest())
+        strings = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.array(hashes, dtype="uint64").view("int64")), mask=pa.array([k is None for k in keys], pa.bool_()))
+        arrays = [pa.array(ids, pa.int64()), pa.array(sides, pa.string()), pa.array(keys, pa.int64()), strings, pa.array(names, pa.string()), pa.array(texts, pa.string())]
         yield pa.RecordBatch.from_arrays(arrays, ["file_id", "side", "key", "string", "names", "text_key"])
 
 
@@ -286,26 +326,34 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return out.view("int64")
 
 
+_SEGMENTS = pa.schema([("segment", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
+
+
 def _pieces(evaluation: bool):
+    """Rows ``segment, key, pos, n`` for the segments of evaluation strings, or for the substrings of training strings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            marks = batch.column(2).to_pylist() if evaluation else [None] * batch.num_rows
-            for key, string, hot in zip(batch.column(0).to_pylist(), batch.column(1), marks):
-                own = string.values.to_numpy()
-                n = len(own)
-                if evaluation:
-                    spans = cuts(n, set(hot or ()))
-                    places = {length: np.array([s for s, e in spans if e - s == length]) for length in _LENGTHS}
-                else:
-                    # short strings allow no edit and are segments as a whole
-                    places = {length: np.arange(n - length + 1) for length in _LENGTHS if length <= n and (length > 1 or n == 1)}
-                for length, starts in places.items():
-                    if len(starts):
-                        hashes = _mix(own[starts[:, None] + np.arange(length)[None]])
-                        out.append((hashes, np.full(len(starts), key), starts, np.full(len(starts), n)))
-            columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype("int64")), pa.array(columns[1].astype("int64")), pa.array(columns[2].astype("int32")), pa.array(columns[3].astype("int32"))], ["segment", "key", "pos", "n"])
+            strings = batch.column(1)
+            keys, sizes = batch.column(0).to_numpy(zero_copy_only=False), strings.value_lengths().to_numpy(zero_copy_only=False)
+            # all strings of the batch, one after another
+            flat, begins = strings.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+            if evaluation:
+                spans = [(row, s, e - s) for row, (n, hot) in enumerate(zip(sizes.tolist(), batch.column(2).to_pylist())) for s, e in cuts(n, set(hot or ()))]
+                rows, starts, lengths = np.array(spans, dtype="int64").reshape(-1, 3).T
+                places = [(length, rows[lengths == length], starts[lengths == length]) for length in _LENGTHS]
+            else:
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                at = np.arange(len(flat)) - begins[owner]
+                left = sizes[owner] - at
+                # short strings allow no edit and are segments as a whole
+                fits = [(length, (left >= length) & ((length > 1) | (sizes[owner] == 1))) for length in _LENGTHS]
+                places = [(length, owner[here], at[here]) for length, here in fits]
+            for length, rows, starts in places:
+                if len(rows):
+                    hashes = _mix(flat[(begins[rows] + starts)[:, None] + np.arange(length)[None]])
+                    columns = hashes, keys[rows], starts.astype("int32"), sizes[rows].astype("int32")
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_SEGMENTS)
 
     return run
 

@@ -14,7 +14,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Set
 from functools import lru_cache
+from operator import mul
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -67,10 +69,19 @@ def _folded(name: str) -> str:
 def trigrams(names: Counter) -> Counter:
     """Character trigrams of counted names; the alphabet bounds their number to about 40 cubed."""
     found: Counter = Counter()
-    for name, n in names.items():
-        folded = _folded(name)
-        for i in range(len(folded) - 2):
-            found[folded[i : i + 3]] += n
+    items = list(names.items())
+    for at in range(0, len(items), 1 << 16):
+        folded = [_folded(name) for name, _ in items[at : at + (1 << 16)]]
+        sizes = np.array([len(f) for f in folded])
+        owner = np.repeat(np.arange(len(folded)), sizes)
+        # a trigram begins anywhere but at the last two characters of a name
+        starts = np.flatnonzero(np.cumsum(sizes)[owner] - np.arange(len(owner)) > 2)
+        signs = np.frombuffer("".join(folded).encode("ascii"), dtype="uint8").astype("int64")
+        codes = (signs[starts] << 14) + (signs[starts + 1] << 7) + signs[starts + 2]
+        counts = np.array([n for _, n in items[at : at + (1 << 16)]], dtype="int64")
+        totals = np.bincount(codes, weights=counts[owner[starts]])
+        for code in np.flatnonzero(totals).tolist():
+            found[chr(code >> 14) + chr(code >> 7 & 127) + chr(code & 127)] += int(totals[code])
     return found
 
 
@@ -124,12 +135,33 @@ def name_traits(name: str) -> tuple[bool, bool, bool, bool]:
     return bool(_NUMBERED.search(name)), len(name) == 1, snake, camel
 
 
+class _Styles(dict):
+    """Of each name 1 for snake case, _CAMEL for camel case and 0 for none."""
+
+    def __missing__(self, name: str) -> int:
+        _, _, snake, camel = name_traits.__wrapped__(name)
+        if len(self) >= 300_000:
+            self.clear()
+        found = self[name] = _CAMEL if camel else int(snake)
+        return found
+
+
+_CAMEL = 1 << 32
+_STYLES = _Styles()
+
+
+def styled(names: Counter) -> tuple[int, int]:
+    """How often counted names are in snake case, and how often in camel case."""
+    camel, snake = divmod(sum(map(mul, map(_STYLES.__getitem__, names), names.values())), _CAMEL)
+    return snake, camel
+
+
 def detected(text: str, code: str, words: Set[str]) -> str:
     """The language a text's tokens tell of; ``code`` is the text with literals masked, ``words`` its identifiers."""
     # without a word of another language, and with statements, nothing else ranks first
     if not hinted(code, words) and 8 * code.count(";") > code.count("\n"):
         return "c++"
-    return ranking(text)[0][1]
+    return ranking(text, code)[0][1]
 
 
 def describe(path: str, text: str, models: dict[str, NameModel]) -> dict:
@@ -210,11 +242,9 @@ def corpus_names(texts: DataFrame) -> tuple[dict[str, dict[str, int]], DataFrame
                 names = names_of(words)
                 # a name counts once a file, so that no file outweighs the others
                 found.setdefault(detected(text, code, words.keys()), Counter()).update(names.keys())
-                style = styles.setdefault(repository, [0, 0])
-                for name, n in names.items():
-                    _, _, snake, camel = name_traits(name)
-                    if snake or camel:
-                        style[camel] += n
+                style, (snake, camel) = styles.setdefault(repository, [0, 0]), styled(names)
+                style[0] += snake
+                style[1] += camel
             if sum(map(len, found.values())) + len(styles) > 300_000:
                 yield from give(found, styles)
                 found, styles = {}, {}
